@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +17,60 @@ SHORT_TITLE = 3
 
 
 def distinct_titles(df: DataFrame, group: str, order: str, title: str) -> DataFrame:
-    """(g, t, ord, len): every normalised title of a group once, with its first place.
+    """(tid, g, t, ord, len): every normalised title of a group once, with its first place.
 
     A ``min`` combines before the shuffle, so a title that a third of all rows carry is
-    one row per task by then.
+    one row per task by then. ``tid`` numbers the rows and is fixed by the write.
     """
-    return (
+    titles = (
         df.groupBy(F.col(group).alias("g"), normal_title(title).alias("t"))
         .agg(F.min(order).alias("ord"))
         .withColumn("len", F.length("t"))
+        .withColumn("tid", F.monotonically_increasing_id())
     )
+    return materialize(titles, "titles")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit values (fixed values: the constants of the splitmix64 generator)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _pieces(powers: list[int], heads: bool):
+    """Hash every piece of a power-of-two length of every title in a batch, or the heads only.
+
+    The batch is one array of characters. The hash of 2p characters comes from those of
+    its two halves, so each length costs one pass over the array.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tid, gh = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            texts = batch.column(2).to_pylist()
+            lens = np.array([len(t) for t in texts], dtype="int64")
+            hashes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="uint32").astype("uint64")
+            owner = np.repeat(np.arange(len(texts)), lens)
+            pos = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)
+            size = lens[owner]
+            hashes, p = _mix(hashes + np.uint64(1)), 1
+            while len(hashes) and p <= powers[-1]:
+                if p in powers:
+                    n = len(hashes)
+                    if heads:
+                        take = np.flatnonzero((pos[:n] == 0) & (size[:n] >= p) & (size[:n] < 2 * p))
+                    else:
+                        take = np.flatnonzero((pos[:n] + p <= size[:n]) & (p < size[:n]))
+                    salt = gh[owner[take]].astype("uint64") * np.uint64(2) + np.uint64(p)
+                    key = _mix(hashes[take] ^ _mix(salt)).view("int64")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(tid[owner[take]]), pa.array(pos[take] + 1, pa.int32()), pa.array(key)],
+                        names=["tid", "pos", "key"])
+                hashes = _mix(hashes[:-p] * np.uint64(3) + hashes[p:])
+                p *= 2
+
+    return run
 
 
 def containing_titles(titles: DataFrame, min_length: int = SHORT_TITLE + 1) -> DataFrame:
@@ -34,41 +82,38 @@ def containing_titles(titles: DataFrame, min_length: int = SHORT_TITLE + 1) -> D
     1. a title *a* of length L is filed under its head, its first p characters, p being
        the largest power of two not above L. A head keeps only the set of lengths filed
        there, fewer than p numbers.
-    2. a title *b* looks up each of its substrings of a power-of-two length. A hit says
-       "a title with this head and one of these lengths could start here".
-    3. the substrings of those lengths are looked up among the titles themselves.
+    2. a title *b* looks up each of its pieces of a power-of-two length, by hash. A hit
+       says "a title with this head and one of these lengths could start here".
+    3. the pieces of those lengths are looked up among the titles themselves, as text.
 
     Both lookups meet at most one row per key, so no key, however frequent, multiplies
-    rows, and the work is linear in the titles' total length.
+    rows, and the work grows with the titles' total length.
     """
-    power = F.expr("shiftleft(1, length(bin(len)) - 1)")
+    long = titles.where(F.col("len") >= min_length)
+    levels = long.select(F.length(F.bin("len")).alias("bits")).distinct().collect()
+    if not levels:
+        return titles.select("g", "ord").where(F.lit(False))
+    powers = sorted(1 << (r["bits"] - 1) for r in levels)
+    text = long.select("tid", F.xxhash64("g").alias("gh"), "t")
+    schema = "tid long, pos int, key long"
     heads = (
-        titles.where(F.col("len") >= min_length)
-        .groupBy("g", F.substring(F.col("t"), F.lit(1), power).alias("head"))
+        text.mapInArrow(_pieces(powers, True), schema)
+        .join(long.select("tid", "len"), "tid")
+        .groupBy("key")
         .agg(F.collect_set("len").alias("lens"))
     )
-    spots = (
-        titles.where(F.col("len") > min_length)
-        .select("g", "ord", "t", "len", F.explode(F.expr(
-            f"filter(transform(sequence(0, length(bin(len)) - 1), k -> shiftleft(1, k)),"
-            f" p -> 2 * p > {int(min_length)})"
-        )).alias("p"))
-        .select("g", "ord", "t", "p", F.explode(F.expr("sequence(1, len - p + 1)")).alias("pos"))
-        .select("g", "ord", "pos", F.expr("substring(t, pos, p)").alias("head"))
-    )
-    s, h = spots.alias("s"), heads.alias("h")
     starts = (
-        s.join(h, F.col("s.g").eqNullSafe(F.col("h.g")) & (F.col("s.head") == F.col("h.head")))
-        .select("s.g", "s.ord", "s.pos", F.explode("h.lens").alias("cut"))
+        text.mapInArrow(_pieces(powers, False), schema)
+        .join(heads, "key")
+        .select("tid", "pos", F.explode("lens").alias("cut"))
     )
-    s, b = starts.alias("s"), titles.alias("b")
     cuts = (
-        s.join(b, F.col("s.g").eqNullSafe(F.col("b.g")) & (F.col("s.ord") == F.col("b.ord")))
-        .where((F.col("cut") < F.col("b.len")) & (F.col("pos") + F.col("cut") <= F.col("b.len") + 1))
-        .select("b.g", "b.ord", F.expr("substring(b.t, pos, cut)").alias("t"))
+        starts.join(long, "tid")
+        .where((F.col("cut") < F.col("len")) & (F.col("pos") + F.col("cut") <= F.col("len") + 1))
+        .select("g", "ord", F.expr("substring(t, pos, cut)").alias("t"))
         .distinct()
     )
-    c, a = cuts.alias("c"), titles.where(F.col("len") >= min_length).alias("a")
+    c, a = cuts.alias("c"), long.alias("a")
     return (
         c.join(a, F.col("c.g").eqNullSafe(F.col("a.g")) & (F.col("c.t") == F.col("a.t")), "left_semi")
         .select("g", "ord")
@@ -84,7 +129,7 @@ def title_dedup(df: DataFrame, group: str = "author", order: str = "ord", title:
     depend on processing order, so no loop is needed: whatever removes a title is, or
     contains, a title that nothing removes.
     """
-    titles = materialize(distinct_titles(df, group, order, title), "titles")
+    titles = distinct_titles(df, group, order, title)
     gone = containing_titles(titles)
     t, x = titles.alias("t"), gone.alias("x")
     keep = t.join(
