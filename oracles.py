@@ -104,11 +104,11 @@ spaced AS (SELECT *, array_to_string(w, ' ') AS s, len(w) AS n FROM compared),
 texts AS (SELECT g, s, any_value(w) AS w, any_value(n) AS n, min(k) AS first, count(*) AS copies FROM spaced GROUP BY g, s),
 inner_words AS (SELECT DISTINCT g, first, array_to_string(w[i:i + 2], ' ') AS key
   FROM texts, unnest(range(1, n - 1)) r(i)),
-sharing AS (SELECT DISTINCT a.g, a.first AS i, b.first AS j FROM inner_words a JOIN inner_words b ON a.g = b.g AND a.key = b.key),
-starts AS (SELECT p.g, p.i, p.j, any_value(a.n) AS n, list(x.p ORDER BY x.p) AS ats
-  FROM sharing p JOIN texts a ON a.g = p.g AND a.first = p.i JOIN texts b ON b.g = p.g AND b.first = p.j,
-  unnest(range(1, a.n - 3)) x(p)
-  WHERE contains(b.s, array_to_string(a.w[x.p:x.p + 4], ' ')) GROUP BY p.g, p.i, p.j),
+windows AS (SELECT g, first, n, p, array_to_string(w[p:p + 4], ' ') AS run, array_to_string(w[p + 1:p + 3], ' ') AS key
+  FROM texts, unnest(range(1, n - 3)) r(p)),
+starts AS (SELECT a.g, a.first AS i, b.first AS j, any_value(a.n) AS n, list(a.p ORDER BY a.p) AS ats
+  FROM windows a JOIN inner_words b ON a.g = b.g AND a.key = b.key JOIN texts t ON t.g = b.g AND t.first = b.first
+  WHERE contains(t.s, a.run) GROUP BY a.g, a.first, b.first),
 taken AS (SELECT g, i, j, n, list_reduce(ats, lambda m, p: CASE WHEN p >= m // 1000000 THEN (p + 5) * 1000000 + m % 1000000 + 1 ELSE m END,
   CAST(0 AS BIGINT)) % 1000000 AS m FROM starts),
 directed AS (SELECT g, i, j, least(5.0 * m / n, 1.0) AS overlap FROM taken WHERE CAST(5 * m AS DOUBLE) / n >= 0.8),
