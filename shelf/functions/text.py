@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 # fixed values: the regex classes that equal Python's Unicode \s, \S and \w
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 NOT_WS = r"[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 NOT_KEPT = r"[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}.,!?'\"]"
 
 
@@ -17,7 +22,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Drop leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def is_blank(c: Column | str) -> Column:

@@ -49,5 +49,8 @@ def with_text(books: DataFrame, text: str = "description") -> DataFrame:
     """Add ``processed_text`` and drop rows without any; no such column, no rows."""
     if text not in books.columns:
         return books.withColumn("processed_text", F.lit("")).where(F.lit(False))
-    filled = books.withColumn("processed_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return filled.where(~is_blank("processed_text"))
+    filled = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # one element or none: unlike a filter this is not pushed below the cleaning, which
+    # would then run twice
+    kept = F.filter(F.array(filled), lambda t: ~is_blank(t))
+    return books.select("*", F.explode(kept).alias("processed_text"))

@@ -13,6 +13,16 @@ from shelf.functions.text import strip
 from shelf.schemas import PAGE, RAW, STAGING
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over at least as many tasks as there are cores.
+
+    A file of one row group is read by one task. Only a scan that has fewer partitions
+    than the session has cores is moved, so a large table is never shuffled by this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def responses(spark: SparkSession, path: str, multiline: bool = False,
               schema: T.StructType = PAGE) -> DataFrame:
     """Landed API pages; one JSON document per line, or per file with ``multiline``."""

@@ -28,8 +28,13 @@ from shelf.streaming.stage import stage_stream
 AS_OF_YEAR = 2010
 
 
+# tables whose rows cost much more to process than to move
+LONG_TEXT = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.spread(scan) if name in LONG_TEXT else scan
 
 
 # -- documents as raw volumes -------------------------------------------------------------
