@@ -174,6 +174,11 @@ def oracle_sql() -> dict[str, str]:
             '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS encoded FROM events""",
         "landed_partitions": f"""WITH {VOLUMES} SELECT date, hour, count(*) AS books, sum(length(text)) AS characters
             FROM volumes WHERE date BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY date, hour""",
+        "raw_table": f"""WITH {VOLUMES} SELECT id, title, CASE WHEN n_chars % 2 = 0 THEN n_chars / 100 END AS amount, date, hour
+            FROM volumes""",
+        "author_lines": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS processing_order, c_name AS author_name FROM customer",
+        "json_round_trip": "SELECT event_id, event_type, value, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events",
+        "csv_export": f"WITH {BOOKS} SELECT * FROM books",
         "title_dedup": f"""WITH docs AS (SELECT doc_id, source, {TITLE} AS title FROM documents),
             {title_rule('docs', 'source', 'doc_id', 'title', 'doc_id, source, title')} SELECT * FROM kept""",
         "title_dedup_parts": f"""WITH
@@ -207,6 +212,9 @@ def oracle_sql() -> dict[str, str]:
         "resume_slice": """SELECT c_custkey AS processing_order, c_name FROM customer, (SELECT max(s_suppkey) + 1 AS s FROM supplier)
             WHERE c_custkey >= s AND c_custkey < s + 5""",
         "last_processed": "SELECT max(o_custkey) AS last FROM orders",
+        "ledger_table": """SELECT coalesce(c_custkey, s_suppkey) AS processing_order, coalesce(s_name, c_name) AS author_name,
+              CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE 0 END AS raw_books_count, 0 AS deduplicated_books_count, 0 AS books_found
+            FROM customer FULL JOIN supplier ON s_suppkey = c_custkey""",
         "kept_ids": "SELECT source, doc_id FROM documents",
         "flatten_nested": f"WITH {STAGED} SELECT * REPLACE (CAST(published_date AS VARCHAR) AS published_date) FROM staged",
         "staged_range": f"""WITH {STAGED} SELECT id, publisher, CAST(published_date AS VARCHAR) AS published_date, processing_date
@@ -285,6 +293,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT qid, rank, round(distance, 4) AS distance FROM ranked WHERE rank <= 5""",
         "vector_rows": f"""WITH {STAGED} SELECT id, title, CAST(published_date AS VARCHAR) AS published_date,
             length({clean('description')}) AS characters, 64 AS dims FROM staged WHERE {clean('description')} <> ''""",
+        "vector_table": "SELECT vec_id AS id, 2 AS rows, len(embedding) AS dims FROM embeddings",
         "catalogue_report": f"""WITH docs AS (SELECT doc_id, source, text, {TITLE} AS title FROM documents
               WHERE lang = 'en' AND length(text) > 100),
             {title_rule('docs', 'source', 'doc_id', 'title', '*')}

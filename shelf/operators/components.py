@@ -31,12 +31,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Two groupings per round, a number of rounds that grows with the logarithm of the
     graph, no group ever collected.
     """
-    now = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "stars")
+    now = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).select("u", "v").where("u != v")
     mark = None
     while True:
         now = materialize(_toward_least_smaller(_toward_least_neighbour(now)), "stars")
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == mark:
+        if seen == mark or not seen[0]:
             break
         mark = seen
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))

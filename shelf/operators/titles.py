@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelf.functions.text import normal_title
-from shelf.scratch import materialize
+from shelf.scratch import materialize, spread
 
 # fixed value: titles up to this length only remove their equals
 SHORT_TITLE = 3
@@ -28,7 +28,7 @@ def distinct_titles(df: DataFrame, group: str, order: str, title: str) -> DataFr
         .withColumn("len", F.length("t"))
         .withColumn("tid", F.monotonically_increasing_id())
     )
-    return materialize(titles, "titles")
+    return spread(materialize(titles, "titles"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,7 +104,9 @@ def containing_titles(titles: DataFrame, min_length: int = SHORT_TITLE + 1) -> D
     )
     starts = (
         text.mapInArrow(_pieces(powers, False), schema)
-        .join(heads, "key")
+        # a merge join, because the pieces are far more than the planner expects of them
+        # and must not be broadcast
+        .join(heads.hint("merge"), "key")
         .select("tid", "pos", F.explode("lens").alias("cut"))
     )
     cuts = (

@@ -13,16 +13,6 @@ from shelf.functions.text import strip
 from shelf.schemas import PAGE, RAW, STAGING
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan over at least as many tasks as there are cores.
-
-    A file of one row group is read by one task. Only a scan that has fewer partitions
-    than the session has cores is moved, so a large table is never shuffled by this.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def responses(spark: SparkSession, path: str, multiline: bool = False,
               schema: T.StructType = PAGE) -> DataFrame:
     """Landed API pages; one JSON document per line, or per file with ``multiline``."""
@@ -32,10 +22,13 @@ def responses(spark: SparkSession, path: str, multiline: bool = False,
 def author_list(spark: SparkSession, path: str) -> DataFrame:
     """(processing_order, author_name): stripped lines numbered from 0, blank ones kept.
 
-    Numbering needs per-partition counts only; no partition is moved.
+    Lines count in the order of files by name and of lines within a file. The sort is by
+    ranges and the numbering adds up partition sizes, so no task sees the whole list.
     """
-    lines = spark.read.text(path)
-    numbered = lines.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0]))
+    lines = spark.read.text(path).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    ordered = lines.orderBy("file_path", "file_block_start", "line").select("value")
+    numbered = ordered.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0]))
     schema = T.StructType([
         T.StructField("processing_order", T.LongType()), T.StructField("author_name", T.StringType())])
     return spark.createDataFrame(numbered, schema).withColumn("author_name", strip("author_name"))
@@ -51,8 +44,10 @@ def raw_volumes(spark: SparkSession, path: str, start_date: str | None = None, e
     return raw
 
 
-def create_database(spark: SparkSession, name: str, comment: str = "Catalogue data") -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} COMMENT '{comment}'")
+def create_database(spark: SparkSession, name: str, comment: str = "Catalogue data",
+                    location: str | None = None) -> None:
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} COMMENT '{comment}'{place}")
 
 
 def create_raw_table(spark: SparkSession, table: str, location: str) -> DataFrame:
@@ -112,7 +107,7 @@ def ledger_table(spark: SparkSession, table: str = "processed_authors") -> DataF
 
 def result_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An exported query result with a header line."""
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
 
 
 def json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

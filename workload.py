@@ -19,8 +19,9 @@ from shelf.operators import books, descriptions, ledger, staging, stats, titles,
 from shelf.plans.ingest import deduplicate_books
 from shelf.plans.search import vectorize
 from shelf.schemas import RAW, VOLUME
-from shelf.scratch import materialize, scratch_root
+from shelf.scratch import materialize, scratch_root, spread
 from shelf.session import apply_settings
+from shelf.sinks import writers
 from shelf.sinks.writers import overwrite_partitions
 from shelf.sources import readers
 from shelf.streaming.stage import stage_stream
@@ -34,7 +35,7 @@ LONG_TEXT = ("documents", "pages")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return readers.spread(scan) if name in LONG_TEXT else scan
+    return spread(scan) if name in LONG_TEXT else scan
 
 
 # -- documents as raw volumes -------------------------------------------------------------
@@ -167,9 +168,54 @@ def json_fields(spark, sf_dir):
         "event_id", parsed["k"].alias("k"), F.to_json(F.struct("event_type", "user_id")).alias("encoded"))
 
 
+def land_raw(raw: DataFrame, path: str) -> None:
+    """Raw rows under the date and hour they carry."""
+    rows = raw.select(*RAW.fieldNames()).hint("rebalance", F.col("date"), F.col("hour"))
+    rows.write.partitionBy("date", "hour").parquet(path)
+
+
+def own_database(spark: SparkSession, name: str) -> str:
+    """A database of this run whose tables lie in the shared folder."""
+    database = f"{name}_{uuid.uuid4().hex}"
+    readers.create_database(spark, database, location=own_path(spark, database))
+    return database
+
+
+def raw_table(spark, sf_dir):
+    """The landed volumes as a partitioned table over their folder."""
+    path, database = own_path(spark, "landed"), own_database(spark, "books")
+    land_raw(raw_docs(spark, sf_dir), path)
+    rows = readers.create_raw_table(spark, f"{database}.books_raw", path)
+    return rows.select("id", "volumeInfo.title", "saleInfo.listPrice.amount", "date", "hour")
+
+
+def author_lines(spark, sf_dir):
+    """Customer names written as lines in key order and numbered again on reading."""
+    path = own_path(spark, "authors")
+    table(spark, sf_dir, "customer").orderBy("c_custkey").select(
+        F.concat(F.lit(" "), "c_name", F.lit("\t"))).write.text(path)
+    return readers.author_list(spark, path)
+
+
+def json_round_trip(spark, sf_dir):
+    path = own_path(spark, "json")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp"))
+    writers.write_json(events, path)
+    back = readers.json_rows(spark, path, events.schema)
+    return back.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def csv_export(spark, sf_dir):
+    """The dashboard's rows through a header CSV."""
+    path = own_path(spark, "csv")
+    rows = stats.dashboard_rows(staged_docs(spark, sf_dir))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return readers.result_csv(spark, path, rows.schema)
+
+
 def landed_partitions(spark, sf_dir):
     path = own_path(spark, "landed")
-    raw_docs(spark, sf_dir).select(*RAW.fieldNames()).write.partitionBy("date", "hour").parquet(path)
+    land_raw(raw_docs(spark, sf_dir), path)
     landed = readers.raw_volumes(spark, path, "2024-01-05", "2024-01-20")
     return landed.groupBy("date", "hour").agg(
         F.count(F.lit(1)).alias("books"), F.sum(F.length("volumeInfo.description")).alias("characters"))
@@ -246,6 +292,22 @@ def last_processed(spark, sf_dir):
     return ledger.last_processed(table(spark, sf_dir, "orders"), "o_custkey")
 
 
+def ledger_table(spark, sf_dir):
+    """Two batches merged into the ledger table: customers, then suppliers over them."""
+    name = f"{own_database(spark, 'ledger')}.processed_authors"
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("processed_date")
+    none = [F.lit(None).cast("int").alias(c) for c in ("deduplicated_books_count", "books_found")]
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("processing_order"), F.col("c_name").alias("author_name"), stamp,
+        F.col("c_nationkey").alias("raw_books_count"), *none)
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("processing_order"), F.col("s_name").alias("author_name"), stamp,
+        F.lit(None).cast("int").alias("raw_books_count"), *none)
+    writers.save_ledger(spark, customers, name)
+    writers.save_ledger(spark, suppliers, name)
+    return readers.ledger_table(spark, name).drop("processed_date")
+
+
 def kept_ids(spark, sf_dir):
     return ledger.ids_by_group(table(spark, sf_dir, "documents"), "source", "doc_id")
 
@@ -487,7 +549,7 @@ def result_cards(spark, sf_dir):
 
 def embed_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cells = vectors.embed(docs, "text").select("doc_id", F.posexplode("vector").alias("cell", "weight"))
+    cells = vectors.embed(docs, "text").select("doc_id", F.posexplode_outer("vector").alias("cell", "weight"))
     return cells.where(F.col("weight") != 0).select(
         "doc_id", "cell", F.round(F.col("weight").cast("double"), 5).alias("weight"))
 
@@ -507,6 +569,16 @@ def vector_rows(spark, sf_dir):
         F.size("vector").alias("dims")))
 
 
+def vector_table(spark, sf_dir):
+    """The given vectors written twice, then a third time without ids already there."""
+    name = f"{own_database(spark, 'vectors')}.vectors"
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    for mode in ("append", "append", "upsert"):
+        writers.write_vectors(rows, name, mode)
+    return readers.vector_table(spark, name).groupBy("id").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("dims"))
+
+
 # -- flagship -----------------------------------------------------------------------------------------
 
 
@@ -524,14 +596,16 @@ def catalogue_report(spark, sf_dir):
 
 QUERIES = [
     volume_filter, volume_filter_market, page_stop, response_items, json_fields, landed_partitions,
+    raw_table, author_lines, json_round_trip, csv_export,
     title_dedup, title_dedup_parts, description_pairs, description_dedup, deduplicated_books,
-    ledger_upsert, ledger_counts, count_mismatch, resume_slice, last_processed, kept_ids,
+    ledger_upsert, ledger_counts, count_mismatch, resume_slice, last_processed, ledger_table, kept_ids,
     flatten_nested, staged_range, parse_dates, year_of_date, distinct_rows, incremental_new,
     incremental_reprocess, latest_rows, partition_overwrite, staged_by_stream, append_frames,
     null_sentinels, clean_text, clean_pages, clean_books, text_measures, text_counts, truncate_labels,
     summary_cards, summary_cards_large, top_publishers, top_labels, category_share, share_filter,
     share_with_other, per_year, books_per_year, rating_histogram, newest_rows, highlight,
-    knn_l2, knn_cosine, knn_dot, result_cards, embed_rows, search_texts, vector_rows, catalogue_report,
+    knn_l2, knn_cosine, knn_dot, result_cards, embed_rows, search_texts, vector_rows, vector_table,
+    catalogue_report,
 ]
 
 
