@@ -100,11 +100,11 @@ def overlaps(rows: str, group: str, order: str, text: str) -> str:
     """hits(i, j): similar pairs of rows of a group, i < j; copies included."""
     return f"""compared AS (SELECT {group} AS g, {order} AS k, {words(text)} AS w FROM {rows}
   WHERE length({strip(f"coalesce({text}, '')")}) >= 50),
-spaced AS (SELECT *, array_to_string(w, ' ') AS s, len(w) AS n FROM compared),
-texts AS (SELECT g, s, any_value(w) AS w, any_value(n) AS n, min(k) AS first, count(*) AS copies FROM spaced GROUP BY g, s),
-inner_words AS (SELECT DISTINCT g, first, array_to_string(w[i:i + 2], ' ') AS key
+spaced AS MATERIALIZED (SELECT *, array_to_string(w, ' ') AS s, len(w) AS n FROM compared),
+texts AS MATERIALIZED (SELECT g, s, any_value(w) AS w, any_value(n) AS n, min(k) AS first, count(*) AS copies FROM spaced GROUP BY g, s),
+inner_words AS MATERIALIZED (SELECT DISTINCT g, first, array_to_string(w[i:i + 2], ' ') AS key
   FROM texts, unnest(range(1, n - 1)) r(i)),
-windows AS (SELECT g, first, n, p, array_to_string(w[p:p + 4], ' ') AS run, array_to_string(w[p + 1:p + 3], ' ') AS key
+windows AS MATERIALIZED (SELECT g, first, n, p, array_to_string(w[p:p + 4], ' ') AS run, array_to_string(w[p + 1:p + 3], ' ') AS key
   FROM texts, unnest(range(1, n - 3)) r(p)),
 starts AS (SELECT a.g, a.first AS i, b.first AS j, any_value(a.n) AS n, list(a.p ORDER BY a.p) AS ats
   FROM windows a JOIN inner_words b ON a.g = b.g AND a.key = b.key JOIN texts t ON t.g = b.g AND t.first = b.first
@@ -112,7 +112,7 @@ starts AS (SELECT a.g, a.first AS i, b.first AS j, any_value(a.n) AS n, list(a.p
 taken AS (SELECT g, i, j, n, list_reduce(ats, lambda m, p: CASE WHEN p >= m // 1000000 THEN (p + 5) * 1000000 + m % 1000000 + 1 ELSE m END,
   CAST(0 AS BIGINT)) % 1000000 AS m FROM starts),
 directed AS (SELECT g, i, j, least(5.0 * m / n, 1.0) AS overlap FROM taken WHERE CAST(5 * m AS DOUBLE) / n >= 0.8),
-alike AS (SELECT g, least(i, j) AS i, greatest(i, j) AS j, max(overlap) AS overlap FROM directed GROUP BY 1, 2, 3),
+alike AS MATERIALIZED (SELECT g, least(i, j) AS i, greatest(i, j) AS j, max(overlap) AS overlap FROM directed GROUP BY 1, 2, 3),
 hits AS (SELECT h.g, least(a.k, b.k) AS i, greatest(a.k, b.k) AS j FROM alike h
   JOIN texts ta ON ta.g = h.g AND ta.first = h.i JOIN spaced a ON a.g = ta.g AND a.s = ta.s
   JOIN texts tb ON tb.g = h.g AND tb.first = h.j JOIN spaced b ON b.g = tb.g AND b.s = tb.s
