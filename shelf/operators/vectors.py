@@ -156,10 +156,10 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, metric: s
 def result_cards(found: DataFrame, books: DataFrame) -> DataFrame:
     """Join the ranked ids to their books and lay out the card columns.
 
-    ``found`` holds a handful of rows per query, so the join is on ids and the books'
-    texts are read only where they are shown.
+    ``found`` holds a handful of rows per query. It is written first, so that its real size
+    decides whether it is broadcast or the books are shuffled by id.
     """
-    cards = found.join(books.select(*CARD_COLUMNS), "id")
+    cards = materialize(found, "found").join(books.select(*CARD_COLUMNS), "id")
     rated = F.coalesce(F.col("avg_rating"), F.lit(0.0)) != 0
     counted = F.coalesce(F.col("ratings_count"), F.lit(0)) != 0
     count_text = F.when(counted, F.format_string(" (%d ratings)", F.col("ratings_count"))).otherwise("")

@@ -120,5 +120,5 @@ def vector_table(spark: SparkSession, table: str) -> DataFrame | None:
 
 
 def file_counts(df: DataFrame) -> DataFrame:
-    """(file, rows): how many rows come from which file."""
+    """(file, rows): how many rows come from which file. ``df`` must not have been shuffled."""
     return df.select(F.input_file_name().alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))

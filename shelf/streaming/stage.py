@@ -42,11 +42,11 @@ def stage_stream(
 
     def stage(batch: DataFrame, _: int) -> None:
         touched = batch.select(date.alias("_date")).distinct()
-        if touched.isEmpty():
+        dates = [r[0] for r in touched.limit(MAX_DATES + 1).collect()]
+        if not dates:
             return
         session = batch.sparkSession
         whole = session.read.schema(schema).options(**options).parquet(raw_path)
-        dates = [r[0] for r in touched.limit(MAX_DATES + 1).collect()]
         if len(dates) <= MAX_DATES:
             whole = whole.where(date.isin(dates))
         else:

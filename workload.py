@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -441,7 +443,7 @@ def text_measures(spark, sf_dir):
 
 
 def text_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return readers.file_counts(books.with_text(docs, "text")).agg(
         F.sum("rows").alias("texts"), F.count(F.lit(1)).alias("files"))
 
@@ -517,10 +519,9 @@ def highlight(spark, sf_dir):
 
 def label_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query vector per label: the mean of the label's vectors."""
-    parts = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("at", "x"))
-    means = parts.groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy(F.col("label").alias("qid")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("vector"))
+    wide = array_to_vector(F.col("embedding").cast("array<double>"))
+    means = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("qid")).agg(Summarizer.mean(wide).alias("mean"))
+    return means.select("qid", vector_to_array("mean").alias("vector"))
 
 
 def _knn(spark, sf_dir, metric):
