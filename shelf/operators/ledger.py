@@ -50,18 +50,18 @@ def ids_by_group(df: DataFrame, group: str = "author", id: str = "id") -> DataFr
 
 
 def ledger_rows(authors: DataFrame, raw: DataFrame, kept: DataFrame, now: Column | None = None,
-                author: str = "author") -> DataFrame:
+                key: str = "processing_order") -> DataFrame:
     """One ledger row per author of the batch.
 
-    ``authors`` has processing_order and author_name; ``raw`` are the volumes after the
-    volume filter, ``kept`` those left by deduplication. Authors without books stay.
+    ``authors`` has the key and author_name; ``raw`` are the volumes after the volume
+    filter, ``kept`` those left by deduplication, both with the key. Authors without books
+    stay.
     """
-    raw_counts = group_counts(raw, author, "raw_books_count")
-    kept_counts = group_counts(kept, author, "deduplicated_books_count")
+    raw_counts = group_counts(raw, key, "raw_books_count")
+    kept_counts = group_counts(kept, key, "deduplicated_books_count")
     stamp = F.current_timestamp() if now is None else now
-    counts = raw_counts.join(kept_counts, author, "left").withColumnRenamed(author, "author_name")
     return with_defaults(
-        authors.join(counts, "author_name", "left")
+        authors.join(raw_counts, key, "left").join(kept_counts, key, "left")
         .withColumn("books_found", (F.coalesce("deduplicated_books_count", F.lit(0)) > 0).cast("int"))
         .withColumn("processed_date", stamp),
         stamp,

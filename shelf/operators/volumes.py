@@ -44,12 +44,11 @@ def page_items(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """One row per item; ``ord`` is its place in the author's result list.
 
     A page whose item array is missing gives no rows. Offsets advance by ``page_size``
-    per page, so ``ord`` is unique within an author.
+    per page, so ``ord`` is unique within an author. Other page columns are kept.
     """
-    return pages.select(
-        "author", "page", F.posexplode("items").alias("pos", "item")
-    ).select(
-        "author",
+    own = [c for c in pages.columns if c not in ("items", "totalItems")]
+    return pages.select(*own, F.posexplode("items").alias("pos", "item")).select(
+        *own,
         (F.col("page").cast("long") * page_size + F.col("pos")).alias("ord"),
         "item.id",
         "item.volumeInfo",
@@ -89,8 +88,9 @@ def volume_filter(
 
 
 def author_volumes(
-    pages: DataFrame, max_pages: int = INGEST_PAGES, page_size: int = PAGE_SIZE, **filters
+    pages: DataFrame, max_pages: int = INGEST_PAGES, page_size: int = PAGE_SIZE,
+    group: str = "author", **filters
 ) -> DataFrame:
     """Pages to qualifying volumes, in one plan."""
-    kept = page_stop(pages, max_pages=max_pages, page_size=page_size)
+    kept = page_stop(pages, group, max_pages=max_pages, page_size=page_size)
     return volume_filter(page_items(kept, page_size), **filters)

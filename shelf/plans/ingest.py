@@ -43,9 +43,10 @@ def ingest_batch(
     create_ledger(spark, ledger)
     batch = next_batch(authors, spark.table(ledger), batch_size, reset_from_start=reset_from_start)
     batch = materialize(batch, "batch")
-    own = pages.join(batch.select(F.col("author_name").alias("author")).distinct(), "author", "left_semi")
-    raw = materialize(author_volumes(own, max_pages), "raw")
-    kept = materialize(deduplicate_books(raw), "kept")
+    # by place in the list, not by name: an author listed twice is done twice
+    own = pages.join(batch.select("processing_order", F.col("author_name").alias("author")), "author")
+    raw = materialize(author_volumes(own, max_pages, group="processing_order"), "raw")
+    kept = materialize(deduplicate_books(raw, "processing_order"), "kept")
     land_books(kept.select("id", "volumeInfo", "saleInfo"), books_path, ids_path, at)
     rows = materialize(ledger_rows(batch, raw, kept, F.lit(at)), "ledger").select(*LEDGER.fieldNames())
     check_counts(batch, rows)

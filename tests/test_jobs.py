@@ -96,7 +96,8 @@ def test_ingest(spark, base):
         "Bob": [("Emma", text(5)), ("Emma", text(6))],
     }
     pages = spark.createDataFrame([page_rows(a, b) for a, b in books.items()], PAGE)
-    authors = spark.createDataFrame([(0, "Ann"), (1, "Bob"), (2, "Cy"), (3, "Dee")], "processing_order int, author_name string")
+    names = ["Ann", "Bob", "Cy", "Bob"]
+    authors = spark.createDataFrame(list(enumerate(names)), "processing_order int, author_name string")
     rows = ingest_batch(spark, authors, pages, f"{base}/books", f"{base}/ids", batch_size=3, at=AT)
 
     want = {}
@@ -116,6 +117,8 @@ def test_ingest(spark, base):
 
     ingest_batch(spark, authors, pages, f"{base}/books", f"{base}/ids", batch_size=3, at=AT)
     assert sorted(r.processing_order for r in readers.ledger_table(spark).collect()) == [0, 1, 2, 3]
+    again = [r.id for r in readers.raw_volumes(spark, f"{base}/books").collect()]
+    assert sorted(again) == sorted([*want["Ann"], *want["Bob"], *want["Bob"]])
 
 
 def test_raw_table_and_repair(spark, base):

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from conftest import plan_of
 from models import titles_left
 from shelf.operators.titles import title_dedup
 
@@ -48,3 +49,9 @@ def test_one_group_and_one_title_hold_most_rows(spark):
     titles = ["The Tide"] * 3000 + [f"The Tide, volume {k}" for k in range(500)] + ["Tide"]
     got = kept(spark, {"big": titles, "small": ["Tide", "A Tide"]})
     assert got == {"big": [3500], "small": [0]}
+
+
+def test_titles_are_never_paired_off(spark):
+    df = spark.createDataFrame([("a", 1, "Dune"), ("a", 2, "Dune Messiah")], "author string, ord long, title string")
+    text = plan_of(title_dedup(df))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text and "SortMergeJoin" in text

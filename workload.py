@@ -270,7 +270,7 @@ def ledger_upsert(spark, sf_dir):
 def ledger_counts(spark, sf_dir):
     authors = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("processing_order"), F.col("c_custkey").alias("author_name"))
-    raw = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "author")
+    raw = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "processing_order")
     kept = raw.where(F.col("o_orderstatus") == "F")
     rows = ledger.ledger_rows(authors, raw, kept, F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return rows.drop("processed_date")
