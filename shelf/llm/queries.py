@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelf.llm import quality_model
+from shelf.llm import quality_model, simhash
 from shelf.llm.common import table
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
@@ -18,5 +22,6 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_simhash": op4_simhash,
         "op5_quality_model": op5_quality_model,
     }
