@@ -2,6 +2,68 @@
 
 from __future__ import annotations
 
+REPEATED_UNITS = r"""
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+unit AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM cut),
+normal AS (
+  SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm,
+    sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1 AS start FROM unit),
+ranked AS (
+  SELECT *, norm <> '' AND len(string_split(norm, ' ')) >= 5 AS long_enough,
+    first_value(doc_id) OVER w AS first_doc, first_value(place) OVER w AS first_place, row_number() OVER w AS n
+  FROM normal WINDOW w AS (PARTITION BY norm ORDER BY doc_id, place)),
+joined AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY place) FILTER (NOT (long_enough AND n > 1)) AS text,
+    count(*) FILTER (long_enough AND n > 1) AS n_removed,
+    string_agg(concat_ws(':', start, start + length(line), first_doc, first_place), ',' ORDER BY place)
+      FILTER (long_enough AND n > 1) AS removed
+  FROM ranked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(j.text, '') END AS text,
+  coalesce(n_removed, 0)::INT AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
+"""
+
+
+def _divide(nodes: str, parent: str, name: str) -> str:
+    """One level of the mixing tree: ``nodes`` has (parent columns, name, holds, weight, budget)."""
+    by = f"PARTITION BY {parent} ORDER BY holds / weight::DOUBLE, {name}"
+    return f"""
+SELECT {parent}, {name}, CASE WHEN full_part THEN holds
+  ELSE (rest * upto) // open_weight - (rest * (upto - weight)) // open_weight END::BIGINT AS budget
+FROM (SELECT *, budget - sum(CASE WHEN full_part THEN holds ELSE 0 END) OVER (PARTITION BY {parent}) AS rest,
+    sum(CASE WHEN full_part THEN 0 ELSE weight END) OVER (PARTITION BY {parent}) AS open_weight,
+    sum(CASE WHEN full_part THEN 0 ELSE weight END) OVER ({by} ROWS UNBOUNDED PRECEDING) AS upto
+  FROM (SELECT *, holds::HUGEINT * sum(weight) OVER ({by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <=
+      (budget - coalesce(sum(holds) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS full_part
+    FROM {nodes}))"""
+
+
+MIXING = rf"""
+WITH counted AS (
+  SELECT doc_id, CASE try_cast(regexp_extract(source, '(\d{{1,9}})$', 1) AS BIGINT) % 3 WHEN 1 THEN 'books' WHEN 2 THEN 'forums' ELSE 'web' END AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY ALL),
+n1 AS (SELECT 0 AS root, domain, 2 * sum(tokens) AS holds, CASE domain WHEN 'web' THEN 4 WHEN 'books' THEN 3 WHEN 'forums' THEN 2 ELSE 1 END AS weight,
+    (SELECT floor(sum(tokens) * 0.6::DOUBLE)::BIGINT FROM leaves) AS budget FROM leaves GROUP BY domain),
+b1 AS ({_divide("n1", "root", "domain")}),
+n2 AS (SELECT root, domain, lang, holds, weight, budget FROM (SELECT domain, lang, 2 * sum(tokens) AS holds,
+    CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END AS weight FROM leaves GROUP BY domain, lang) JOIN b1 USING (domain)),
+b2 AS ({_divide("n2", "root, domain", "lang")}),
+n3 AS (SELECT root, domain, lang, source, 2 * tokens AS holds, 1 AS weight, budget FROM leaves JOIN b2 USING (domain, lang)),
+b3 AS ({_divide("n3", "root, domain, lang", "source")}),
+spend AS (SELECT domain, lang, source, CASE WHEN tokens = 0 THEN 0 ELSE budget // tokens END AS whole,
+    CASE WHEN tokens = 0 THEN 0 ELSE budget % tokens END AS rest FROM leaves JOIN b3 USING (domain, lang, source)),
+placed AS (SELECT *, md5('7:' || whole || ':' || doc_id) AS rank FROM counted JOIN spend USING (domain, lang, source)),
+started AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM placed)
+SELECT doc_id, domain, lang, source, e::INT AS epoch, tokens, tokens AS take FROM placed, range(whole) t(e)
+UNION ALL
+SELECT doc_id, domain, lang, source, whole::INT AS epoch, tokens, least(tokens, rest - start)::BIGINT AS take FROM started WHERE start < rest
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_repeated_units": REPEATED_UNITS,
+        "op8_mixing": MIXING,
+    }

@@ -4,12 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelf.llm import quality_model, simhash
+from shelf.llm import mixing, quality_model, simhash, units
 from shelf.llm.common import table
 
 
+def domain() -> Column:
+    """The mixing tree's first level: sources in three domains by their number."""
+    number = F.regexp_extract("source", r"(\d{1,9})$", 1).try_cast("long")
+    return F.when(number % 3 == 1, "books").when(number % 3 == 2, "forums").otherwise("web")
+
+
+WEIGHTS = {"domain": {"web": 4, "books": 3, "forums": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}}
+
+
+def op2_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = units.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        "text",
+        F.size("removed").alias("n_removed"),
+        F.array_join(
+            F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"], r["first_doc_id"], r["first_place"])), ","
+        ).alias("removed"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -20,8 +42,15 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return mixing.mix(mixing.word_counts(documents, domain()), WEIGHTS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_repeated_units": op2_repeated_units,
         "op4_simhash": op4_simhash,
         "op5_quality_model": op5_quality_model,
+        "op8_mixing": op8_mixing,
     }
