@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm import mixing, quality_model, simhash, units
+from shelf.llm import bpe, mixing, quality_model, simhash, units
 from shelf.llm.common import table
 
 
@@ -42,6 +42,18 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine and on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.digests(bpe.round_trip(documents, tokenizer_file("byte_bpe_50k.json")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return mixing.mix(mixing.word_counts(documents, domain()), WEIGHTS)
@@ -52,5 +64,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_repeated_units": op2_repeated_units,
         "op4_simhash": op4_simhash,
         "op5_quality_model": op5_quality_model,
+        "op7_bpe": op7_bpe,
         "op8_mixing": op8_mixing,
     }

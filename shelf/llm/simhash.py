@@ -33,22 +33,27 @@ PIVOTS = 16
 SHARED_BLOCKS = 3
 
 
-def fingerprint_text(text: str | None, shingle: int) -> int:
-    """The fingerprint of one whole text, as an unsigned number."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, repeats included."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six ASCII spaces only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = (size + 1).cumsum() - 1
     starts, last = ends - size, ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist(), strict=False)], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist(), strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, as an unsigned number: bits that over half of them have set."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):  # 64 bytes a hash at a time
-        ones += np.unpackbits(hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), 1, bitorder="little").sum(0, dtype=np.int64)
+        bits = np.unpackbits(hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), 1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -57,7 +62,7 @@ def fingerprint(shingle: int = 3):
 
     @F.pandas_udf("long")
     def fingerprints(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint_text(t, shingle) for t in text], np.uint64).view(np.int64))
+        return pd.Series(np.array([majority(shingle_hashes(t, shingle)) for t in text], np.uint64).view(np.int64))
 
     return fingerprints
 
@@ -185,10 +190,102 @@ def near_copies(documents: DataFrame, shingle: int = 3, reach: int = 3, block: i
     )
 
 
-def drop_near_copies(documents: DataFrame, shingle: int = 5, reach: int = 3, block: int = 2048) -> DataFrame:
+#: samples of shingles hold about this many at the coarsest of three levels, and half and a quarter of it at the others
+SAMPLE_SIZE = 8
+
+
+def sample_keys(distinct: np.ndarray, samples: int) -> np.ndarray:
+    """Keys of samples of a text's distinct shingle hashes; similar texts share some of them.
+
+    At each of three levels shingles fall into ``n`` classes by their hash, ``n`` a power of two that follows the text's
+    length, and the first ``samples`` classes that are not empty in the text give a key: a hash of level, class and all
+    shingles in it. Texts with a similarity of 0.8 differ in length by a quarter at most, so they share two levels at
+    least, and a class of three shingles is the same in both with a chance of a half.
+    """
+    finest = 4 * 2 ** int(np.log2(max(len(distinct) / SAMPLE_SIZE, 1)))
+    keys = []
+    for level in (finest, finest // 2, finest // 4):
+        of_class = (distinct % np.uint64(level)).astype(np.int64)
+        picked = of_class < samples
+        sums = np.zeros(min(level, samples), np.uint64)
+        np.add.at(sums, of_class[picked], distinct[picked])
+        full = np.flatnonzero(np.bincount(of_class[picked], minlength=len(sums)))
+        mixed = sums[full] ^ ((full.astype(np.uint64) + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15))
+        keys.append(mixed * np.uint64(0xD6E8FEB86659FD93))
+    return np.concatenate(keys).view(np.int64)
+
+
+def _links_with_least(keyed: DataFrame) -> DataFrame:
+    """(a, b): every ``first`` of a key with the least and the greatest of that key."""
+    ends = keyed.groupBy("key").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo <> hi")
+    other = F.explode(F.array("lo", "hi")).alias("b")
+    return keyed.join(ends, "key").select(F.col("first").alias("a"), other).where("a <> b").distinct()
+
+
+def similar_copies(
+    documents: DataFrame, shingle: int = 5, similarity: float = 0.8, reach: int = 3, samples: int = 8, block: int = 2048
+) -> DataFrame:
+    """(doc_id, component_id) of every document over links of texts whose shingle sets are similar enough (Jaccard).
+
+    Fingerprints of whole texts within a few bits only meet for texts that are nearly equal. So that texts at the given
+    similarity meet as well, samples of their shingles are compared for equality. Whichever way two texts meet, they
+    are linked only if their whole shingle sets are similar enough. Texts with equal shingle sets are collapsed first.
+    """
+
+    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                hashes = shingle_hashes(text, shingle)
+                distinct = np.unique(hashes)
+                whole = int(distinct.sum(dtype=np.uint64) ^ np.uint64(len(distinct)))
+                rows.append((doc_id, majority(hashes), whole, sample_keys(distinct, samples)))
+            out = pd.DataFrame(rows, columns=["doc_id", "fp", "whole", "keys"])
+            for name in ("fp", "whole"):
+                out[name] = out[name].to_numpy(np.uint64).view(np.int64)
+            yield out
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in frame["text"]]
+            yield pd.DataFrame({"id": frame["doc_id"], "shingles": found})
+
+    known = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    sketched = materialize(known.mapInPandas(sketch, "doc_id long, fp long, whole long, keys array<long>"), "sketches")
+    firsts = materialize(sketched.groupBy("whole").agg(F.min("doc_id").alias("first")), "firsts")
+    distinct = sketched.join(firsts, (F.col("doc_id") == F.col("first")) & (sketched.whole == firsts.whole)).select("first", "fp", "keys")
+
+    by_sample = _links_with_least(distinct.select("first", F.explode("keys").alias("key")))
+    classes = materialize(distinct.groupBy("fp").agg(F.min("first").alias("leader")), "classes")
+    equal = distinct.join(classes, "fp").select(F.col("leader").alias("a"), F.col("first").alias("b"))
+    linked = links(classes.select("fp"), reach, block)
+    near = (
+        linked.join(classes.select(F.col("fp").alias("a"), F.col("leader").alias("one")), "a")
+        .join(classes.select(F.col("fp").alias("b"), F.col("leader").alias("two")), "b")
+        .select(F.col("one").alias("a"), F.col("two").alias("b"))
+    )
+    met = by_sample.union(equal).union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(met.where("a <> b").distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
+    # one row per text that met another; only these texts are shingled again
+    again = known.join(asked, F.col("doc_id") == F.col("asked"), "left_semi").mapInPandas(sets, "id long, shingles array<long>")
+    again = materialize(again, "shingles")
+    both = pairs.join(again.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        again.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
+    )
+    # common / (sizes - common) >= similarity, with what is common worked out once
+    alike = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-9
+    edges = materialize(both.where(alike).select("a", "b"), "edges")
+
+    comp = components(edges)
+    named = firsts.join(comp, F.col("first") == F.col("node"), "left").select("whole", F.coalesce("comp", "first").alias("component_id"))
+    return sketched.join(named, "whole").select("doc_id", "component_id")
+
+
+def drop_near_copies(documents: DataFrame, **how) -> DataFrame:
     """The documents, with all their columns, without those that are a near copy of one with a smaller ``doc_id``.
 
-    Of several rows with the kept ``doc_id`` all stay.
+    Of several rows with the kept ``doc_id`` all stay, and so do rows without ``doc_id``.
     """
-    gone = near_copies(documents, shingle, reach, block).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return documents.join(gone.distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = similar_copies(documents, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return documents.join(materialize(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
