@@ -134,11 +134,12 @@ def round_trip(documents: DataFrame, path: str, cached_words: int = 200_000) ->
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of a round trip."""
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of a round trip, and what more of its columns is wanted."""
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )

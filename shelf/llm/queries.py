@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm import bpe, mixing, quality_model, simhash, units
+from shelf.llm import bpe, divergence, mixing, quality_model, sharding, simhash, units, url_filter, winnowing
 from shelf.llm.common import table
 
 
@@ -20,6 +20,13 @@ def domain() -> Column:
 WEIGHTS = {"domain": {"web": 4, "books": 3, "forums": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}}
 
 
+SHARDS = [f"shard-{n:02}" for n in range(64)]
+
+
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op2_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = units.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select(
@@ -32,6 +39,10 @@ def op2_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents", "doc_id"), "doc_id", SHARDS)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -59,11 +70,26 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.word_counts(documents, domain()), WEIGHTS)
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edit_study(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_divergence": op1_divergence,
         "op2_repeated_units": op2_repeated_units,
+        "op3_sharding": op3_sharding,
         "op4_simhash": op4_simhash,
         "op5_quality_model": op5_quality_model,
         "op7_bpe": op7_bpe,
         "op8_mixing": op8_mixing,
+        "op9_winnowing": op9_winnowing,
+        "op10_url_filter": op10_url_filter,
     }
