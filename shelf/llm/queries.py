@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm import bpe, divergence, mixing, quality_model, sharding, simhash, units, url_filter, winnowing
+from shelf.llm import bpe, divergence, mixing, quality_model, repair, sharding, simhash, units, url_filter, winnowing
 from shelf.llm.common import table
 
 
@@ -60,6 +60,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.coded(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.digests(bpe.round_trip(documents, tokenizer_file("byte_bpe_50k.json")))
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_simhash": op4_simhash,
         "op5_quality_model": op5_quality_model,
+        "op6_repair": op6_repair,
         "op7_bpe": op7_bpe,
         "op8_mixing": op8_mixing,
         "op9_winnowing": op9_winnowing,
