@@ -114,7 +114,8 @@ def _hang_together(group: np.ndarray, fp: np.ndarray, table: np.ndarray, reach:
             break
         open_ = left[label[left] != label[left + step]]  # not yet known to hang together
         kept = open_[np.abs(table[open_ + step] - table[open_]).max(1, initial=0) <= reach]
-        kept = kept[np.bitwise_count(fp[kept] ^ fp[kept + step]) <= reach]
+        apart = (fp[kept] ^ fp[kept + step]).view(np.uint64)  # of a negative number bitwise_count counts the absolute value
+        kept = kept[np.bitwise_count(apart) <= reach]
         a, b = kept, kept + step
         while len(a):
             low = np.minimum(label[a], label[b])
