@@ -1,0 +1,247 @@
+"""Divergence, sharding, winnowing and URL rules against plain models."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import pytest
+from brute import clashing, frame, odd_documents, prose, words
+from pyspark.sql import functions as F
+
+from shelf.llm import divergence, sharding, url_filter, winnowing
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+# -- divergence
+
+
+def base(text):
+    w = words(text)
+    at = defaultdict(list)
+    for k in range(len(w) - 7):
+        at[tuple(w[k : k + 8])].append(k)
+    repeated = {k + j for v in at.values() if len(v) > 1 for k in v for j in range(8)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    failed = len(w) < 20 or 100 * len(repeated) > 30 * len(w)
+    return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(repeated), failed
+
+
+def test_base_counts_equal_brute_force(spark):
+    block = prose(3, 12)
+    texts = [prose(1, 90), (block + " ") * 6, block + " x " + prose(2, 60) + " " + block, "a b c d e f g h " * 3 + "i", "w " * 40,
+             "#* $%\n&|\n&|\n \n<>\n"]
+    rows = odd_documents() + [(100 + k, t, "en", None, None) for k, t in enumerate(texts)]
+    got = divergence.judge(clashing(frame(spark, rows))).collect()
+    assert len(got) == len(rows)
+    want = Counter((r[0], *base(r[1])) for r in rows)
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+    assert not any(r.kept for r in got if r.base_failed)
+
+
+def js(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m) if a)
+    return math.sqrt(max((kl(p) + kl(q)) / 2, 0))
+
+
+def test_distances_equal_brute_force(spark):
+    rows = [(i, prose(i, 60 + i), "en" if i % 3 else "de", None, None) for i in range(30)]
+    rows += [(50, "#$%&*0123456789 " * 60 + prose(1, 40), "en", None, None), (51, prose(2, 70), "xx", None, None)]
+    classes = [re.compile(x) for x in (r"[a-z]", r"[A-Z]", r"[0-9]", r"\s", divergence.CLASSES["stops"])]
+
+    def shares(text):
+        n = [len(c.findall(text)) for c in classes]
+        return [*n, len(text) - sum(n)]
+
+    sums = defaultdict(lambda: [0] * 6)
+    for _, t, lang, *_ in rows:
+        if lang in divergence.COMMON_WORDS and not base(t)[5]:
+            for key in (lang, None):
+                sums[key] = [a + b for a, b in zip(sums[key], shares(t))]
+    unit = lambda n: [x / sum(n) for x in n]
+    got = {r.doc_id: r for r in divergence.judge(frame(spark, rows)).collect()}
+    for i, t, lang, *_ in rows:
+        reference = sums[lang if lang in divergence.COMMON_WORDS else None]
+        assert got[i].class_distance == pytest.approx(js(unit(shares(t)), unit(reference)))
+    assert not got[50].kept and got[1].kept
+
+
+def test_too_little_to_compare(spark):
+    rows = [(1, "Ab cd. " * 25, "en", None, None), (2, "a1 b2 c3 d4 e5 f6 g7 h8 i9 j1 k2 l3 m4 n5 o6 p7 q8 r9 s1 t2 u3 v4", "en", None, None)]
+    got = {r.doc_id: r for r in divergence.judge(frame(spark, rows), min_chars=10_000, min_words=10_000).collect()}
+    assert got[2].kept and got[2].class_distance is None and got[2].word_distance is None
+    assert divergence.judge(frame(spark, [])).collect() == []
+
+
+# -- sharding
+
+
+def brute_table(names, size):
+    digest = lambda n: hashlib.md5(n.encode()).hexdigest()
+    wish = [
+        [(int(digest(n)[:15], 16) + j * (int(digest(n)[15:30], 16) % (size - 1) + 1)) % size for j in range(size)] for n in names
+    ]
+    owner, free, turn = {}, set(range(size)), 0
+    while free:
+        slot = next(s for s in wish[turn % len(names)] if s in free)
+        owner[slot] = turn % len(names)
+        free.discard(slot)
+        turn += 1
+    return [owner[s] for s in range(size)]
+
+
+def test_lookup_table(spark):
+    names = [f"n{k}" for k in range(7)]
+    table = sharding.lookup_table(names, 211)
+    assert table == brute_table(names, 211)
+    held = Counter(table)
+    assert max(held.values()) - min(held.values()) <= 1
+    fewer = sharding.lookup_table(names[:-1], 211)
+    stayed = [a == b for a, b in zip(table, fewer) if a != 6]
+    assert sum(stayed) > 0.8 * len(stayed)
+    for bad in ((names, 210), (names, 7), ([], 211)):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(*bad)
+
+
+def test_placing(spark):
+    names = [f"n{k}" for k in range(5)]
+    rows = odd_documents() + [(1000 + k, None, None, None, None) for k in range(500)]
+    out = sharding.place(clashing(frame(spark, rows)), "doc_id", names, 101)
+    table = brute_table(names, 101)
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns == ["doc_id", "slot", "shard"]
+    for r in got:
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert r.slot == int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 101 and r.shard == names[table[r.slot]]
+    assert "BroadcastHashJoin" in plan_of(out) and "Python" not in plan_of(out)
+    assert sharding.place(frame(spark, []), "doc_id", names, 101).collect() == []
+
+
+# -- winnowing
+
+
+def brute_picks(spark, texts, k, w):
+    """Picks of each text as (hash, position); Spark only lends its hash function."""
+    out = []
+    for text in texts:
+        row = spark.createDataFrame([(words((text or "").lower()),)], "w array<string>")
+        hashes = [r.h for r in row.select(F.posexplode("w")).selectExpr("pos", "xxhash64(col) as h").orderBy("pos").collect()]
+        grams = [hashes[i : i + k] for i in range(max(len(hashes) - k + 1, min(len(hashes), 1)))]
+        if not grams:
+            out.append([])
+            continue
+        schema = "i int, " + ", ".join(f"h{j} long" for j in range(k))
+        frame_ = spark.createDataFrame([(i, *(g + [None] * (k - len(g)))) for i, g in enumerate(grams)], schema)
+        value = [r.v for r in frame_.selectExpr("i", f"xxhash64({', '.join(f'h{j}' for j in range(k))}) as v").orderBy("i").collect()]
+        low = [((v & 0xFFFFFFFF) ^ 0x80000000) - 0x80000000 for v in value]
+        chosen = set()
+        for at in range(max(len(low) - w + 1, 1)):
+            window = low[at : at + w]
+            chosen.add(at + max(j for j, v in enumerate(window) if v == min(window)))
+        out.append([(f"{low[p] & 0xFFFFFFFF:x}", p) for p in sorted(chosen)])
+    return out
+
+
+def test_picks_equal_brute_force(spark):
+    texts = [prose(1, 60), "a b c " * 20, "one two", "", None, prose(2, 9)]
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    got = docs.select("doc_id", winnowing.written(winnowing.picks(F.col("text"), 3, 4)).alias("f")).orderBy("doc_id").collect()
+    want = [" ".join(f"{h}@{p}" for h, p in x) for x in brute_picks(spark, texts, 3, 4)]
+    assert [r.f or "" for r in got] == want
+
+
+def test_a_shared_passage_shares_a_pick(spark):
+    passage = prose(9, 9).replace("\n", " ")  # w + k - 1 words
+    rows = [(1, prose(1, 50) + " " + passage + " " + prose(2, 30), None, None, None), (2, prose(3, 40) + " " + passage, None, None, None)]
+    picked = [set(r.h) for r in frame(spark, rows).select(winnowing.hashes(winnowing.picks(F.col("text"))).alias("h")).collect()]
+    assert picked[0] & picked[1]
+
+
+def test_edit_study(spark):
+    rows = [r for r in odd_documents() if r[0] not in (None, 5)] + [(20 + k, prose(k, 30 + 9 * k), None, None, None) for k in range(12)]
+    out = winnowing.edit_study(clashing(frame(spark, rows)).repartition(5))
+    got = {r.doc_id: r for r in out.collect()}
+    ordered = sorted((r[0], r[1] or "") for r in rows)
+    assert len(got) == len(rows)
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        q = len(text) // 4
+        edited = text[: len(text) - q] + after[:q]
+        assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
+    assert got[25].near_edited > 0.4 > 0.1 > got[25].near_next
+    assert "Python" not in plan_of(out) and "Arrow" not in plan_of(out)
+
+
+def test_edit_study_of_odd_rows(spark):
+    rows = odd_documents()
+    got = winnowing.edit_study(frame(spark, rows)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted({str(r[0]) for r in rows})  # one row an id
+    alone = winnowing.edit_study(frame(spark, rows[4:5])).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0
+    assert winnowing.edit_study(frame(spark, [])).collect() == []
+
+
+# -- URL rules
+
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def pages(spark, urls, html="<p>the cheap pills farm news daily weather report</p>"):
+    return spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+
+
+def test_parts_and_rules(spark):
+    urls = [None, "", "no scheme", "http://A.Example.NET/en/x?q#f", "http://notexample.net/en/", "https://example.com/de/1", "http://example.com/d",
+            "x://org/fr/", "http://shop.net", "http://a.org?x=/fr/", "http://É.example.net/de/", "a://b://c/d"]
+    got = url_filter.judge(pages(spark, urls), RULES).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule) for r in got] == [
+        ("", "", None), ("", "", None), ("", "", None), ("a.example.net", "/en/x", "example.net/en/"), ("notexample.net", "/en/", "net/"),
+        ("example.com", "/de/1", "example.com/de/"), ("example.com", "/d", None), ("org", "/fr/", "org/fr/"), ("shop.net", "", None),
+        ("a.org", "", None), ("É.example.net", "/de/", "net/"), ("b:", "//c/d", None),
+    ]
+    assert [r.verdict for r in got][3:6] == ["allow", "block", "block"]
+
+
+def every_split(name):
+    for r in range(len(name)):
+        for cuts in combinations(range(1, len(name)), r):
+            yield [name[a:b] for a, b in zip((0, *cuts), (*cuts, len(name)))]
+
+
+def test_split_is_the_likeliest_of_all():
+    uses = {"cheap": 5, "pills": 3, "che": 4, "ap": 4, "a": 9, "p": 1, "ill": 2, "s": 2, "pill": 1}
+    splitter = url_filter.Splitter(uses)
+    for name in ("cheappills", "apills", "chepas", "zzcheap", "x"):
+        cost = lambda parts: sum(splitter.cost.get(p, splitter.strange if len(p) == 1 else math.inf) for p in parts)
+        best = min(every_split(name), key=cost)
+        want = []
+        for p in best:
+            token = p if p in uses else url_filter.UNKNOWN
+            if token != url_filter.UNKNOWN or want[-1:] != [token]:
+                want.append(token)
+        assert splitter.split(name) == want
+
+
+def test_bayes_blocks_by_company(spark):
+    good = [f"http://{w}.example.org/{k}" for k, w in enumerate(["news", "daily", "weather", "report"] * 15)]
+    bad = [f"http://cheappills{x}.example.org/{k}" for k, x in enumerate(["", "farm", "daily"] * 5)]
+    got = url_filter.judge(clashing(pages(spark, good + bad)).drop("host"), RULES).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["allow"] * len(good) + ["block"] * len(bad)
+    assert got[len(good)].words.startswith("cheap pills")
+
+
+def test_odd_pages(spark):
+    rng = random.Random(1)
+    urls = [None, "http://" + "".join(rng.choices("abcdefgh", k=20_000)) + "/" + "x1" * 5000, "http://x/", "http://x/"]
+    docs = spark.createDataFrame([(None, u, None) for u in urls], "page_id long, url string, html string")
+    got = url_filter.judge(docs, RULES).collect()
+    assert len(got) == 4 and all(r.verdict == "allow" for r in got)
+    assert url_filter.judge(docs.where("false"), RULES).collect() == []
