@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +28,17 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """The words of a text; none for NULL."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+
+
+Made = TypeVar("Made")
+
+
+def per_worker(key: tuple, make: Callable[[], Made]) -> Made:
+    """What ``make`` returns, made once in a Python worker and kept there for its later tasks.
+
+    For tables that are dear to build and of bounded size. Nothing may depend on whether they were kept.
+    """
+    kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -35,6 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelf.llm.common import per_worker
 from shelf.scratch import materialize
 
 NO_ID = -(2**63)
@@ -72,7 +73,7 @@ class Encoder:
     files of the kind "BPE with word ends" do; then a text's ids are those of its pieces, one after the other.
     """
 
-    def __init__(self, path: str, end_id: int, most_pieces: int = 400_000):
+    def __init__(self, path: str, end_id: int, most_pieces: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -246,7 +247,7 @@ def write_shards(documents: DataFrame, tokenizer: str, end_id: int = 1, shard_to
     """Encode every document, write the shards to a table in the shared folder, and return that table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer, end_id)
+        encoder = per_worker(("pieces", tokenizer, end_id), lambda: Encoder(tokenizer, end_id))
         first_id = None
         number, held, doc_ids, lengths = 0, [], [], []
 
