@@ -4,7 +4,7 @@ A word's bytes form a doubly linked list of symbols. A priority queue holds the
 pair that has a merge; the least entry is applied, the two new neighbour pairs are queued, and an entry whose symbols
 have changed since it was queued is skipped. Decoding concatenates the byte strings of the ids.
 
-Words repeat, so a task keeps the ids of the words it has met in a table of bounded size. Texts of any length take
+Words repeat, so a worker keeps the ids of the words it has met in a table of bounded size. Texts of any length take
 time in proportion to their length (times the logarithm of the longest word).
 
 Defined results: NULL counts as the empty text, which has no ids. A special token's string in a text becomes its id.
@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelf.llm.common import per_worker
+
 #: fixed value: how byte-level BPE cuts a text into words (white space by its Unicode property)
 WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -42,7 +44,7 @@ def byte_letters() -> dict[int, str]:
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, cached_words: int = 200_000):
+    def __init__(self, path: str, cached_words: int = 500_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -57,10 +59,10 @@ class Codec:
         marks = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self.marks = regex.compile(f"({marks})") if marks else None
         self.words = regex.compile(WORDS)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.cached_words = cached_words
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> tuple[int, ...]:
         """The ids of one word, by a queue of merges over a linked list of symbols."""
         symbols: list[int | None] = [self.of_byte[b] for b in word.encode("utf-8", "replace")]
         merges, end = self.merges, len(symbols)
@@ -86,7 +88,7 @@ class Codec:
             previous = before[at]
             if previous >= 0 and (found := merges.get((symbols[previous], merged))):
                 heapq.heappush(queue, (found[0], previous, symbols[previous], merged, found[1]))
-        return [s for s in symbols if s is not None]
+        return tuple([s for s in symbols if s is not None])
 
     def _plain(self, text: str, ids: list[int]) -> None:
         known = self.known
@@ -118,11 +120,11 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def round_trip(documents: DataFrame, path: str, cached_words: int = 200_000) -> DataFrame:
+def round_trip(documents: DataFrame, path: str, cached_words: int = 500_000) -> DataFrame:
     """(doc_id, ids, decoded) of every document; ``path`` names a tokenizer file that every executor can read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path, cached_words)
+        codec = per_worker(("bpe", path, cached_words), lambda: Codec(path, cached_words))
         for frame in frames:
             for at in range(0, len(frame), 500):  # a few MB of ids at a time
                 part = frame.iloc[at : at + 500]
