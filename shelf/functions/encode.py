@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 Encoder = Callable[[list[str]], np.ndarray]
 DIMS = 64
+# texts that go through an encoder at a time
+BATCH = 500
 
 
 def hashing_encoder(dims: int = DIMS) -> Encoder:
@@ -24,17 +26,17 @@ def hashing_encoder(dims: int = DIMS) -> Encoder:
     """
 
     @lru_cache(maxsize=1 << 16)
-    def cell(word: str) -> tuple[int, float]:
+    def cell(word: str) -> int:
+        """Twice the word's cell, and one more where its sign is negative."""
         digest = hashlib.md5(word.encode("utf-8")).hexdigest()
-        return int(digest[:8], 16) % dims, 1.0 if digest[8] < "8" else -1.0
+        return int(digest[:8], 16) % dims * 2 + (digest[8] >= "8")
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims))
         for row, text in zip(out, texts):
-            for word in re.split(r"\s+", text.lower()):
-                if word:
-                    at, sign = cell(word)
-                    row[at] += sign
+            cells = list(map(cell, filter(None, re.split(r"\s+", text.lower()))))
+            counts = np.bincount(np.array(cells, np.int64), minlength=2 * dims)
+            row[:] = counts[0::2] - counts[1::2]
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms == 0, 1, norms)).astype("float32")
 
@@ -51,13 +53,18 @@ def sentence_encoder(model: str = "all-MiniLM-L6-v2") -> Encoder:
 
 
 def encode(text: Column | str, make: Callable[[], Encoder] = hashing_encoder) -> Column:
-    """Vector column of a text column. ``make`` runs once per task, not per batch."""
+    """Vector column of a text column.
+
+    ``make`` runs once per task, not per batch; the encoder sees ``BATCH`` texts at a time, whatever
+    the size of Arrow's batches.
+    """
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make()
         for batch in batches:
-            found = np.asarray(encoder(batch.fillna("").astype(str).tolist()), dtype="float32")
-            yield pd.Series(list(found))
+            texts = batch.fillna("").astype(str).tolist()
+            found = [np.asarray(encoder(texts[at:at + BATCH]), dtype="float32") for at in range(0, len(texts), BATCH)]
+            yield pd.Series([vector for part in found for vector in part], dtype=object)
 
     return vectors(text)

@@ -14,11 +14,12 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "processing_order"
            sequence: str | None = None) -> DataFrame:
     """Whole-row replace by key, the last change winning.
 
-    ``sequence`` orders several changes of one key; without it a key may change once.
+    ``sequence`` orders several changes of one key; without it a key may change once. A change
+    whose sequence is NULL comes before all others, but after the stored row.
     The winner is a ``max`` per key, which combines before the shuffle.
     """
     columns = current.columns
-    place = F.lit(0).cast("long") if sequence is None else F.col(sequence).cast("long")
+    place = F.lit(0).cast("long") if sequence is None else F.coalesce(F.col(sequence).cast("long"), F.lit(-(2**61)))
     rows = current.select(*columns, F.lit(None).cast("long").alias("_seq")).unionByName(
         changes.select(*columns, place.alias("_seq"))
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shelf.functions.text import shorten
 from shelf.schemas import DASHBOARD_COLUMNS
+from shelf.scratch import materialize
+
 
 
 def dashboard_rows(staged: DataFrame) -> DataFrame:
@@ -64,11 +66,13 @@ def share_filter(
 ) -> DataFrame:
     """Labels that hold at least ``share`` of all books.
 
-    The rest is left out, or added up as one 'Other' row with ``keep_other``. The
-    total is a scalar subquery over the counts, so no row is paired with any other.
+    The rest is left out, or added up as one 'Other' row with ``keep_other``. The books are
+    read once: the total, which includes books without a label, is summed over the counts.
     """
-    counts = label_counts(books, label)
-    total = books.agg(F.count(F.lit(1))).scalar()
+    label = F.col(label) if isinstance(label, str) else label
+    every = materialize(books.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("count")), "label-counts")
+    total = every.agg(F.sum("count")).scalar()
+    counts = every.where(F.col("label").isNotNull())
     large = F.col("count") >= total * F.lit(share)
     if not keep_other:
         return counts.where(large)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +20,12 @@ from shelf.scratch import materialize
 
 # result size of a search
 LIMIT = 5
-# query vectors that go to every task at once; more are answered in several passes
-QUERY_BLOCK = 2048
+# query vectors that go to every task at once, for one scan of the table
+QUERIES_PER_SCAN = 1 << 16
+# of those, so many are compared with a batch of vectors in one matrix product
+QUERY_CHUNK = 1024
+# each query's rows are ranked in so many parts first
+RANK_PARTS = 64
 METRICS = ("l2", "cosine", "dot")
 
 CARD_COLUMNS = [
@@ -48,58 +53,65 @@ def _scores(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray
         return 1 - dots / np.sqrt(vv * qq)
 
 
-def _exact(vectors: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
-    """Scores summed row by row, so that equal vectors get equal scores."""
+def _exact(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of pairs of rows, summed row by row, so that equal vectors get equal scores."""
     if metric == "l2":
-        return ((vectors - query) ** 2).sum(axis=1)
-    dots = (vectors * query).sum(axis=1)
+        return ((vectors - queries) ** 2).sum(axis=1)
+    dots = (vectors * queries).sum(axis=1)
     if metric == "dot":
         return -dots
-    return 1 - dots / np.sqrt((vectors * vectors).sum(axis=1) * (query * query).sum())
+    return 1 - dots / np.sqrt((vectors * vectors).sum(axis=1) * (queries * queries).sum(axis=1))
 
 
-def _nearest_per_task(block: list, k: int, metric: str, schema: pa.Schema):
-    qids = [r["qid"] for r in block]
-    matrix = np.asarray([r["vector"] for r in block], dtype="float64")
+def _near_rows(vectors: np.ndarray, queries: np.ndarray, worst: np.ndarray, k: int, metric: str):
+    """(row, query, score) that may be among the k nearest, given the worst score kept so far."""
+    rough = _scores(vectors, queries, metric)
+    # wider than the rounding of the matrix product
+    slack = 1e-9 * (1 + np.abs(np.nan_to_num(rough)).max(axis=0))
+    cut = worst if len(rough) <= k else np.fmin(worst, np.partition(rough, k - 1, axis=0)[k - 1])
+    rows, asked = np.nonzero(rough <= cut + slack)
+    return rows, asked, _exact(vectors[rows], queries[asked], metric)
+
+
+def _nearest_per_task(asked: list, k: int, metric: str, schema: pa.Schema):
+    qids = np.array([r["qid"] for r in asked], dtype=object)
+    matrix = np.asarray([r["vector"] for r in asked], dtype="float64")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple]] = [[] for _ in qids]
+        chunks = range(0, len(matrix), QUERY_CHUNK)
+        best = {at: pd.DataFrame({"q": [], "score": [], "id": []}) for at in chunks}
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(1)))
             if not batch.num_rows:
                 continue
-            ids = batch.column(0)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             vectors = vectors.astype("float64").reshape(batch.num_rows, -1)
-            rough = _scores(vectors, matrix, metric)
-            # wider than the rounding of the matrix product
-            slack = 1e-9 * (1 + np.abs(np.nan_to_num(rough)).max(axis=0))
-            for q, held in enumerate(best):
-                column = rough[:, q]
-                worst = held[-1][0] if len(held) == k else np.inf
-                near = np.flatnonzero(column <= worst + slack[q])
-                if len(near) > k:
-                    cut = np.partition(column[near], k - 1)[k - 1]
-                    near = near[column[near] <= cut + slack[q]]
-                if len(near):
-                    exact = _exact(vectors[near], matrix[q], metric)
-                    new = zip(exact.tolist(), ids.take(pa.array(near)).to_pylist())
-                    best[q] = sorted(held + list(new))[:k]
-        found = [(qids[q], i, d) for q, rows in enumerate(best) for d, i in rows]
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+            for at in chunks:
+                part, held = matrix[at:at + QUERY_CHUNK], best[at]
+                worst = np.full(len(part), np.inf)
+                full = held.groupby("q")["score"].nth(k - 1)
+                worst[held.loc[full.index, "q"].astype(int)] = full
+                rows, q, score = _near_rows(vectors, part, worst, k, metric)
+                new = pd.DataFrame({"q": q, "score": score, "id": ids[rows]})
+                both = pd.concat([held, new], ignore_index=True) if len(held) else new
+                best[at] = both.sort_values(["q", "score", "id"]).groupby("q").head(k).reset_index(drop=True)
+        for at, held in best.items():
+            if len(held):
+                columns = (qids[held["q"].to_numpy(int) + at], held["id"], held["score"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def _search_block(scan: DataFrame, block: list, k: int, metric: str, out: T.StructType) -> DataFrame:
-    block = [r for r in block if r["vector"] is not None]
-    if not block:
-        return scan.sparkSession.createDataFrame([], out)
-    found = scan.mapInArrow(_nearest_per_task(block, k, metric, to_arrow_schema(out)), out)
+def _first_ranks(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, in two steps, so that no task ranks what all tasks have kept for it."""
+    part = F.pmod(F.xxhash64("id"), F.lit(RANK_PARTS))
+    some = Window.partitionBy("qid", part).orderBy("score", "id")
+    fewer = found.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= k).drop("rank")
     order = Window.partitionBy("qid").orderBy("score", "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return fewer.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest(
@@ -111,15 +123,15 @@ def nearest(
     vector: str = "vector",
     qid: str = "qid",
     query_vector: str = "vector",
-    block: int = QUERY_BLOCK,
+    per_scan: int = QUERIES_PER_SCAN,
 ) -> DataFrame:
     """(qid, rank, id, distance): the ``k`` nearest vectors of each query, ties by id.
 
-    Exact. Every task scans its vectors against the query matrix and keeps ``k`` rows per
-    query, so what is shuffled is tasks x queries x k rows, never vector-query pairs.
-    A task holds at most ``block`` queries; more are cut into blocks by a hash of their id
-    and answered by one scan of the vectors per block. Vectors without a distance (cosine
-    of a zero vector) are no result.
+    Exact. Every task scans its vectors against all queries, a chunk of queries at a time, and
+    keeps ``k`` rows per query, so what is shuffled is tasks x queries x k rows, never
+    vector-query pairs. About ``per_scan`` queries travel to the tasks at once; they are
+    dealt out by a hash of their id, one scan of the vectors for each part. Vectors without a
+    distance (cosine of a zero vector) are no result.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
@@ -130,17 +142,13 @@ def nearest(
         T.StructField("id", scan.schema["id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    head = asked.limit(block + 1).collect()
-    if len(head) <= block:
-        found = _search_block(scan, head, k, metric, out)
-    else:
-        blocks = -(-2 * asked.count() // block)
-        cut = materialize(asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))), "queries", ["block"])
-        parts = [
-            materialize(_search_block(scan, cut.where(F.col("block") == b).collect(), k, metric, out), "nearest")
-            for b in range(blocks)
-        ]
-        found = reduce(DataFrame.union, parts)
+    asked = materialize(asked.where(F.col("vector").isNotNull()), "queries")
+    scans = max(1, -(-asked.count() // per_scan))
+    parts = []
+    for part in range(scans):
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(scans)) == part).collect()
+        parts.append(scan.mapInArrow(_nearest_per_task(rows, k, metric, to_arrow_schema(out)), out))
+    found = _first_ranks(reduce(DataFrame.union, parts), k)
     distance = F.sqrt(F.greatest("score", F.lit(0.0))) if metric == "l2" else F.col("score")
     return found.select("qid", "rank", "id", distance.alias("distance"))
 
@@ -154,7 +162,7 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT, metric: s
 
 
 def result_cards(found: DataFrame, books: DataFrame) -> DataFrame:
-    """Join the ranked ids to their books and lay out the card columns.
+    """Join the ranked ids to their books and lay out the card columns; an id without a book has no card.
 
     ``found`` holds a handful of rows per query. It is written first, so that its real size
     decides whether it is broadcast or the books are shuffled by id.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,9 @@ from shelf.sources.readers import staged
 
 
 def high_water_mark(target: DataFrame) -> str | None:
-    """Latest staged date; one value, so that it can prune partitions as a literal."""
-    return target.agg(F.max("processing_date")).first()[0]
+    """Latest staged date, from the names of the partitions' files alone; it can prune partitions as a literal."""
+    found = (re.search(r"/processing_date=([^/]+)/", file) for file in target.inputFiles())
+    return max((unquote(m[1]) for m in found if m and m[1] != "__HIVE_DEFAULT_PARTITION__"), default=None)
 
 
 def stage_dates(
@@ -28,11 +32,15 @@ def stage_dates(
     """Stage the dates of the range that the target does not have yet.
 
     With 'drop' only dates past the mark are staged; 'reprocess' stages the mark's own
-    date again, whole. Touched partitions are replaced, all others stay.
+    date again, whole. Touched partitions are replaced, all others stay. ``limit`` is for trial
+    runs into a new target: replacing whole dates by a few of their rows is refused.
     """
     if on_late not in ("drop", "reprocess"):
         raise ValueError(f"on_late must be 'drop' or 'reprocess', not {on_late!r}")
-    have = None if full_refresh else staged(spark, target)
+    there = staged(spark, target)
+    if limit is not None and there is not None:
+        raise ValueError("a limited run must not replace staged dates; give it a target of its own")
+    have = None if full_refresh else there
     if have is not None:
         mark = high_water_mark(have)
         if mark is None and on_late == "drop":

@@ -13,8 +13,6 @@ SETTINGS = {
     "spark.sql.legacy.sizeOfNull": "false",
     # '07' in a path stays text
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
-    # the encoder sees batches of 500 rows
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 

@@ -66,14 +66,14 @@ def save_ledger(spark: SparkSession, changes: DataFrame, table: str = "processed
 def write_vectors(vectors: DataFrame, table: str, mode: str = "append", key: str = "id") -> int:
     """Create the vector table or add to it; returns the number of rows written.
 
-    'append' adds the same ids again when a date range is run twice. 'upsert' leaves out
-    ids the table already has.
+    'append' adds the same ids again when a date range is run twice. 'append_new' leaves out
+    ids the table already has; it never changes a stored vector.
     """
     spark = vectors.sparkSession
-    if mode not in ("append", "upsert"):
-        raise ValueError(f"mode must be 'append' or 'upsert', not {mode!r}")
+    if mode not in ("append", "append_new"):
+        raise ValueError(f"mode must be 'append' or 'append_new', not {mode!r}")
     exists = spark.catalog.tableExists(table)
-    if exists and mode == "upsert":
+    if exists and mode == "append_new":
         vectors = vectors.join(spark.table(table).select(key), key, "left_anti").select(*spark.table(table).columns)
     seen = Observation()
     counted = vectors.observe(seen, F.count(F.lit(1)).alias("rows"))

@@ -12,9 +12,6 @@ from shelf.operators.staging import stage_rows
 from shelf.schemas import RAW
 from shelf.sinks.writers import overwrite_partitions
 
-# dates named as literals, which prune partitions before the scan
-MAX_DATES = 1000
-
 
 def stage_stream(
     spark: SparkSession,
@@ -41,16 +38,12 @@ def stage_stream(
         source = source.option("maxFilesPerTrigger", files_per_batch)
 
     def stage(batch: DataFrame, _: int) -> None:
-        touched = batch.select(date.alias("_date")).distinct()
-        dates = [r[0] for r in touched.limit(MAX_DATES + 1).collect()]
+        # the driver lists every file of these partitions anyway; named as literals they prune the scan
+        dates = [r[0] for r in batch.select(date.alias("_date")).distinct().collect()]
         if not dates:
             return
         session = batch.sparkSession
-        whole = session.read.schema(schema).options(**options).parquet(raw_path)
-        if len(dates) <= MAX_DATES:
-            whole = whole.where(date.isin(dates))
-        else:
-            whole = whole.join(touched, date == touched["_date"], "left_semi")
+        whole = session.read.schema(schema).options(**options).parquet(raw_path).where(date.isin(dates))
         overwrite_partitions(rows(whole), target, by)
 
     query = (

@@ -173,7 +173,7 @@ def test_vector_table(spark, base):
     assert build_vectors(spark, target, "2024-01-01", "2024-01-31") == 1
     assert build_vectors(spark, target, "2024-01-01", "2024-01-31") == 1
     assert readers.vector_table(spark, "vectors").count() == 2
-    assert build_vectors(spark, target, "2024-01-01", "2024-01-31", mode="upsert") == 0
+    assert build_vectors(spark, target, "2024-01-01", "2024-01-31", mode="append_new") == 0
     assert readers.vector_table(spark, "vectors").count() == 2
 
 

@@ -32,15 +32,15 @@ def brute(rows, query, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
-@pytest.mark.parametrize("block", [2048, 3])
-def test_nearest_equals_a_full_scan(spark, metric, block):
+@pytest.mark.parametrize("per_scan", [2048, 3])
+def test_nearest_equals_a_full_scan(spark, metric, per_scan):
     rnd = random.Random(9)
     rows = [(f"v{k:04}", [rnd.gauss(0, 1) for _ in range(8)]) for k in range(900)]
     rows += [(f"w{k:04}", rows[k][1]) for k in range(300)] + [("zero", [0.0] * 8), ("none", None)]
     asked = [(k, [float(x) for x in np.float32([rnd.gauss(0, 1) for _ in range(8)])]) for k in range(5)]
     asked.append((5, [float(x) for x in np.float32(rows[0][1])]))
     queries = spark.createDataFrame(asked, "qid int, vector array<double>")
-    found = nearest(vectors(spark, rows).repartition(5), queries, 5, metric, block=block).collect()
+    found = nearest(vectors(spark, rows).repartition(5), queries, 5, metric, per_scan=per_scan).collect()
     for qid, q in asked:
         got = [(r.id, round(r.distance, 9)) for r in sorted(found, key=lambda r: r.rank) if r.qid == qid]
         assert got == brute(rows, q, 5, metric)

@@ -574,7 +574,7 @@ def vector_table(spark, sf_dir):
     """The given vectors written twice, then a third time without ids already there."""
     name = f"{own_database(spark, 'vectors')}.vectors"
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    for mode in ("append", "append", "upsert"):
+    for mode in ("append", "append", "append_new"):
         writers.write_vectors(rows, name, mode)
     return readers.vector_table(spark, name).groupBy("id").agg(
         F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("dims"))
