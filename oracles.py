@@ -207,7 +207,7 @@ def oracle_sql() -> dict[str, str]:
               FROM orders GROUP BY 1) r ON o_custkey = c_custkey""",
         "count_mismatch": """SELECT coalesce(c_custkey, o_custkey) AS processing_order, c_custkey IS NOT NULL AS in_raw,
               o_custkey IS NOT NULL AS in_kept
-            FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey
+            FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey
             WHERE c_custkey IS NULL OR o_custkey IS NULL""",
         "resume_slice": """SELECT c_custkey AS processing_order, c_name FROM customer, (SELECT max(s_suppkey) + 1 AS s FROM supplier)
             WHERE c_custkey >= s AND c_custkey < s + 5""",
@@ -289,11 +289,51 @@ def oracle_sql() -> dict[str, str]:
               CROSS JOIN (SELECT key, sqrt(sum(CAST(weight AS DOUBLE) * weight)) AS dn FROM d GROUP BY 1) s
               LEFT JOIN (SELECT q.key AS a, d.key AS b, sum(CAST(q.weight AS DOUBLE) * d.weight) AS dot
                 FROM q JOIN d ON q.cell = d.cell GROUP BY 1, 2) x ON x.a = b.item_id AND x.b = s.key),
-            ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM scored)
-            SELECT qid, rank, round(distance, 4) AS distance FROM ranked WHERE rank <= 5""",
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) AS rank FROM scored)
+            SELECT qid, rank, id, round(distance, 4) AS distance FROM ranked WHERE rank <= 5""",
         "vector_rows": f"""WITH {STAGED} SELECT id, title, CAST(published_date AS VARCHAR) AS published_date,
             length({clean('description')}) AS characters, 64 AS dims FROM staged WHERE {clean('description')} <> ''""",
         "vector_table": "SELECT vec_id AS id, 2 AS rows, len(embedding) AS dims FROM embeddings",
+        "staging_job": f"""WITH {STAGED} SELECT id, title, publisher, CAST(published_date AS VARCHAR) AS published_date, list_price,
+            processing_date FROM staged""",
+        "ingest_job": f"""WITH parted AS (SELECT * REPLACE (source || '-' || doc_id // 1000 AS source) FROM documents),
+            {VOLUMES.replace('FROM documents', 'FROM parted')},
+            placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM volumes),
+            raw AS (SELECT * FROM placed WHERE place <= 400 AND language = 'en' AND title <> '' AND length(text) > 100),
+            {title_rule('raw', 'source', 'doc_id', 'title', '*')},
+            {overlaps('kept', 'source', 'doc_id', 'text')}, {gone()},
+            left_over AS (SELECT source, count(*) AS n FROM kept d
+              WHERE NOT EXISTS (SELECT 1 FROM gone x WHERE x.g = d.source AND x.k = d.doc_id) GROUP BY 1),
+            found AS (SELECT source, count(*) AS n FROM raw GROUP BY 1),
+            listed AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS o FROM (SELECT DISTINCT source FROM parted))
+            SELECT CAST(o AS INTEGER) AS processing_order, l.source AS author_name, '2024-03-05 07:08:09' AS processed_date,
+              CAST(coalesce(f.n, 0) AS INTEGER) AS raw_books_count, CAST(coalesce(k.n, 0) AS INTEGER) AS deduplicated_books_count,
+              CAST(coalesce(k.n, 0) > 0 AS INTEGER) AS books_found, coalesce(k.n, 0) AS landed
+            FROM listed l LEFT JOIN found f ON f.source = l.source LEFT JOIN left_over k ON k.source = l.source""",
+        "vector_job": f"""WITH {STAGED}, t AS (SELECT processing_date AS d FROM staged WHERE {clean('description')} <> '')
+            SELECT '2024-01-01 to 2024-01-10' AS step, count(*) AS rows FROM t WHERE d <= '2024-01-10'
+            UNION ALL SELECT '2024-01-11 to 2024-01-28', count(*) FROM t WHERE d > '2024-01-10'
+            UNION ALL SELECT '2025-01-01 to 2025-12-31', 0 UNION ALL SELECT 'no description', 0
+            UNION ALL SELECT 'stored', count(*) FROM t""",
+        "recommend_job": f"""WITH {STAGED}, cleaned AS (SELECT id, title, {clean('description')} AS text FROM staged),
+            {VECTORS % ('d', 'id', "cleaned WHERE text <> ''")}, {VECTORS % ('q', 'item_id', 'benchmark')},
+            scored AS (SELECT b.item_id AS qid, s.key AS id, coalesce(dot, 0) AS dot, qn, dn
+              FROM benchmark b JOIN (SELECT key AS qk, sum(CAST(weight AS DOUBLE) * weight) AS qn FROM q GROUP BY 1) ON qk = b.item_id
+              CROSS JOIN (SELECT key, sum(CAST(weight AS DOUBLE) * weight) AS dn FROM d GROUP BY 1) s
+              LEFT JOIN (SELECT q.key AS a, d.key AS b, sum(CAST(q.weight AS DOUBLE) * d.weight) AS dot
+                FROM q JOIN d ON q.cell = d.cell GROUP BY 1, 2) x ON x.a = b.item_id AND x.b = s.key),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(qn + dn - 2 * dot, 9), id) AS rank FROM scored)
+            SELECT qid, rank, id, title, least(length(text), 150) + 3 AS preview_length
+            FROM ranked JOIN cleaned USING (id) WHERE rank <= 5""",
+        "dashboard_job": f"""WITH {BOOKS}
+            SELECT 'summary' AS panel, 'books' AS label, count(*) AS value FROM books
+            UNION ALL SELECT 'per_year', CAST(publication_year AS VARCHAR), count(*) FROM books WHERE publication_year IS NOT NULL GROUP BY 2
+            UNION ALL (SELECT 'publishers', publisher, count(*) FROM books GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 8)
+            UNION ALL SELECT 'categories', primary_category, count(*) FROM books GROUP BY 2 HAVING count(*) >= 0.02 * (SELECT count(*) FROM books)
+            UNION ALL SELECT 'ratings', CAST(CAST(least(floor(avg_rating / 0.5), 9) AS INTEGER) AS VARCHAR), count(*) FROM books GROUP BY 2
+            UNION ALL (SELECT 'newest', title, publication_year FROM books ORDER BY publication_year DESC NULLS LAST, title LIMIT 5)""",
+        "differing_files": """SELECT doc_id AS id, lang, n_chars, NULL AS url FROM documents
+            UNION ALL SELECT page_id, NULL, NULL, url FROM pages""",
         "catalogue_report": f"""WITH docs AS (SELECT doc_id, source, text, {TITLE} AS title FROM documents
               WHERE lang = 'en' AND length(text) > 100),
             {title_rule('docs', 'source', 'doc_id', 'title', '*')}

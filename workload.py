@@ -8,18 +8,22 @@ staging rules occurs.
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelf.functions import text as text_fn
 from shelf.functions.values import publication_year, published_date
 from shelf.operators import books, descriptions, ledger, staging, stats, titles, vectors, volumes
-from shelf.plans.ingest import deduplicate_books
-from shelf.plans.search import vectorize
+from shelf.plans.dashboard import dashboard
+from shelf.plans.ingest import deduplicate_books, ingest_batch
+from shelf.plans.search import build_vectors, recommend, vectorize
+from shelf.plans.staging import stage_dates
 from shelf.schemas import RAW, VOLUME
 from shelf.scratch import materialize, scratch_root, spread
 from shelf.session import apply_settings
@@ -278,7 +282,8 @@ def ledger_counts(spark, sf_dir):
 
 def count_mismatch(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("processing_order"))
-    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("processing_order")).distinct()
+    pending = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
+    ordered = pending.select(F.col("o_custkey").alias("processing_order")).distinct()
     odd = ledger.count_mismatch(customers, ordered)
     return odd.select("processing_order", F.coalesce("in_raw", F.lit(False)).alias("in_raw"),
                       F.coalesce("in_kept", F.lit(False)).alias("in_kept"))
@@ -560,7 +565,7 @@ def search_texts(spark, sf_dir):
     docs = vectors.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     asked = table(spark, sf_dir, "benchmark")
     found = vectors.search(docs, asked, metric="cosine", text="text", qid="item_id", id="doc_id")
-    return found.select("qid", "rank", F.round("distance", 4).alias("distance"))
+    return found.select("qid", "rank", "id", F.round("distance", 4).alias("distance"))
 
 
 def vector_rows(spark, sf_dir):
@@ -580,6 +585,110 @@ def vector_table(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("dims"))
 
 
+# -- whole jobs ----------------------------------------------------------------------------------------
+
+
+def staging_job(spark, sf_dir):
+    """Landed volumes staged in three runs: half a month, what came after, and the last day again."""
+    landed, target = own_path(spark, "landed"), own_path(spark, "staged")
+    land_raw(raw_docs(spark, sf_dir), landed)
+    raw = readers.raw_volumes(spark, landed)
+    stage_dates(spark, raw, target, "2024-01-01", "2024-01-15")
+    stage_dates(spark, raw, target, "2024-01-01", "2024-01-28")
+    stage_dates(spark, raw, target, "2024-01-01", "2024-01-28", on_late="reprocess")
+    staged = readers.staged_files(spark, target, "2024-01-01", "2024-01-31")
+    return readable(staged.select("id", "title", "publisher", "published_date", "list_price", "processing_date"))
+
+
+# documents of one source and of so many neighbouring ids are one author's
+AUTHOR_IDS = 1000
+
+
+def by_author(docs: DataFrame) -> DataFrame:
+    """Documents whose source is an author of at most ``AUTHOR_IDS`` books."""
+    name = F.concat_ws("-", "source", (F.col("doc_id") / AUTHOR_IDS).cast("long"))
+    return docs.withColumn("source", name)
+
+
+def landed_pages(volumes_: DataFrame, path: str) -> None:
+    """Each author's volumes as response files, forty items a page."""
+    place = F.row_number().over(Window.partitionBy("author").orderBy("ord")) - 1
+    numbered = volumes_.select("author", "ord", "id", "volumeInfo", "saleInfo", place.alias("place"))
+    page = F.floor(F.col("place") / volumes.PAGE_SIZE).cast("int")
+    item = F.struct("ord", F.struct("id", "volumeInfo", "saleInfo").alias("item"))
+    pages = numbered.groupBy("author", page.alias("page")).agg(F.array_sort(F.collect_list(item)).alias("sorted"))
+    writers.write_json(pages.select("author", "page", F.col("sorted.item").alias("items")), path)
+
+
+def ingest_job(spark, sf_dir):
+    """Response files and an author list to landed books, their ids and the ledger, in two batches."""
+    docs = by_author(table(spark, sf_dir, "documents"))
+    responses, listed, books, ids = (own_path(spark, n) for n in ("responses", "authors", "books", "ids"))
+    landed_pages(volumes_of(docs), responses)
+    names = docs.select("source").distinct()
+    names.orderBy("source").write.text(listed)
+    name = f"{own_database(spark, 'ledger')}.processed_authors"
+    size = -(-names.count() // 2)
+    for _ in range(2):
+        ingest_batch(spark, readers.author_list(spark, listed), readers.responses(spark, responses), books, ids,
+                     name, size, at=datetime(2024, 3, 5, 7, 8, 9))
+    landed = spark.read.parquet(books).where("date = '2024-03-05' and hour = 7").select("id", "volumeInfo.authors")
+    counted = landed.join(spark.read.parquet(ids).select("id"), "id").groupBy(F.col("authors")[0].alias("author_name"))
+    return (
+        readers.ledger_table(spark, name)
+        .join(counted.agg(F.count(F.lit(1)).alias("landed")), "author_name", "left")
+        .select("processing_order", "author_name", F.date_format("processed_date", "yyyy-MM-dd HH:mm:ss").alias("processed_date"),
+                "raw_books_count", "deduplicated_books_count", "books_found", F.coalesce("landed", F.lit(0)).alias("landed"))
+    )
+
+
+def vector_job(spark, sf_dir):
+    """How many vectors each run writes: two ranges of dates, one without files, one without a description."""
+    path, database = own_path(spark, "staged"), own_database(spark, "vectors")
+    writers.overwrite_partitions(staged_docs(spark, sf_dir), path)
+    runs = [("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-28"), ("2025-01-01", "2025-12-31")]
+    written = [(f"{a} to {b}", build_vectors(spark, path, a, b, f"{database}.books")) for a, b in runs]
+    bare = vectorize(readers.staged_files(spark, path, *runs[0]).drop("description"))
+    written.append(("no description", writers.write_vectors(bare, f"{database}.bare")))
+    steps = spark.createDataFrame(written, "step string, rows long")
+    stored = readers.vector_table(spark, f"{database}.books").agg(F.lit("stored").alias("step"), F.count(F.lit(1)).alias("rows"))
+    return steps.union(stored)
+
+
+def recommend_job(spark, sf_dir):
+    """Cards of the books nearest to every benchmark text."""
+    books = materialize(vectorize(staged_docs(spark, sf_dir)), "vectors")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return recommend(books, asked).select("qid", "rank", "id", "title", F.length("preview").alias("preview_length"))
+
+
+def dashboard_job(spark, sf_dir):
+    """Every panel of the dashboard as (panel, label, value)."""
+    panels = dashboard(staged_docs(spark, sf_dir), AS_OF_YEAR)
+    shown = {
+        "summary": (F.lit("books"), F.col("total_books")),
+        "per_year": (F.col("publication_year"), F.col("count")),
+        "publishers": (F.col("label"), F.col("count")),
+        "categories": (F.col("label"), F.col("count")),
+        "ratings": (F.col("bin"), F.col("count")),
+        "newest": (F.col("title"), F.col("publication_year")),
+    }
+    rows = [
+        panels[name].select(F.lit(name).alias("panel"), label.cast("string").alias("label"), value.cast("long").alias("value"))
+        for name, (label, value) in shown.items()
+    ]
+    return reduce(DataFrame.union, rows)
+
+
+def differing_files(spark, sf_dir):
+    """Files with different columns read as one frame."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    one, two = own_path(spark, "one"), own_path(spark, "two")
+    docs.select(F.col("doc_id").alias("id"), "lang", "n_chars").write.parquet(one)
+    pages.select(F.col("page_id").alias("id"), "url").write.parquet(two)
+    return readers.many_files(spark, [one, two]).select("id", "lang", "n_chars", "url")
+
+
 # -- flagship -----------------------------------------------------------------------------------------
 
 
@@ -606,6 +715,7 @@ QUERIES = [
     summary_cards, summary_cards_large, top_publishers, top_labels, category_share, share_filter,
     share_with_other, per_year, books_per_year, rating_histogram, newest_rows, highlight,
     knn_l2, knn_cosine, knn_dot, result_cards, embed_rows, search_texts, vector_rows, vector_table,
+    staging_job, ingest_job, vector_job, recommend_job, dashboard_job, differing_files,
     catalogue_report,
 ]
 
