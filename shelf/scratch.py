@@ -27,6 +27,26 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{scratch_root(spark)}/shelf/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Drop what this application has written to the shared folder.
+
+    For the owner of the session, once the results are written: frames that still read intermediate
+    tables cannot be used any more. Databases that lie in the folder go with their tables.
+    """
+    folder = run_folder(spark)
+    for database in spark.catalog.listDatabases():
+        if database.locationUri and folder in database.locationUri:
+            spark.sql(f"DROP DATABASE {database.name} CASCADE")
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -34,7 +54,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     reader knows the table's size, so later joins can choose to broadcast it.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/shelf/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from shelf import local_session  # noqa: E402
+from shelf.scratch import release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +14,7 @@ def spark():
     session = local_session(8, app="shelf-tests", **{"spark.sql.shuffle.partitions": "4"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
 
 
 @pytest.fixture(scope="session")

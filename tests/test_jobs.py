@@ -8,7 +8,7 @@ from models import descriptions_left, titles_left
 from shelf.operators import ledger
 from shelf.plans.ingest import ingest_batch
 from shelf.plans.search import build_vectors
-from shelf.plans.staging import stage_dates
+from shelf.plans.staging import high_water_mark, stage_dates
 from shelf.schemas import LEDGER, RAW, STAGING
 from shelf.sinks import writers
 from shelf.sources import readers
@@ -209,3 +209,21 @@ def test_staged_files_prune_partitions(spark, base):
     found = readers.staged_files(spark, target, "2024-01-02", "2024-01-04")
     assert found.count() == 3 and found.schema.fieldNames() == STAGING.fieldNames()
     assert "PartitionFilters: [isnotnull(processing_date" in plan_of(found)
+
+
+def test_a_limited_run_never_replaces_staged_dates(spark, tmp_path):
+    raw = spark.createDataFrame([volume(str(k)) for k in range(3)], RAW)
+    target = str(tmp_path / "staged")
+    stage_dates(spark, raw, target, "2024-01-01", "2024-01-31", limit=1)
+    assert readers.staged(spark, target).count() == 1
+    with pytest.raises(ValueError):
+        stage_dates(spark, raw, target, "2024-01-01", "2024-01-31", limit=1, full_refresh=True)
+
+
+def test_the_mark_needs_no_scan(spark, tmp_path):
+    target = str(tmp_path / "staged")
+    spark.range(3).selectExpr("id", "date_format(date_add(date'2024-01-01', cast(id as int)), 'yyyy-MM-dd') as processing_date").write.partitionBy(
+        "processing_date").parquet(target)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert high_water_mark(spark.read.schema("id long, processing_date string").parquet(target)) == "2024-01-03"
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before

@@ -25,7 +25,7 @@ from shelf.plans.ingest import deduplicate_books, ingest_batch
 from shelf.plans.search import build_vectors, recommend, vectorize
 from shelf.plans.staging import stage_dates
 from shelf.schemas import RAW, VOLUME
-from shelf.scratch import materialize, scratch_root, spread
+from shelf.scratch import materialize, run_folder, spread
 from shelf.session import apply_settings
 from shelf.sinks import writers
 from shelf.sinks.writers import overwrite_partitions
@@ -228,7 +228,7 @@ def landed_partitions(spark, sf_dir):
 
 
 def own_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/shelf/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def title_dedup(spark, sf_dir):
