@@ -65,8 +65,9 @@ def _pieces(powers: list[int], heads: bool):
                     salt = gh[owner[take]].astype("uint64") * np.uint64(2) + np.uint64(p)
                     key = _mix(hashes[take] ^ _mix(salt)).view("int64")
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(tid[owner[take]]), pa.array(pos[take] + 1, pa.int32()), pa.array(key)],
-                        names=["tid", "pos", "key"])
+                        [pa.array(tid[owner[take]]), pa.array(pos[take] + 1, pa.int32()),
+                         pa.array(size[take].astype("int32")), pa.array(key)],
+                        names=["tid", "pos", "len", "key"])
                 hashes = _mix(hashes[:-p] * np.uint64(3) + hashes[p:])
                 p *= 2
 
@@ -86,8 +87,9 @@ def containing_titles(titles: DataFrame, min_length: int = SHORT_TITLE + 1) -> D
        says "a title with this head and one of these lengths could start here".
     3. the pieces of those lengths are looked up among the titles themselves, as text.
 
-    Both lookups meet at most one row per key, so no key, however frequent, multiplies
-    rows, and the work grows with the titles' total length.
+    Both lookups meet at most one row per key, so a frequent key is a skewed join side, not
+    a product. A hit does become as many rows as lengths are filed under its head that fit
+    into the title: with very many titles of one opening and of all lengths, up to p.
     """
     long = titles.where(F.col("len") >= min_length)
     levels = long.select(F.length(F.bin("len")).alias("bits")).distinct().collect()
@@ -95,26 +97,20 @@ def containing_titles(titles: DataFrame, min_length: int = SHORT_TITLE + 1) -> D
         return titles.select("g", "ord").where(F.lit(False))
     powers = sorted(1 << (r["bits"] - 1) for r in levels)
     text = long.select("tid", F.xxhash64("g").alias("gh"), "t")
-    schema = "tid long, pos int, key long"
-    heads = (
-        text.mapInArrow(_pieces(powers, True), schema)
-        .join(long.select("tid", "len"), "tid")
-        .groupBy("key")
-        .agg(F.collect_set("len").alias("lens"))
-    )
+    schema = "tid long, pos int, len int, key long"
+    heads = text.mapInArrow(_pieces(powers, True), schema).groupBy("key").agg(F.collect_set("len").alias("lens"))
+
+    def fits(cut, own):
+        return (cut < own) & (F.col("pos") + cut <= own + 1)
+
     starts = (
         text.mapInArrow(_pieces(powers, False), schema)
         # a merge join, because the pieces are far more than the planner expects of them
         # and must not be broadcast
         .join(heads.hint("merge"), "key")
-        .select("tid", "pos", F.explode("lens").alias("cut"))
-    )
-    cuts = (
-        starts.join(long, "tid")
-        .where((F.col("cut") < F.col("len")) & (F.col("pos") + F.col("cut") <= F.col("len") + 1))
-        .select("g", "ord", F.expr("substring(t, pos, cut)").alias("t"))
-        .distinct()
+        .select("tid", "pos", F.explode(F.filter("lens", lambda cut: fits(cut, F.col("len")))).alias("cut"))
     )
+    cuts = starts.join(long, "tid").select("g", "ord", F.expr("substring(t, pos, cut)").alias("t")).distinct()
     c, a = cuts.alias("c"), long.alias("a")
     return (
         c.join(a, F.col("c.g").eqNullSafe(F.col("a.g")) & (F.col("c.t") == F.col("a.t")), "left_semi")
