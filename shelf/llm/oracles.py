@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shelf.llm.divergence import CLASSES, COMMON_WORDS
+
 REPEATED_UNITS = r"""
 WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 unit AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM cut),
@@ -62,8 +64,78 @@ SELECT doc_id, domain, lang, source, whole::INT AS epoch, tokens, least(tokens,
 """
 
 
+_LISTED = ", ".join(f"'{w}'" for w in sorted({w for known in COMMON_WORDS.values() for w in known}))
+_LANGUAGES = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+_CLASSES = ", ".join(
+    f"{{'bin': 'c{n}', 'n': length(t) - length(regexp_replace(t, '{p}', '', 'g'))}}"
+    for n, p in enumerate(p.replace("'", "''") for p in CLASSES.values())
+)
+
+DIVERGENCE = rf"""
+WITH doc AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\p{{L}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS plain FROM documents),
+place AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM doc),
+twice AS (SELECT doc_id, list(p) AS ps FROM (SELECT doc_id, p, list_aggregate(w[p:p + 7], 'string_agg', ' ') AS win FROM place)
+  GROUP BY doc_id, win HAVING count(*) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM (SELECT doc_id, unnest(ps) AS p FROM twice), range(8) r(j) GROUP BY doc_id),
+line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM doc)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (SELECT doc_id, lang, t, plain, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+  FROM doc LEFT JOIN line USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+class_count AS (SELECT doc_id, unnest([{_CLASSES}], recursive := true) FROM judged),
+word_count AS (SELECT doc_id, x AS bin, count(*) AS n FROM (SELECT doc_id, unnest(plain) AS x FROM judged) WHERE x IN ({_LISTED}) GROUP BY 1, 2),
+counts AS (SELECT 'c' AS kind, * FROM class_count UNION ALL SELECT 'w', * FROM word_count),
+total AS (SELECT doc_id, 'c' AS kind, length(t) AS n FROM judged UNION ALL SELECT doc_id, 'w', len(plain) FROM judged),
+filled AS (SELECT * FROM counts UNION ALL
+  SELECT kind, doc_id, 'rest', any_value(total.n) - coalesce(sum(counts.n), 0) FROM total LEFT JOIN counts USING (doc_id, kind) GROUP BY kind, doc_id),
+named AS (SELECT doc_id, lang, CASE WHEN lang IN ({_LANGUAGES}) THEN lang END AS language, base_failed FROM judged),
+good AS (SELECT doc_id, unnest([language, '*']) AS ref FROM named WHERE NOT base_failed AND language IS NOT NULL),
+sums AS (SELECT ref, kind, bin, sum(n) AS n FROM good JOIN filled USING (doc_id) GROUP BY 1, 2, 3),
+reference AS (SELECT ref, kind, bin, n / greatest(sum(n) OVER (PARTITION BY ref, kind), 1) AS q FROM sums),
+own AS (SELECT named.doc_id, ref, reference.kind, reference.bin, q, coalesce(filled.n, 0) / greatest(total.n, 1) AS p
+  FROM named JOIN reference ON ref = coalesce(CASE WHEN language IN (SELECT ref FROM sums) THEN language END, '*')
+  JOIN total ON total.doc_id = named.doc_id AND total.kind = reference.kind
+  LEFT JOIN filled ON filled.doc_id = named.doc_id AND filled.kind = reference.kind AND filled.bin = reference.bin),
+extra AS (SELECT filled.doc_id, kind, filled.n / greatest(total.n, 1) AS p FROM filled JOIN total USING (doc_id, kind)
+  WHERE (doc_id, kind, bin) NOT IN (SELECT (doc_id, kind, bin) FROM own)),
+summed AS (SELECT doc_id, kind, sum(x) AS x FROM (
+    SELECT doc_id, kind, CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END AS x FROM own
+    UNION ALL SELECT doc_id, kind, p FROM extra) GROUP BY 1, 2),
+distance AS (SELECT doc_id, kind, round(sqrt(greatest(x, 0) / 2), 6) AS d FROM summed),
+measured AS (SELECT judged.*, CASE WHEN length(t) >= 100 THEN c.d END AS class_distance, CASE WHEN len(plain) >= 30 THEN w.d END AS word_distance
+  FROM judged LEFT JOIN distance c ON c.doc_id = judged.doc_id AND c.kind = 'c' LEFT JOIN distance w ON w.doc_id = judged.doc_id AND w.kind = 'w')
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(class_distance > 0.25, false) AND NOT coalesce(word_distance > 0.42, false) AS kept, class_distance, word_distance
+FROM measured
+"""
+
+SHARDING = """
+WITH RECURSIVE shard AS (SELECT n, 'shard-' || lpad(n::VARCHAR, 2, '0') AS shard FROM range(64) t(n)),
+wish AS (SELECT list(('0x' || substr(md5(shard), 1, 15))::BIGINT % 6553 ORDER BY n) AS first,
+    list(('0x' || substr(md5(shard), 16, 15))::BIGINT % 6552 + 1 ORDER BY n) AS step FROM shard),
+turns(turn, tried, owner) AS (
+  SELECT 0, list_transform(range(64), lambda x: 0), list_transform(range(6553), lambda x: -1) FROM wish
+  UNION ALL
+  SELECT turn + 1, list_transform(tried, lambda x, k: CASE WHEN k = who THEN j + 1 ELSE x END),
+    list_concat(owner[:slot], [who - 1], owner[slot + 2:])
+  FROM (SELECT *, (first[who] + j * step[who]) % 6553 AS slot FROM (
+    SELECT turn, tried, owner, first, step, turn % 64 + 1 AS who,
+      list_filter(range(tried[turn % 64 + 1], 6553), lambda x: owner[(first[turn % 64 + 1] + x * step[turn % 64 + 1]) % 6553 + 1] < 0)[1] AS j
+    FROM turns, wish WHERE turn < 6553))),
+slots AS (SELECT unnest(range(6553)) AS slot, unnest(owner) AS n FROM turns WHERE turn = 6553)
+SELECT doc_id, slot::INT AS slot, shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 6553 AS slot FROM documents)
+JOIN slots USING (slot) JOIN shard USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_divergence": DIVERGENCE,
         "op2_repeated_units": REPEATED_UNITS,
+        "op3_sharding": SHARDING,
         "op8_mixing": MIXING,
     }

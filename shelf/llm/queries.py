@@ -24,7 +24,8 @@ SHARDS = [f"shard-{n:02}" for n in range(64)]
 
 
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    judged = divergence.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op2_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
