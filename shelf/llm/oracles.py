@@ -4,25 +4,34 @@ from __future__ import annotations
 
 from shelf.llm.divergence import CLASSES, COMMON_WORDS
 
+# lines of five words or more and pieces of lines, sentences up to eight words or more; lines come as kind 0, pieces as 1
 REPEATED_UNITS = r"""
-WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-unit AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM cut),
-normal AS (
-  SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm,
-    sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1 AS start FROM unit),
-ranked AS (
-  SELECT *, norm <> '' AND len(string_split(norm, ' ')) >= 5 AS long_enough,
-    first_value(doc_id) OVER w AS first_doc, first_value(place) OVER w AS first_place, row_number() OVER w AS n
-  FROM normal WINDOW w AS (PARTITION BY norm ORDER BY doc_id, place)),
-joined AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY place) FILTER (NOT (long_enough AND n > 1)) AS text,
-    count(*) FILTER (long_enough AND n > 1) AS n_removed,
-    string_agg(concat_ws(':', start, start + length(line), first_doc, first_place), ',' ORDER BY place)
-      FILTER (long_enough AND n > 1) AS removed
-  FROM ranked GROUP BY doc_id)
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM cut),
+placed AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1)::BIGINT AS off FROM line),
+sentence AS (SELECT *, list_filter(regexp_extract_all(line, '.*?(?:[.!?]+\s+|$)'), lambda x: x <> '') AS s FROM placed),
+grouped AS (SELECT *, CASE WHEN len(s) = 0 THEN [] ELSE list_reduce(list_transform(s, lambda x: [x]), lambda acc, x:
+    CASE WHEN len(regexp_extract_all(acc[-1], '\S+')) < 8 THEN list_concat(acc[:-2], [acc[-1] || x[1]]) ELSE list_concat(acc, x) END) END AS g FROM sentence),
+piece AS (SELECT doc_id, place, off, unnest(g) AS body, unnest(range(len(g))) AS k FROM grouped),
+pieces AS (SELECT doc_id, place, 1 AS kind, (off + sum(length(body)) OVER (PARTITION BY doc_id, place ORDER BY k) - length(body))::BIGINT AS start, body FROM piece),
+unit AS (SELECT doc_id, place, 0 AS kind, off AS start, line AS body FROM placed UNION ALL SELECT * FROM pieces),
+normal AS (SELECT *, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS norm, len(regexp_extract_all(body, '\S+')) AS n FROM unit),
+first AS (SELECT norm, min({'d': doc_id, 's': start}) AS f FROM normal WHERE n >= CASE kind WHEN 0 THEN 5 ELSE 8 END GROUP BY norm),
+judged AS (SELECT normal.*, f, n >= CASE kind WHEN 0 THEN 5 ELSE 8 END AND (doc_id, start) <> (f.d, f.s) AS gone
+  FROM normal LEFT JOIN first USING (norm)),
+whole AS (SELECT doc_id, place, start, body, bool_or(gone) AS gone, any_value(f) FILTER (gone) AS f FROM judged
+  WHERE kind = 0 OR (doc_id, start, body) IN (SELECT (doc_id, start, body) FROM judged WHERE kind = 0) GROUP BY ALL),
+part AS (SELECT p.* FROM judged p JOIN whole w ON w.doc_id = p.doc_id AND w.place = p.place AND NOT coalesce(w.gone, false) WHERE p.kind = 1),
+rest AS (SELECT doc_id, place, string_agg(body, '' ORDER BY start) FILTER (NOT coalesce(gone, false)) AS body, bool_or(coalesce(gone, false)) AS cut
+  FROM part GROUP BY 1, 2),
+kept AS (SELECT w.doc_id, w.place, CASE WHEN r.cut THEN regexp_replace(r.body, '\s+$', '') ELSE w.body END AS body
+  FROM whole w LEFT JOIN rest r USING (doc_id, place) WHERE NOT coalesce(w.gone, false) AND (r.place IS NULL OR r.body IS NOT NULL)),
+joined AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY place) AS text FROM kept GROUP BY doc_id),
+span AS (SELECT doc_id, start, body, f FROM whole WHERE gone UNION ALL SELECT doc_id, start, body, f FROM part WHERE gone),
+removed AS (SELECT doc_id, count(*) AS n, string_agg(concat_ws(':', start, start + length(body), f.d, f.s), ',' ORDER BY start) AS removed FROM span GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(j.text, '') END AS text,
-  coalesce(n_removed, 0)::INT AS n_removed, coalesce(removed, '') AS removed
-FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
+  coalesce(n, 0)::INT AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN joined j USING (doc_id) LEFT JOIN removed r USING (doc_id)
 """
 
 

@@ -35,7 +35,7 @@ def op2_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         F.size("removed").alias("n_removed"),
         F.array_join(
-            F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"], r["first_doc_id"], r["first_place"])), ","
+            F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"], r["first_doc_id"], r["first_start"])), ","
         ).alias("removed"),
     )
 

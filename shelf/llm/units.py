@@ -1,13 +1,18 @@
-"""Substring deduplication by hashing lines or paragraphs.
+"""Substring deduplication by hashing lines or paragraphs, and pieces of them.
 
 A text is cut into units: lines, or paragraphs (runs of lines between blank ones). A unit is normalised (lower case,
 white space to single blanks) and digested. Digests meet in one global grouping that keeps the least rank of each,
-with map-side combine; a rank is (``doc_id``, place of the unit). Every unit that is not the earliest of its digest is
-removed; what remains keeps its spelling and order, and every cut is reported with offsets into the original text.
+with map-side combine; a rank is (``doc_id``, offset). Every unit that is not the earliest of its digest is removed; what
+remains keeps its spelling and order, and every cut is reported with offsets into the original text.
 
-Defined results: units of fewer than ``min_words`` words are never removed, nor do they remove others. NULL and empty
+A passage that was copied into the middle of a line is no unit of its own. So a unit's pieces are digested like units: a
+piece is one sentence, or as many sentences as it takes to reach ``piece_words`` words. Pieces of a copied passage fall
+into step after its first sentence, so all but its edges is found.
+
+Defined results: units of fewer than ``min_words`` words and pieces of fewer than ``piece_words`` are never removed, nor
+do they remove others. Where a unit goes, its pieces are not reported; a unit whose pieces all go, goes. NULL and empty
 texts have no units and stay as they are. Rows without ``doc_id`` have no rank: they stay whole and remove nothing. Rows
-that repeat a ``doc_id`` are one document as far as ranks go: equal units in equal places are the same occurrence, so
+that repeat a ``doc_id`` are one document as far as ranks go: equal units at equal offsets are the same occurrence, so
 none of them is removed because of the other; a differing text is cut by its own units. A text may end up empty.
 """
 
@@ -23,6 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[^\S\n]*\n)+")}
+#: a sentence, up to the end of a word with a full stop or the like in it, with the white space behind it
+SENTENCE = re.compile(r".*?(?:[.!?]\S*\s+|$)", re.DOTALL)
+
+SPAN = "struct<start:int,end:int,first_doc_id:bigint,first_start:int>"
 
 
 def spans(text: str, unit: str) -> Iterator[tuple[int, int]]:
@@ -34,17 +43,32 @@ def spans(text: str, unit: str) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-def digests(text: str | None, unit: str, min_words: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(place, start, end, and the 128 bits of the digest) of the units that are long enough."""
-    for place, (start, end) in enumerate(spans(text or "", unit)):
-        words = text[start:end].lower().split() if end > start else ()
-        if len(words) >= min_words:
-            normal = " ".join(words).encode("utf-8", "replace")
-            yield place, start, end, *struct.unpack("<qq", hashlib.blake2b(normal, digest_size=16).digest())
+def pieces(text: str, start: int, end: int, piece_words: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, number of words) of the pieces of one unit; white space behind a piece belongs to it."""
+    begin, held = start, 0
+    for sentence in SENTENCE.finditer(text, start, end):
+        held += len(sentence[0].split())
+        if held >= piece_words or sentence.end() == end:
+            if sentence.end() > begin:
+                yield begin, sentence.end(), held
+            begin, held = sentence.end(), 0
+
+
+def digests(text: str | None, unit: str, min_words: int, piece_words: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, and the 128 bits of the digest) of the units and pieces that are long enough."""
+    text = text or ""
+    for start, end in spans(text, unit):
+        found = {(a, b): piece_words for a, b, _ in pieces(text, start, end, piece_words)}
+        found[start, end] = min_words
+        for (a, b), least in found.items():
+            words = text[a:b].lower().split()
+            if len(words) >= least:
+                normal = " ".join(words).encode("utf-8", "replace")
+                yield a, b, *struct.unpack("<qq", hashlib.blake2b(normal, digest_size=16).digest())
 
 
-def repeated_units(documents: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
-    """(doc_id, version, place, start, end, first_doc_id, first_place) of every unit that repeats an earlier one.
+def repeated_units(documents: DataFrame, unit: str = "line", min_words: int = 5, piece_words: int = 8) -> DataFrame:
+    """(doc_id, version, start, end, first_doc_id, first_start) of every unit and piece that repeats an earlier one.
 
     ``version`` is a hash of the text that the offsets count in.
     """
@@ -54,60 +78,71 @@ def repeated_units(documents: DataFrame, unit: str = "line", min_words: int = 5)
             found = [
                 (doc_id, version, *row)
                 for doc_id, version, text in zip(frame["doc_id"], frame["version"], frame["text"], strict=True)
-                for row in digests(text, unit, min_words)
+                for row in digests(text, unit, min_words, piece_words)
             ]
-            yield pd.DataFrame(found, columns=["doc_id", "version", "place", "start", "end", "high", "low"])
+            yield pd.DataFrame(found, columns=["doc_id", "version", "start", "end", "high", "low"])
 
     every = (
         documents.where("doc_id is not null and text is not null")
         .select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
-        .mapInPandas(units, "doc_id long, version long, place int, start int, end int, high long, low long")
-    )
-    rank = F.struct("doc_id", "place")
-    first = every.groupBy("high", "low").agg(
-        F.count(F.lit(1)).alias("uses"), F.min(rank).alias("first")
+        .mapInPandas(units, "doc_id long, version long, start int, end int, high long, low long")
     )
+    rank = F.struct("doc_id", "start")
+    first = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("uses"), F.min(rank).alias("first"))
     repeated = first.where("uses > 1").select("high", "low", "first")
     return (
         every.join(repeated, ["high", "low"])
         .where(rank != F.col("first"))
         .select(
-            "doc_id", "version", "place", "start", "end",
-            F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"),
+            "doc_id", "version", "start", "end",
+            F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
         )
     )
 
 
-def _cut(text: str, gone: set[int], unit: str) -> str:
-    """The text without the units that begin at ``gone``; what is kept follows the gap that was before it."""
-    parts, before, end = [], 0, 0
+def cut(text: str, gone: set[tuple[int, int]], unit: str, piece_words: int) -> tuple[str, set[tuple[int, int]]]:
+    """The text without the spans ``gone``, and those of them that are not part of a larger one.
+
+    A kept unit follows the separator that was before it; white space at the end of a cut unit goes.
+    """
+    parts, before, cut_out = [], 0, set()
     for start, end in spans(text, unit):
-        if start not in gone or end == start:
-            parts += [text[before:start]] * bool(parts) + [text[start:end]]
+        if (start, end) in gone and end > start:
+            cut_out.add((start, end))
+        else:
+            held = [(a, b) for a, b, _ in pieces(text, start, end, piece_words)]
+            left = [x for x in held if x not in gone]
+            cut_out.update(x for x in held if x in gone)
+            if left or not held:
+                line = "".join(text[a:b] for a, b in left)
+                parts += [text[before:start]] * bool(parts) + [line if len(left) == len(held) else line.rstrip()]
         before = end
-    return "".join(parts)
+    return "".join(parts), cut_out
 
 
-def remove_repeats(documents: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
+def remove_repeats(documents: DataFrame, unit: str = "line", min_words: int = 5, piece_words: int = 8) -> DataFrame:
     """The documents, with ``text`` cut and a column ``removed`` appended; other columns pass through.
 
-    ``removed`` lists the spans that went, in order: (start, end, first_doc_id, first_place), offsets into the old text.
-    A column of the input that is called ``removed`` is replaced.
+    ``removed`` lists the spans that went, in order: (start, end, first_doc_id, first_start), offsets into the old text
+    and where the earliest occurrence is. A column of the input that is called ``removed`` is replaced.
     """
-    removed = (
-        repeated_units(documents, unit, min_words)
+    found = (
+        repeated_units(documents, unit, min_words, piece_words)
         .groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc_id", "first_place"))).alias("__removed"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc_id", "first_start"))).alias("__found"))
     )
 
-    @F.pandas_udf("string")
-    def rest(text: pd.Series, starts: pd.Series) -> pd.Series:
-        whole = [t if a is None or t is None else _cut(t, set(a.tolist()), unit) for t, a in zip(text, starts, strict=True)]
-        return pd.Series(whole, dtype=object)
+    @F.pandas_udf(f"text string, removed array<{SPAN}>")
+    def rest(text: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        texts, removed = [], []
+        for t, repeats in zip(text, rows, strict=True):
+            spans_ = {(r["start"], r["end"]): r for r in ([] if repeats is None else repeats)}
+            kept, gone = cut(t, set(spans_), unit, piece_words) if spans_ and t is not None else (t, ())
+            texts.append(kept)
+            removed.append([spans_[x] for x in sorted(gone)])
+        return pd.DataFrame({"text": pd.Series(texts, dtype=object), "removed": pd.Series(removed, dtype=object)})
 
     match = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__version"))
     kept = [c for c in documents.columns if c != "removed"]
-    return documents.join(removed, match, "left").select(
-        *(rest("text", F.col("__removed.start")).alias(c) if c == "text" else F.col(c) for c in kept),
-        F.coalesce("__removed", F.array().cast("array<struct<start:int,end:int,first_doc_id:bigint,first_place:int>>")).alias("removed"),
-    )
+    done = documents.join(found, match, "left").withColumn("__rest", rest("text", "__found"))
+    return done.select(*(F.col("__rest.text").alias(c) if c == "text" else F.col(c) for c in kept), F.col("__rest.removed").alias("removed"))
