@@ -107,18 +107,51 @@ def similar_groups(rows, n=5, similarity=0.8):
     return groups(sets, [(a, b) for a, b in combinations(sets, 2) if alike(sets[a], sets[b])])
 
 
-def without_repeated_lines(rows, min_words=5):
+def sentence_pieces(line, least):
+    """A line in sentences, joined up to ``least`` words."""
+    parts, held = [], ""
+    for word in re.findall(r"\S+\s*|^\s+", line):
+        held += word
+        if re.search(r"[.!?]\S*\s+$", held) and len(held.split()) >= least:
+            parts.append(held)
+            held = ""
+    return parts + [held] * bool(held)
+
+
+def without_repeated_lines(rows, min_words=5, piece_words=8):
     """(doc_id, text) rows to (text, spans that went) by doc_id."""
-    seen, out = {}, {}
-    for doc_id, text in sorted(rows, key=lambda r: r[0]):
-        kept, gone, at = [], [], 0
-        for place, line in enumerate((text or "").split("\n")):
-            key = tuple(line.lower().split())
-            if len(key) >= min_words and seen.setdefault(key, (doc_id, place)) != (doc_id, place):
-                gone.append((at, at + len(line), *seen[key]))
-            else:
-                kept.append(line)
+    key = lambda t: tuple(t.lower().split())
+    units = {}  # (doc_id, start, body): of lines and their pieces
+    for doc_id, text in rows:
+        at = 0
+        for line in (text or "").split("\n"):
+            parts, off = [], at
+            for body in sentence_pieces(line, piece_words):
+                parts.append((off, body))
+                off += len(body)
+            units.setdefault(doc_id, []).append((at, line, parts))
             at += len(line) + 1
+    first = {}
+    for doc_id, lines in units.items():
+        for at, line, parts in lines:
+            for start, body, least in [(at, line, min_words), *((s, b, piece_words) for s, b in parts)]:
+                if len(key(body)) >= least:
+                    first[key(body)] = min(first.get(key(body), (doc_id, start)), (doc_id, start))
+    out = {}
+    for doc_id, text in rows:
+        kept, gone = [], []
+
+        def repeats(start, body, least, doc_id=doc_id):
+            return len(key(body)) >= least and first[key(body)] != (doc_id, start)
+
+        for at, line, parts in units.get(doc_id, []):
+            if repeats(at, line, min_words):
+                gone.append((at, at + len(line), *first[key(line)]))
+                continue
+            left = [b for s, b in parts if not repeats(s, b, piece_words)]
+            gone += [(s, s + len(b), *first[key(b)]) for s, b in parts if repeats(s, b, piece_words)]
+            if left or not parts:
+                kept.append(line if len(left) == len(parts) else "".join(left).rstrip())
         out[doc_id] = (None if text is None else "\n".join(kept), gone)
     return out
 

@@ -19,6 +19,15 @@ def test_lines_equal_brute_force(spark):
             assert " ".join(texts[r.doc_id][start:end].lower().split()) in " ".join(texts[first_doc].lower().split())
 
 
+def test_a_passage_inside_lines_is_found(spark):
+    passage = ". ".join(prose(k, 11).replace("\n", " ").replace(".", "") for k in range(50, 58)) + "."
+    rows = [(k, f"{prose(k, 6)} {passage} {prose(k + 90, 9)}") for k in (3, 4, 5)]
+    got = {r.doc_id: r.text for r in units.remove_repeats(frame(spark, [(*r, None, None, None) for r in rows])).collect()}
+    assert got[3] == rows[0][1]
+    for k in (4, 5):
+        assert passage[80:-80] not in got[k] and len(got[k].split()) < 40
+
+
 def test_odd_rows(spark):
     rows = odd_documents()
     docs = clashing(frame(spark, rows))
