@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +44,37 @@ def release(spark: SparkSession) -> None:
     for database in spark.catalog.listDatabases():
         if database.locationUri and folder in database.locationUri:
             spark.sql(f"DROP DATABASE {database.name} CASCADE")
+    _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+# the tables written inside each open ``temporary`` block, innermost last
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside the block are dropped at its end.
+
+    What the block hands on must be written with ``lasting``, for frames are lazy; it then belongs to the block
+    around this one, if there is any.
+    """
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield
+    finally:
+        _open.remove(mine)
+        for path in mine:
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, lasting: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Compared with ``checkpoint()`` the plan runs once instead of twice, and the
@@ -55,6 +82,9 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    owners = _open[:-1] if lasting else _open
+    if owners:
+        owners[-1].append(path)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

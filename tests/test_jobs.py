@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from shelf.plans.ingest import ingest_batch
 from shelf.plans.search import build_vectors
 from shelf.plans.staging import high_water_mark, stage_dates
 from shelf.schemas import LEDGER, RAW, STAGING
+from shelf.scratch import materialize, temporary
 from shelf.sinks import writers
 from shelf.sources import readers
 from shelf.streaming.stage import stage_stream
@@ -227,3 +229,19 @@ def test_the_mark_needs_no_scan(spark, tmp_path):
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     assert high_water_mark(spark.read.schema("id long, processing_date string").parquet(target)) == "2024-01-03"
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+def test_temporary_tables_go_with_their_block(spark):
+    def there(df):
+        return all(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())
+
+    with temporary(spark):
+        outer = materialize(spark.range(3), "outer")
+        with temporary(spark):
+            inner = materialize(spark.range(3), "inner")
+            handed_on = materialize(inner, "handed-on", lasting=True)
+            files = [f.removeprefix("file://") for f in inner.inputFiles()]
+        assert files and not any(map(os.path.exists, files))
+        assert there(outer) and there(handed_on) and handed_on.count() == 3
+        files = [f.removeprefix("file://") for f in handed_on.inputFiles()]
+    assert files and not any(map(os.path.exists, files))
