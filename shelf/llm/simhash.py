@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelf.operators.components import components
-from shelf.scratch import materialize
+from shelf.scratch import materialize, temporary
 
 PIVOTS = 16
 SHARED_BLOCKS = 3
@@ -254,29 +254,30 @@ def similar_copies(
     known = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     sketched = materialize(known.mapInPandas(sketch, "doc_id long, fp long, whole long, keys array<long>"), "sketches")
     firsts = materialize(sketched.groupBy("whole").agg(F.min("doc_id").alias("first")), "firsts")
-    distinct = sketched.join(firsts, (F.col("doc_id") == F.col("first")) & (sketched.whole == firsts.whole)).select("first", "fp", "keys")
-
-    by_sample = _links_with_least(distinct.select("first", F.explode("keys").alias("key")))
-    classes = materialize(distinct.groupBy("fp").agg(F.min("first").alias("leader")), "classes")
-    equal = distinct.join(classes, "fp").select(F.col("leader").alias("a"), F.col("first").alias("b"))
-    linked = links(classes.select("fp"), reach, block)
-    near = (
-        linked.join(classes.select(F.col("fp").alias("a"), F.col("leader").alias("one")), "a")
-        .join(classes.select(F.col("fp").alias("b"), F.col("leader").alias("two")), "b")
-        .select(F.col("one").alias("a"), F.col("two").alias("b"))
-    )
-    met = by_sample.union(equal).union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(met.where("a <> b").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
-    # one row per text that met another; only these texts are shingled again
-    again = known.join(asked, F.col("doc_id") == F.col("asked"), "left_semi").mapInPandas(sets, "id long, shingles array<long>")
-    again = materialize(again, "shingles")
-    both = pairs.join(again.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        again.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
-    )
-    # common / (sizes - common) >= similarity, with what is common worked out once
-    alike = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-9
-    edges = materialize(both.where(alike).select("a", "b"), "edges")
+    with temporary(documents.sparkSession):
+        distinct = sketched.join(firsts, (F.col("doc_id") == F.col("first")) & (sketched.whole == firsts.whole)).select("first", "fp", "keys")
+
+        by_sample = _links_with_least(distinct.select("first", F.explode("keys").alias("key")))
+        classes = materialize(distinct.groupBy("fp").agg(F.min("first").alias("leader")), "classes")
+        equal = distinct.join(classes, "fp").select(F.col("leader").alias("a"), F.col("first").alias("b"))
+        linked = links(classes.select("fp"), reach, block)
+        near = (
+            linked.join(classes.select(F.col("fp").alias("a"), F.col("leader").alias("one")), "a")
+            .join(classes.select(F.col("fp").alias("b"), F.col("leader").alias("two")), "b")
+            .select(F.col("one").alias("a"), F.col("two").alias("b"))
+        )
+        met = by_sample.union(equal).union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = materialize(met.where("a <> b").distinct(), "pairs")
+        asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
+        # one row per text that met another; only these texts are shingled again
+        again = known.join(asked, F.col("doc_id") == F.col("asked"), "left_semi").mapInPandas(sets, "id long, shingles array<long>")
+        again = materialize(again, "shingles")
+        both = pairs.join(again.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
+            again.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
+        )
+        # common / (sizes - common) >= similarity, with what is common worked out once
+        alike = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-9
+        edges = materialize(both.where(alike).select("a", "b"), "edges", lasting=True)
 
     comp = components(edges)
     named = firsts.join(comp, F.col("first") == F.col("node"), "left").select("whole", F.coalesce("comp", "first").alias("component_id"))
@@ -288,5 +289,7 @@ def drop_near_copies(documents: DataFrame, **how) -> DataFrame:
 
     Of several rows with the kept ``doc_id`` all stay, and so do rows without ``doc_id``.
     """
-    gone = similar_copies(documents, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(materialize(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    with temporary(documents.sparkSession):
+        gone = similar_copies(documents, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+        gone = materialize(gone.distinct(), "gone", lasting=True)
+    return documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
