@@ -73,30 +73,30 @@ SELECT doc_id, domain, lang, source, whole::INT AS epoch, tokens, least(tokens,
 """
 
 
-_LISTED = ", ".join(f"'{w}'" for w in sorted({w for known in COMMON_WORDS.values() for w in known}))
+_LISTED = ", ".join(f"'{x}'" for known in COMMON_WORDS.values() for w in known for x in (w, w.capitalize()))
 _LANGUAGES = ", ".join(f"'{x}'" for x in COMMON_WORDS)
 _CLASSES = ", ".join(
-    f"{{'bin': 'c{n}', 'n': length(t) - length(regexp_replace(t, '{p}', '', 'g'))}}"
-    for n, p in enumerate(p.replace("'", "''") for p in CLASSES.values())
+    f"{{'bin': 'c{n}', 'n': length(marks) - length(regexp_replace(marks, '{p}', '', 'g'))}}"
+    for n, p in enumerate((p.replace("'", "''") for p in CLASSES.values()), 2)
 )
 
 DIVERGENCE = rf"""
 WITH doc AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-    list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^\p{{L}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS plain FROM documents),
+    regexp_replace(coalesce(text, ''), '[\p{{Ll}}\s\x0B]+', '', 'g') AS marks FROM documents),
 place AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM doc),
 twice AS (SELECT doc_id, list(p) AS ps FROM (SELECT doc_id, p, list_aggregate(w[p:p + 7], 'string_agg', ' ') AS win FROM place)
   GROUP BY doc_id, win HAVING count(*) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM (SELECT doc_id, unnest(ps) AS p FROM twice), range(8) r(j) GROUP BY doc_id),
 line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM doc)
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-base AS (SELECT doc_id, lang, t, plain, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+base AS (SELECT doc_id, lang, t, w, marks, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
   FROM doc LEFT JOIN line USING (doc_id) LEFT JOIN repeated USING (doc_id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
-class_count AS (SELECT doc_id, unnest([{_CLASSES}], recursive := true) FROM judged),
-word_count AS (SELECT doc_id, x AS bin, count(*) AS n FROM (SELECT doc_id, unnest(plain) AS x FROM judged) WHERE x IN ({_LISTED}) GROUP BY 1, 2),
+class_count AS (SELECT doc_id, unnest([{{'bin': 'c0', 'n': word_chars - length(marks)}}, {{'bin': 'c1', 'n': length(t) - word_chars}}, {_CLASSES}], recursive := true) FROM judged),
+word_count AS (SELECT doc_id, lower(x) AS bin, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM judged) WHERE x IN ({_LISTED}) GROUP BY 1, 2),
 counts AS (SELECT 'c' AS kind, * FROM class_count UNION ALL SELECT 'w', * FROM word_count),
-total AS (SELECT doc_id, 'c' AS kind, length(t) AS n FROM judged UNION ALL SELECT doc_id, 'w', len(plain) FROM judged),
+total AS (SELECT doc_id, 'c' AS kind, length(t) AS n FROM judged UNION ALL SELECT doc_id, 'w', n_words FROM judged),
 filled AS (SELECT * FROM counts UNION ALL
   SELECT kind, doc_id, 'rest', any_value(total.n) - coalesce(sum(counts.n), 0) FROM total LEFT JOIN counts USING (doc_id, kind) GROUP BY kind, doc_id),
 named AS (SELECT doc_id, lang, CASE WHEN lang IN ({_LANGUAGES}) THEN lang END AS language, base_failed FROM judged),
@@ -113,11 +113,11 @@ summed AS (SELECT doc_id, kind, sum(x) AS x FROM (
     SELECT doc_id, kind, CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END AS x FROM own
     UNION ALL SELECT doc_id, kind, p FROM extra) GROUP BY 1, 2),
 distance AS (SELECT doc_id, kind, round(sqrt(greatest(x, 0) / 2), 6) AS d FROM summed),
-measured AS (SELECT judged.*, CASE WHEN length(t) >= 100 THEN c.d END AS class_distance, CASE WHEN len(plain) >= 30 THEN w.d END AS word_distance
+measured AS (SELECT judged.*, CASE WHEN length(t) >= 100 THEN c.d END AS class_distance, CASE WHEN n_words >= 30 THEN w.d END AS word_distance
   FROM judged LEFT JOIN distance c ON c.doc_id = judged.doc_id AND c.kind = 'c' LEFT JOIN distance w ON w.doc_id = judged.doc_id AND w.kind = 'w')
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(class_distance > 0.25, false) AND NOT coalesce(word_distance > 0.42, false) AS kept, class_distance, word_distance
+  NOT base_failed AND NOT coalesce(class_distance > 0.3, false) AND NOT coalesce(word_distance > 0.42, false) AS kept, class_distance, word_distance
 FROM measured
 """
 
