@@ -54,13 +54,13 @@ def js(p, q):
 def test_distances_equal_brute_force(spark):
     rows = [(i, prose(i, 60 + i), "en" if i % 3 else "de", None, None) for i in range(30)]
     rows += [(50, "#$%&*0123456789 " * 60 + prose(1, 40), "en", None, None), (51, prose(2, 70), "xx", None, None)]
-    classes = [re.compile(x) for x in (r"[a-z]", r"[A-Z]", r"[0-9]", r"\s", divergence.CLASSES["stops"])]
+    classes = [re.compile(x) for x in (r"[a-z]", r"[A-Z]", r"[0-9]", r"\s", divergence.CLASSES["stops"], r"[#*$%&|<>]")]
 
     def shares(text):
         n = [len(c.findall(text)) for c in classes]
         return [*n, len(text) - sum(n)]
 
-    sums = defaultdict(lambda: [0] * 6)
+    sums = defaultdict(lambda: [0] * 7)
     for _, t, lang, *_ in rows:
         if lang in divergence.COMMON_WORDS and not base(t)[5]:
             for key in (lang, None):
