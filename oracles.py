@@ -217,6 +217,14 @@ def oracle_sql() -> dict[str, str]:
             FROM customer FULL JOIN supplier ON s_suppkey = c_custkey""",
         "kept_ids": "SELECT source, doc_id FROM documents",
         "flatten_nested": f"WITH {STAGED} SELECT * REPLACE (CAST(published_date AS VARCHAR) AS published_date) FROM staged",
+        "ragged_staging": f"""WITH {VOLUMES} SELECT id, source AS primary_author, authors AS all_authors,
+              CASE WHEN doc_id % 7 = 1 THEN 0 ELSE CAST(floor(n_chars / 1800) AS INTEGER) END AS page_count,
+              CASE WHEN lang = 'fr' OR doc_id % 7 = 5 THEN 'Uncategorized' ELSE lang END AS primary_category,
+              CASE WHEN doc_id % 7 = 5 THEN '' WHEN lang <> 'fr' THEN lang || '|' || source END AS all_categories,
+              CASE WHEN doc_id % 7 = 2 THEN 0.0 ELSE n_chars % 51 / 10 END AS avg_rating,
+              CASE WHEN doc_id % 7 = 3 THEN 0 ELSE CAST(n_chars % 7 AS INTEGER) END AS ratings_count,
+              CASE WHEN doc_id % 7 = 4 THEN '' ELSE 'https://books.example/' || id END AS preview_link, date AS processing_date
+            FROM volumes WHERE length(text) > 100 AND doc_id % 101 <> 0 AND doc_id % 23 NOT BETWEEN 1 AND 6""",
         "staged_range": f"""WITH {STAGED} SELECT id, publisher, CAST(published_date AS VARCHAR) AS published_date, processing_date
             FROM staged WHERE processing_date BETWEEN '2024-01-05' AND '2024-01-20'""",
         "parse_dates": f"WITH {SPELLED} SELECT o_orderkey, spelled, CAST({day_of('spelled')} AS VARCHAR) AS published_date FROM spelled",
@@ -291,8 +299,11 @@ def oracle_sql() -> dict[str, str]:
                 FROM q JOIN d ON q.cell = d.cell GROUP BY 1, 2) x ON x.a = b.item_id AND x.b = s.key),
             ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) AS rank FROM scored)
             SELECT qid, rank, id, round(distance, 4) AS distance FROM ranked WHERE rank <= 5""",
-        "vector_rows": f"""WITH {STAGED} SELECT id, title, CAST(published_date AS VARCHAR) AS published_date,
-            length({clean('description')}) AS characters, 64 AS dims FROM staged WHERE {clean('description')} <> ''""",
+        "vector_rows": f"""WITH {STAGED}, cleaned AS (SELECT id, title, published_date, {clean('description')} AS text FROM staged),
+            {VECTORS % ('v', 'id', "cleaned WHERE text <> ''")}, filled AS (SELECT key, count(*) AS cells FROM v GROUP BY 1)
+            SELECT id, title, CAST(published_date AS VARCHAR) AS published_date, length(text) AS characters, 64 AS dims,
+              CAST(coalesce(cells, 0) AS INTEGER) AS cells
+            FROM cleaned LEFT JOIN filled ON key = id WHERE text <> ''""",
         "vector_table": "SELECT vec_id AS id, 2 AS rows, len(embedding) AS dims FROM embeddings",
         "staging_job": f"""WITH {STAGED} SELECT id, title, publisher, CAST(published_date AS VARCHAR) AS published_date, list_price,
             processing_date FROM staged""",

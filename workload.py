@@ -326,6 +326,27 @@ def flatten_nested(spark, sf_dir):
     return readable(staged_docs(spark, sf_dir))
 
 
+def ragged_volumes(raw: DataFrame) -> DataFrame:
+    """The volumes with something missing in every field that staging looks at, and a fifth of the rows twice."""
+    n, info = F.col("ord"), F.col("volumeInfo")
+    for field, gone in {
+        "title": n % 23 == 1, "authors": n % 23 == 3, "publishedDate": n % 23 == 4, "description": n % 23 == 6,
+        "pageCount": n % 7 == 1, "averageRating": n % 7 == 2, "ratingsCount": n % 7 == 3, "previewLink": n % 7 == 4,
+    }.items():
+        info = info.withField(field, F.when(~gone, F.col(f"volumeInfo.{field}")))
+    info = info.withField("authors", F.when(n % 23 == 2, F.array().cast("array<string>")).otherwise(info["authors"]))
+    info = info.withField("publishedDate", F.when(n % 23 == 5, "").otherwise(info["publishedDate"]))
+    info = info.withField("categories", F.when(n % 7 == 5, F.array().cast("array<string>")).otherwise(info["categories"]))
+    ragged = raw.withColumns({"volumeInfo": info, "id": F.when(n % 101 != 0, F.col("id"))})
+    return ragged.union(ragged.where(n % 5 == 0))
+
+
+def ragged_staging(spark, sf_dir):
+    return readable(staging.stage_rows(ragged_volumes(raw_docs(spark, sf_dir))).select(
+        "id", "primary_author", "all_authors", "page_count", "primary_category", "all_categories", "avg_rating",
+        "ratings_count", "preview_link", "processing_date"))
+
+
 def staged_range(spark, sf_dir):
     return readable(
         staging.stage_rows(raw_docs(spark, sf_dir), "2024-01-05", "2024-01-20")
@@ -569,10 +590,10 @@ def search_texts(spark, sf_dir):
 
 
 def vector_rows(spark, sf_dir):
-    """The vector table's rows from staged books, without the vector itself."""
+    """The vector table's rows from staged books, with the number of cells that the vector fills."""
     return readable(vectorize(staged_docs(spark, sf_dir)).select(
         "id", "title", "published_date", F.length("processed_text").alias("characters"),
-        F.size("vector").alias("dims")))
+        F.size("vector").alias("dims"), F.size(F.filter("vector", lambda x: x != 0)).alias("cells")))
 
 
 def vector_table(spark, sf_dir):
@@ -709,7 +730,7 @@ QUERIES = [
     raw_table, author_lines, json_round_trip, csv_export,
     title_dedup, title_dedup_parts, description_pairs, description_dedup, deduplicated_books,
     ledger_upsert, ledger_counts, count_mismatch, resume_slice, last_processed, ledger_table, kept_ids,
-    flatten_nested, staged_range, parse_dates, year_of_date, distinct_rows, incremental_new,
+    flatten_nested, ragged_staging, staged_range, parse_dates, year_of_date, distinct_rows, incremental_new,
     incremental_reprocess, latest_rows, partition_overwrite, staged_by_stream, append_frames,
     null_sentinels, clean_text, clean_pages, clean_books, text_measures, text_counts, truncate_labels,
     summary_cards, summary_cards_large, top_publishers, top_labels, category_share, share_filter,
