@@ -45,7 +45,7 @@ def picks(text: Column, k: int = 4, w: int = 6) -> Column:
 
 
 def hashes(picked: Column) -> Column:
-    return F.transform(picked, lambda p: F.shiftright(p, 32))
+    return F.transform(picked, lambda p: F.shiftright(p, 32).cast("int"))
 
 
 def positions(picked: Column) -> Column:
@@ -62,8 +62,8 @@ def written(picked: Column) -> Column:
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """Shared hashes over all hashes of two lists of picks."""
-    counts = F.struct(F.size(F.array_intersect(hashes(one), hashes(other))), F.size(F.array_union(hashes(one), hashes(other))))
+    """Shared hashes over all hashes of two lists of hashes."""
+    counts = F.struct(F.size(F.array_intersect(one, other)), F.size(F.array_union(one, other)))
     return let(counts, lambda c: F.when(c["col2"] == 0, 1.0).otherwise(c["col1"] / F.greatest(c["col2"], F.lit(1))))
 
 
@@ -102,13 +102,13 @@ def edit_study(documents: DataFrame, k: int = 4, w: int = 6) -> DataFrame:
     each = each.withColumn("earlier", earlier).where("earlier is null").drop("earlier")
     following = each.join(
         chain.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.col("n").alias("n_before")), "doc_id"
-    ).select("before", F.expr("substring(text, 1, n_before div 4)").alias("head"), F.col("picked").alias("next_picked"))
+    ).select("before", F.expr("substring(text, 1, n_before div 4)").alias("head"), hashes(F.col("picked")).alias("next_hashes"))
     both = each.join(following, F.col("doc_id") == F.col("before"))
     edited = both.select(
-        "doc_id", "n", "picked", "next_picked", F.concat(F.expr("substring(text, 1, n - n div 4)"), F.col("head")).alias("edited")
+        "doc_id", "n", "picked", "next_hashes", F.concat(F.expr("substring(text, 1, n - n div 4)"), F.col("head")).alias("edited")
     )
     judged = edited.select(
-        "doc_id", "n", "picked", "next_picked", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "doc_id", "n", "picked", "next_hashes", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.array(picks(F.col("edited"), k, w)).alias("edited_picked"),
     )
     judged = judged.select("*", F.explode("edited_picked").alias("ep"))  # a generator: worked out once, used twice below
@@ -118,6 +118,6 @@ def edit_study(documents: DataFrame, k: int = 4, w: int = 6) -> DataFrame:
         "edited_sha256",
         written(F.col("picked")).alias("fingerprint"),
         written(F.col("ep")).alias("edited_fingerprint"),
-        likeness(F.col("picked"), F.col("ep")).alias("near_edited"),
-        likeness(F.col("picked"), F.col("next_picked")).alias("near_next"),
+        likeness(hashes(F.col("picked")), hashes(F.col("ep"))).alias("near_edited"),
+        likeness(hashes(F.col("picked")), F.col("next_hashes")).alias("near_next"),
     )
