@@ -66,14 +66,13 @@ def budgets(
     leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], share: float = 0.6, epochs: int = 2, levels: tuple = LEVELS
 ) -> DataFrame:
     """(levels, tokens, budget): what each leaf of (levels, tokens) may take of ``share`` of all tokens."""
-    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(float(share))).cast("long").alias("budget"))
-    parent: list[str] = ["root"]
-    plan = total.select(F.lit(0).alias("root"), "budget")
-    rooted = leaves.withColumn("root", F.lit(0))
+    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(float(share))).cast("long"))
+    parent: list[str] = []
     for level in levels:
-        nodes = rooted.groupBy(*parent, level).agg((F.sum("tokens") * epochs).alias("holds"))
+        nodes = leaves.groupBy(*parent, level).agg((F.sum("tokens") * epochs).alias("holds"))
         weighted = nodes.withColumn("weight", _weight(level, weights.get(level, {}))).where("weight > 0")
-        plan = _divide(weighted.join(plan, parent), parent, level)
+        given = weighted.join(plan, parent) if parent else weighted.withColumn("budget", total.scalar())
+        plan = _divide(given, parent, level)
         parent = [*parent, level]
     return leaves.join(plan, list(levels), "left").select(*levels, "tokens", F.coalesce("budget", F.lit(0)).cast("long").alias("budget"))
 
