@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelf.scratch import materialize
+
 SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[^\S\n]*\n)+")}
 #: a sentence, up to the end of a word with a full stop or the like in it, with the white space behind it
 SENTENCE = re.compile(r".*?(?:[.!?]\S*\s+|$)", re.DOTALL)
@@ -89,7 +91,8 @@ def repeated_units(documents: DataFrame, unit: str = "line", min_words: int = 5,
     )
     rank = F.struct("doc_id", "start")
     first = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("uses"), F.min(rank).alias("first"))
-    repeated = first.where("uses > 1").select("high", "low", "first")
+    # a table of its own, so that the join below deals out both its sides and can split a digest that is everywhere
+    repeated = materialize(first.where("uses > 1").select("high", "low", "first"), "repeated")
     return (
         every.join(repeated, ["high", "low"])
         .where(rank != F.col("first"))
