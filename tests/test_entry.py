@@ -3,8 +3,8 @@ import pytest
 
 import workload
 
-# queries that may have no rows on the smallest tables: every customer there may have an order
-MAY_BE_EMPTY = {"count_mismatch"}
+# queries that may have no rows on the smallest tables: no two descriptions need be alike there, and no count need differ
+MAY_BE_EMPTY = {"count_mismatch", "description_pairs"}
 
 
 @pytest.mark.parametrize("name", list(workload.queries()))
