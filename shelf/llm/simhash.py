@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelf.llm.common import in_parts
 from shelf.operators.components import components
 from shelf.scratch import materialize, temporary
 
@@ -234,7 +235,7 @@ def similar_copies(
     """
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in in_parts(frames):
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 hashes = shingle_hashes(text, shingle)
@@ -247,9 +248,9 @@ def similar_copies(
             yield out
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in in_parts(frames):
             found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["doc_id"], "shingles": found})
+            yield pd.DataFrame({"id": frame["doc_id"].to_numpy(), "shingles": found})
 
     known = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     sketched = materialize(known.mapInPandas(sketch, "doc_id long, fp long, whole long, keys array<long>"), "sketches")

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelf.llm.common import in_parts
 from shelf.scratch import materialize
 
 SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[^\S\n]*\n)+")}
@@ -76,7 +77,7 @@ def repeated_units(documents: DataFrame, unit: str = "line", min_words: int = 5,
     """
 
     def units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in in_parts(frames):
             found = [
                 (doc_id, version, *row)
                 for doc_id, version, text in zip(frame["doc_id"], frame["version"], frame["text"], strict=True)
