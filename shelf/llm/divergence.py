@@ -1,8 +1,7 @@
 """Quality rules by distribution divergence.
 
-A document's characters fall into classes and its words into common words and the rest (a word with a mark on it is one
-of the rest, in documents and references alike). Both histograms are compared
-with those of the document's language by Jensen-Shannon distance (0 to 1). A language's histograms are summed over all
+A document's characters fall into classes and its words, which are its runs of letters in any case, into common words
+and the rest. Both histograms are compared with those of the document's language by Jensen-Shannon distance (0 to 1). A language's histograms are summed over all
 of its documents that pass the base rules, so they are learnt from the whole corpus; a language that is not listed is
 compared with all listed ones together. A histogram of too few characters or words says nothing and is not compared.
 
@@ -23,12 +22,12 @@ from pyspark.sql import functions as F
 from shelf.llm.common import let, words
 from shelf.scratch import materialize
 
-#: fixed values: very common words of four languages, as written or with a capital
+#: fixed values: very common words of four languages
 COMMON_WORDS = {
-    "en": "the of and to in a is that for it".split(),
-    "de": "der die und in den von zu das mit ist".split(),
-    "fr": "de la le et les des en un du une".split(),
-    "es": "de la que el en y los se del las".split(),
+    "en": "the of and to in a is that for it was with as on be by at this are or from".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al lo".split(),
 }
 #: character classes besides lower-case letters and white space; what fits none is the last class
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "stops": r"[.,;:?'\"()-]", "symbols": r"[#*$%&|<>]"}
@@ -64,17 +63,18 @@ def repeated_window_words(word_list: Column, window: int = 8) -> Column:
 def base_counts(documents: DataFrame, *more: str) -> DataFrame:
     """The base rules' counts of every document, and its histograms as columns ``c0..`` and ``w0..``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    equals = lambda known: lambda word: word == known
     lines = F.filter(F.split("t", r"\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     listed = sorted({w for known in COMMON_WORDS.values() for w in known})
-    spelled = [*listed, *(w.capitalize() for w in listed)]
     # each generator below makes one row a document and keeps what it holds from being worked out twice
     rows = documents.select("doc_id", *more, text.alias("t"))
     rows = rows.select("*", F.explode(F.array(words(F.col("t")))).alias("words"))
     # one pass over the text leaves the few characters that the classes tell apart
     rows = rows.select("*", F.explode(F.array(F.regexp_replace("t", r"[\p{Ll}\s]+", ""))).alias("marks"))
-    common = F.transform(F.filter("words", lambda w: w.isin(spelled)), lambda w: F.lower(w))
-    rows = rows.select("*", F.explode(F.array(common)).alias("common"))
+    rows = rows.select("*", F.explode(F.array(F.array_remove(F.split("t", r"[^\p{L}]+"), ""))).alias("plain"))
+    # common words in one string, each between two blanks of its own: a word is counted by what the string loses without it
+    common = F.lower(F.array_join(F.filter("plain", lambda w: F.lower(w).isin(listed)), "  "))
+    rows = rows.select("*", F.explode(F.array(F.concat(F.lit(" "), common, F.lit(" ")))).alias("common"))
+    uses = lambda w: (F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)
     n_words, chars = F.size("words").cast("long"), F.length("t").cast("long")
     word_chars = F.length(F.array_join("words", "")).cast("long")
     fits = lambda pattern: (F.length("marks") - F.length(F.regexp_replace("marks", pattern, ""))).cast("long")
@@ -86,10 +86,11 @@ def base_counts(documents: DataFrame, *more: str) -> DataFrame:
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_window_words(F.col("words")).alias("n_repeat_words"),
         chars.alias("chars"),
+        F.size("plain").cast("long").alias("letter_words"),
         (word_chars - F.length("marks")).alias("c0"),  # lower-case letters
         (chars - word_chars).alias("c1"),  # white space
         *(fits(p).alias(f"c{n}") for n, p in enumerate(CLASSES.values(), 2)),
-        *(F.size(F.filter("common", equals(x))).cast("long").alias(f"w{n}") for n, x in enumerate(listed)),
+        *(uses(x).cast("long").alias(f"w{n}") for n, x in enumerate(listed)),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
@@ -120,13 +121,13 @@ def references(counted: DataFrame, languages: Sequence[str]) -> dict[str | None,
     sums = (
         counted.where(~F.col("base_failed") & F.col("lang").isin(list(languages)))
         .groupBy("lang")
-        .agg(*(F.sum(c).alias(c) for c in [*bins, "chars", "n_words"]))
+        .agg(*(F.sum(c).alias(c) for c in [*bins, "chars", "letter_words"]))
         .collect()  # a row a listed language
     )
 
     def shares(rows) -> tuple[list[float], list[float]]:
         out = []
-        for letter, total in (("c", "chars"), ("w", "n_words")):
+        for letter, total in (("c", "chars"), ("w", "letter_words")):
             counts = [sum(r[b] for r in rows) for b in bins if b[0] == letter]
             whole = max(sum(r[total] for r in rows), 1)
             out.append([n / whole for n in [*counts, whole - sum(counts)]])
@@ -137,7 +138,7 @@ def references(counted: DataFrame, languages: Sequence[str]) -> dict[str | None,
 
 
 def judge(
-    documents: DataFrame, languages: Sequence[str] = tuple(COMMON_WORDS), max_class: float = 0.3, max_words: float = 0.42,
+    documents: DataFrame, languages: Sequence[str] = tuple(COMMON_WORDS), max_class: float = 0.25, max_words: float = 0.42,
     min_chars: int = 100, min_words: int = 30,
 ) -> DataFrame:
     """(doc_id, base counts, base_failed, kept, class_distance, word_distance) of every document.
@@ -160,7 +161,7 @@ def judge(
     measured = counted.select(
         "*",
         nearest(_shares(classes, F.col("chars")), 0, F.col("chars") >= min_chars).alias("class_distance"),
-        nearest(_shares(common, F.col("n_words")), 1, F.col("n_words") >= min_words).alias("word_distance"),
+        nearest(_shares(common, F.col("letter_words")), 1, F.col("letter_words") >= min_words).alias("word_distance"),
     )
     strange = F.coalesce(F.col("class_distance") > max_class, F.lit(False)) | F.coalesce(F.col("word_distance") > max_words, F.lit(False))
     return measured.select(

@@ -73,6 +73,34 @@ def test_distances_equal_brute_force(spark):
     assert not got[50].kept and got[1].kept
 
 
+def test_words_count_in_any_case_and_with_marks_on(spark):
+    rng, listed = random.Random(4), sorted({w for known in divergence.COMMON_WORDS.values() for w in known})
+    rows = [(i, " ".join(rng.choices([*listed[: 70 - i], f"strange{i}"], k=80)), "en", None, None) for i in range(20)]
+    dressed = rows[3][1].upper().replace(" ", ', "')
+    rows += [(50, dressed, "en", None, None), (51, "from FROM (From) from. " * 3 + prose(1, 60), "xx", None, None)]
+
+    def shares(text):
+        plain = re.findall(r"[^\W\d_]+", text.lower())
+        n = [plain.count(w) for w in listed]
+        return [*n, len(plain) - sum(n)]
+
+    sums = [sum(n) for n in zip(*(shares(t) for _, t, lang, *_ in rows if lang == "en" and not base(t)[5]))]
+    unit = lambda n: [x / sum(n) for x in n]
+    got = {r.doc_id: r for r in divergence.judge(frame(spark, rows)).collect()}
+    for i, t, *_ in rows:
+        assert got[i].word_distance == pytest.approx(js(unit(shares(t)), unit(sums)))
+    assert got[50].word_distance == got[3].word_distance
+    assert {len(set(w)) for w in divergence.COMMON_WORDS.values()} == {21}
+
+
+def test_class_distances_over_a_quarter_go(spark):
+    rows = [(i, prose(i, 80), "en", None, None) for i in range(60)]
+    rows += [(100 + k, prose(k, 80) + " " + "7" * (20 * k), "en", None, None) for k in range(25)]
+    got = divergence.judge(frame(spark, rows), max_words=1.0).collect()
+    assert any(0.25 < r.class_distance <= 0.3 for r in got)
+    assert all(r.kept == (r.class_distance <= 0.25) for r in got if not r.base_failed)
+
+
 def test_too_little_to_compare(spark):
     rows = [(1, "Ab cd. " * 25, "en", None, None), (2, "a1 b2 c3 d4 e5 f6 g7 h8 i9 j1 k2 l3 m4 n5 o6 p7 q8 r9 s1 t2 u3 v4", "en", None, None)]
     got = {r.doc_id: r for r in divergence.judge(frame(spark, rows), min_chars=10_000, min_words=10_000).collect()}
