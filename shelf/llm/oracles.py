@@ -141,10 +141,64 @@ JOIN slots USING (slot) JOIN shard USING (n)
 """
 
 
+# crc32 bit by bit over the decimal digits
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)),
+    4294967295::BIGINT)"""
+
+CONVERSATION_TRIE = f"""
+WITH turn AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT c, {_CRC32} % 9 AS h FROM (SELECT DISTINCT c FROM turn)),
+rebuilt AS (SELECT conv.c, 0 AS half, p, role, text FROM conv JOIN turn t ON t.c = conv.c - conv.c % 5 AND p <= h
+  UNION ALL SELECT c, 1, p, role, text FROM turn JOIN conv USING (c) WHERE p > h),
+path AS (SELECT conv.c, coalesce(list({{'r': role, 't': text}} ORDER BY half, p) FILTER (half IS NOT NULL), []) AS turns
+  FROM conv LEFT JOIN rebuilt USING (c) GROUP BY conv.c),
+member AS (SELECT c, d, turns[:d] AS prefix, turns[:d - 1] AS parent, d = len(turns) AS is_end, coalesce(strlen(turns[d].t), 0) AS bytes
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM path)),
+node AS (SELECT d, prefix, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    array_to_string(list(c ORDER BY c) FILTER (is_end), ',') AS ends FROM member GROUP BY d, prefix),
+child AS (SELECT d - 1 AS d, parent AS prefix, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child USING (d, prefix)),
+below AS (SELECT m.d, m.prefix, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.bytes) AS saved_tokens
+  FROM counted v JOIN member m ON m.c = v.conv_id AND m.d <= v.d GROUP BY m.d, m.prefix)
+SELECT n.conv_id, n.d::BIGINT AS depth, CASE WHEN n.d > 0 THEN up.conv_id END AS parent_conv_id, n.n_convs, n.n_children::BIGINT AS n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM counted n JOIN below USING (d, prefix) LEFT JOIN node up ON up.d = n.d - 1 AND up.prefix = n.parent
+"""
+
+FILTER_AUDIT = r"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+least AS (SELECT t, min(doc_id) AS doc_id FROM doc GROUP BY t),
+label AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+failed AS (SELECT doc.doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc.doc_id > least.doc_id, false)::INT AS mask
+  FROM doc JOIN least USING (t)),
+counted AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed LEFT JOIN label USING (doc_id) GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+sorted AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+bits AS (SELECT o, list_transform(o, lambda x: (1 << (ascii(x) - 65))::INT) AS b, unnest(range(1, 6)) AS step FROM sorted),
+step AS (SELECT array_to_string(o, '') AS filter_order, step::INT AS step, b[step] AS own, coalesce(list_sum(b[:step - 1]), 0)::INT AS before FROM bits)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (mask & (own | before) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & own > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & own > 0), 0)::BIGINT AS shapley
+FROM step, counted GROUP BY part, filter_order, step
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_divergence": DIVERGENCE,
         "op2_repeated_units": REPEATED_UNITS,
         "op3_sharding": SHARDING,
         "op8_mixing": MIXING,
+        "op11_conversation_trie": CONVERSATION_TRIE,
+        "op13_filter_audit": FILTER_AUDIT,
     }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm import bpe, divergence, mixing, quality_model, repair, sharding, simhash, units, url_filter, winnowing
+from shelf.llm import (
+    bpe,
+    conversation_trie,
+    divergence,
+    filter_audit,
+    language_id,
+    mixing,
+    quality_model,
+    repair,
+    sharding,
+    simhash,
+    units,
+    url_filter,
+    winnowing,
+)
 from shelf.llm.common import table
 
 
@@ -86,6 +100,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), RULES)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = conversation_trie.chunked(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    own = F.col("conv_id")
+    rebuilt = conversation_trie.with_head_of(chunks, own - own % 5, F.crc32(own.cast("string").cast("binary")) % 9, most=8)
+    return conversation_trie.digested(conversation_trie.trie(rebuilt))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language_id.judge(documents, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return filter_audit.audit(documents, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_divergence": op1_divergence,
@@ -98,4 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_winnowing": op9_winnowing,
         "op10_url_filter": op10_url_filter,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_language_id": op12_language_id,
+        "op13_filter_audit": op13_filter_audit,
     }
