@@ -4,6 +4,7 @@ import pytest
 
 from conftest import plan_of
 from models import titles_left
+from shelf.operators import titles
 from shelf.operators.titles import title_dedup
 
 
@@ -55,3 +56,31 @@ def test_titles_are_never_paired_off(spark):
     df = spark.createDataFrame([("a", 1, "Dune"), ("a", 2, "Dune Messiah")], "author string, ord long, title string")
     text = plan_of(title_dedup(df))
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "SortMergeJoin" in text
+
+
+def test_nested_titles_of_all_lengths_stay_few_rows(spark, monkeypatch):
+    """2,000 titles of one opening: rows as many as characters at most, not as titles times lengths at every position."""
+    opening = "".join(random.Random(4).choice("abcdefgh ") for _ in range(2100)).strip()
+    titles_ = [opening[:n].strip() for n in range(4, 2004)]
+    random.Random(5).shuffle(titles_)
+    seen = []
+    real = titles._holding
+
+    def counted(searched, filed, at_start):
+        seen.append((at_start, searched.count(), filed.count()))
+        return real(searched, filed, at_start)
+
+    monkeypatch.setattr(titles, "_holding", counted)
+    others = ["x" + opening[40:60], "zz " + opening[:4], "unlike all of them"]
+    want = {"g": titles_left(titles_ + others)}
+    assert kept(spark, {"g": titles_ + others}) == want
+    # all of the chain is settled at its beginnings; what is searched at every position are its shortest and the others
+    assert len(seen) == 2 and seen[1][0] is False and seen[1][1] <= 4 and seen[1][2] <= 4
+
+
+def test_titles_that_part_after_a_common_opening(spark):
+    rnd = random.Random(8)
+    opening = "the collected tales of"
+    group = [opening + " " + "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 14))) for _ in range(150)]
+    group += [f"{a} and {b}" for a, b in zip(group[::3], group[1::3])]
+    assert kept(spark, {"g": group}) == {"g": titles_left(group)}
