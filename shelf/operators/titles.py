@@ -75,7 +75,13 @@ def _pieces(powers: list[int], heads: bool, at_start: bool = False):
                         [pa.array(tid[owner[take]]), pa.array(pos[take] + 1, pa.int32()),
                          pa.array(size[take].astype("int32")), pa.array(key)],
                         names=["tid", "pos", "len", "key"])
-                hashes = _mix(hashes[:-p] * np.uint64(3) + hashes[p:])
+                if at_start:  # the halves of a longer beginning are whole pieces side by side
+                    n = len(hashes)
+                    left = np.flatnonzero((pos[:n] % (2 * p) == 0) & (pos[:n] + 2 * p <= size[:n]))
+                    hashes = _mix(hashes[left] * np.uint64(3) + hashes[left + 1])
+                    owner, pos, size = owner[left], pos[left], size[left]
+                else:
+                    hashes = _mix(hashes[:-p] * np.uint64(3) + hashes[p:])
                 p *= 2
 
     return run
