@@ -4,30 +4,31 @@ from __future__ import annotations
 
 from shelf.llm.divergence import CLASSES, COMMON_WORDS
 
-# lines of five words or more and pieces of lines, sentences up to eight words or more; lines come as kind 0, pieces as 1
+# lines come as kind 0 and their pieces as 1; a piece ends behind a word whose hash is least among four on either side
 REPEATED_UNITS = r"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 line AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM cut),
 placed AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1)::BIGINT AS off FROM line),
-sentence AS (SELECT *, list_filter(regexp_extract_all(line, '.*?(?:[.!?]+\s+|$)'), lambda x: x <> '') AS s FROM placed),
-grouped AS (SELECT *, CASE WHEN len(s) = 0 THEN [] ELSE list_reduce(list_transform(s, lambda x: [x]), lambda acc, x:
-    CASE WHEN len(regexp_extract_all(acc[-1], '\S+')) < 8 THEN list_concat(acc[:-2], [acc[-1] || x[1]]) ELSE list_concat(acc, x) END) END AS g FROM sentence),
-piece AS (SELECT doc_id, place, off, unnest(g) AS body, unnest(range(len(g))) AS k FROM grouped),
-pieces AS (SELECT doc_id, place, 1 AS kind, (off + sum(length(body)) OVER (PARTITION BY doc_id, place ORDER BY k) - length(body))::BIGINT AS start, body FROM piece),
-unit AS (SELECT doc_id, place, 0 AS kind, off AS start, line AS body FROM placed UNION ALL SELECT * FROM pieces),
-normal AS (SELECT *, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS norm, len(regexp_extract_all(body, '\S+')) AS n FROM unit),
-first AS (SELECT norm, min({'d': doc_id, 's': start}) AS f FROM normal WHERE n >= CASE kind WHEN 0 THEN 5 ELSE 8 END GROUP BY norm),
-judged AS (SELECT normal.*, f, n >= CASE kind WHEN 0 THEN 5 ELSE 8 END AND (doc_id, start) <> (f.d, f.s) AS gone
-  FROM normal LEFT JOIN first USING (norm)),
-whole AS (SELECT doc_id, place, start, body, bool_or(gone) AS gone, any_value(f) FILTER (gone) AS f FROM judged
-  WHERE kind = 0 OR (doc_id, start, body) IN (SELECT (doc_id, start, body) FROM judged WHERE kind = 0) GROUP BY ALL),
-part AS (SELECT p.* FROM judged p JOIN whole w ON w.doc_id = p.doc_id AND w.place = p.place AND NOT coalesce(w.gone, false) WHERE p.kind = 1),
-rest AS (SELECT doc_id, place, string_agg(body, '' ORDER BY start) FILTER (NOT coalesce(gone, false)) AS body, bool_or(coalesce(gone, false)) AS cut
-  FROM part GROUP BY 1, 2),
-kept AS (SELECT w.doc_id, w.place, CASE WHEN r.cut THEN regexp_replace(r.body, '\s+$', '') ELSE w.body END AS body
-  FROM whole w LEFT JOIN rest r USING (doc_id, place) WHERE NOT coalesce(w.gone, false) AND (r.place IS NULL OR r.body IS NOT NULL)),
+token AS (SELECT *, regexp_extract_all(line, '(?:^\s+)?\S+\s*') AS t FROM placed),
+hashed AS (SELECT *, list_transform(t, lambda x: ('0x' || substr(md5(lower(regexp_extract(x, '\S+'))), 1, 8))::BIGINT) AS h FROM token),
+bound AS (SELECT *, list_filter(range(5, len(h) - 3), lambda i: h[i] < list_min(h[i - 4:i - 1]) AND h[i] <= list_min(h[i + 1:i + 4])) AS b FROM hashed),
+edge AS (SELECT *, unnest([0] || b) AS x, unnest(b || [len(h)]) AS y FROM bound WHERE len(h) > 0),
+pieces AS (SELECT doc_id, place, 1 AS kind, off + length(array_to_string(t[:x], '')) AS start, array_to_string(t[x + 1:y], '') AS body, y - x AS n FROM edge),
+unit AS (SELECT doc_id, place, 0 AS kind, off AS start, line AS body, len(t) AS n FROM token WHERE len(t) > 0 UNION ALL SELECT * FROM pieces),
+normal AS (SELECT *, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS norm FROM unit),
+first AS (SELECT norm, min({'d': doc_id, 's': start}) AS f FROM normal GROUP BY norm),
+judged AS (SELECT normal.*, f, (doc_id, start) <> (f.d, f.s) AS repeated FROM normal JOIN first USING (norm)),
+whole AS (SELECT * FROM judged WHERE kind = 0),
+part AS (SELECT p.*, w.repeated AS unit_repeated, p.repeated OR w.repeated AS gone FROM judged p JOIN whole w USING (doc_id, place) WHERE p.kind = 1),
+island AS (SELECT *, sum((NOT gone)::INT) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM part),
+goes AS (SELECT *, gone AND sum(CASE WHEN gone THEN n ELSE 0 END) OVER (PARTITION BY doc_id, run) >= 16 AS goes FROM island),
+rest AS (SELECT doc_id, place, string_agg(body, '' ORDER BY start) FILTER (NOT goes) AS body, bool_or(goes) AS cut, bool_and(goes) AS all_goes,
+  bool_or(unit_repeated) AS unit_repeated FROM goes GROUP BY 1, 2),
+kept AS (SELECT p.doc_id, p.place, CASE WHEN r.cut THEN regexp_replace(r.body, '\s+$', '') ELSE p.line END AS body
+  FROM placed p LEFT JOIN rest r USING (doc_id, place) WHERE NOT coalesce(r.all_goes, false)),
 joined AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY place) AS text FROM kept GROUP BY doc_id),
-span AS (SELECT doc_id, start, body, f FROM whole WHERE gone UNION ALL SELECT doc_id, start, body, f FROM part WHERE gone),
+span AS (SELECT w.doc_id, w.start, w.body, w.f FROM whole w JOIN rest r USING (doc_id, place) WHERE r.all_goes AND w.repeated
+  UNION ALL SELECT g.doc_id, g.start, g.body, g.f FROM goes g JOIN rest r USING (doc_id, place) WHERE g.goes AND NOT (r.all_goes AND r.unit_repeated)),
 removed AS (SELECT doc_id, count(*) AS n, string_agg(concat_ws(':', start, start + length(body), f.d, f.s), ',' ORDER BY start) AS removed FROM span GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(j.text, '') END AS text,
   coalesce(n, 0)::INT AS n_removed, coalesce(removed, '') AS removed
@@ -73,7 +74,7 @@ SELECT doc_id, domain, lang, source, whole::INT AS epoch, tokens, least(tokens,
 """
 
 
-_LISTED = ", ".join(f"'{x}'" for known in COMMON_WORDS.values() for w in known for x in (w, w.capitalize()))
+_LISTED = ", ".join(f"'{w}'" for known in COMMON_WORDS.values() for w in known)
 _LANGUAGES = ", ".join(f"'{x}'" for x in COMMON_WORDS)
 _CLASSES = ", ".join(
     f"{{'bin': 'c{n}', 'n': length(marks) - length(regexp_replace(marks, '{p}', '', 'g'))}}"
@@ -82,21 +83,21 @@ _CLASSES = ", ".join(
 
 DIVERGENCE = rf"""
 WITH doc AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-    regexp_replace(coalesce(text, ''), '[\p{{Ll}}\s\x0B]+', '', 'g') AS marks FROM documents),
+    regexp_replace(coalesce(text, ''), '[\p{{Ll}}\s\x0B]+', '', 'g') AS marks, regexp_extract_all(coalesce(text, ''), '\p{{L}}+') AS plain FROM documents),
 place AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM doc),
 twice AS (SELECT doc_id, list(p) AS ps FROM (SELECT doc_id, p, list_aggregate(w[p:p + 7], 'string_agg', ' ') AS win FROM place)
   GROUP BY doc_id, win HAVING count(*) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM (SELECT doc_id, unnest(ps) AS p FROM twice), range(8) r(j) GROUP BY doc_id),
 line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM doc)
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-base AS (SELECT doc_id, lang, t, w, marks, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+base AS (SELECT doc_id, lang, t, w, marks, plain, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
   FROM doc LEFT JOIN line USING (doc_id) LEFT JOIN repeated USING (doc_id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
 class_count AS (SELECT doc_id, unnest([{{'bin': 'c0', 'n': word_chars - length(marks)}}, {{'bin': 'c1', 'n': length(t) - word_chars}}, {_CLASSES}], recursive := true) FROM judged),
-word_count AS (SELECT doc_id, lower(x) AS bin, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM judged) WHERE x IN ({_LISTED}) GROUP BY 1, 2),
+word_count AS (SELECT doc_id, lower(x) AS bin, count(*) AS n FROM (SELECT doc_id, unnest(plain) AS x FROM judged) WHERE lower(x) IN ({_LISTED}) GROUP BY 1, 2),
 counts AS (SELECT 'c' AS kind, * FROM class_count UNION ALL SELECT 'w', * FROM word_count),
-total AS (SELECT doc_id, 'c' AS kind, length(t) AS n FROM judged UNION ALL SELECT doc_id, 'w', n_words FROM judged),
+total AS (SELECT doc_id, 'c' AS kind, length(t) AS n FROM judged UNION ALL SELECT doc_id, 'w', len(plain) FROM judged),
 filled AS (SELECT * FROM counts UNION ALL
   SELECT kind, doc_id, 'rest', any_value(total.n) - coalesce(sum(counts.n), 0) FROM total LEFT JOIN counts USING (doc_id, kind) GROUP BY kind, doc_id),
 named AS (SELECT doc_id, lang, CASE WHEN lang IN ({_LANGUAGES}) THEN lang END AS language, base_failed FROM judged),
@@ -113,11 +114,11 @@ summed AS (SELECT doc_id, kind, sum(x) AS x FROM (
     SELECT doc_id, kind, CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END AS x FROM own
     UNION ALL SELECT doc_id, kind, p FROM extra) GROUP BY 1, 2),
 distance AS (SELECT doc_id, kind, round(sqrt(greatest(x, 0) / 2), 6) AS d FROM summed),
-measured AS (SELECT judged.*, CASE WHEN length(t) >= 100 THEN c.d END AS class_distance, CASE WHEN n_words >= 30 THEN w.d END AS word_distance
+measured AS (SELECT judged.*, CASE WHEN length(t) >= 100 THEN c.d END AS class_distance, CASE WHEN len(plain) >= 30 THEN w.d END AS word_distance
   FROM judged LEFT JOIN distance c ON c.doc_id = judged.doc_id AND c.kind = 'c' LEFT JOIN distance w ON w.doc_id = judged.doc_id AND w.kind = 'w')
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(class_distance > 0.3, false) AND NOT coalesce(word_distance > 0.42, false) AS kept, class_distance, word_distance
+  NOT base_failed AND NOT coalesce(class_distance > 0.25, false) AND NOT coalesce(word_distance > 0.42, false) AS kept, class_distance, word_distance
 FROM measured
 """
 
