@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest ``doc_id``."""
+    """One document of each component of fingerprints within 3 bits, the one with the smallest ``doc_id``."""
     return simhash.drop_near_copies(docs.select(*COLUMNS))
 
 

@@ -26,7 +26,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelf.llm.common import in_parts
 from shelf.operators.components import components
 from shelf.scratch import materialize, temporary
 
@@ -192,216 +191,12 @@ def near_copies(documents: DataFrame, shingle: int = 3, reach: int = 3, block: i
     )
 
 
-#: samples of shingles hold about this many at the coarsest of three levels, and half and a quarter of it at the others
-SAMPLE_SIZE = 8
-
-
-def sample_keys(distinct: np.ndarray, samples: int) -> np.ndarray:
-    """Keys of samples of a text's distinct shingle hashes; similar texts share some of them.
-
-    At each of three levels shingles fall into ``n`` classes by their hash, ``n`` a power of two that follows the text's
-    length, and the first ``samples`` classes that are not empty in the text give a key: a hash of level, class and all
-    shingles in it. Texts with a similarity of 0.8 differ in length by a quarter at most, so they share two levels at
-    least, and a class of three shingles is the same in both with a chance of a half.
-    """
-    finest = 4 * 2 ** int(np.log2(max(len(distinct) / SAMPLE_SIZE, 1)))
-    keys = []
-    for level in (finest, finest // 2, finest // 4):
-        of_class = (distinct % np.uint64(level)).astype(np.int64)
-        picked = of_class < samples
-        sums = np.zeros(min(level, samples), np.uint64)
-        np.add.at(sums, of_class[picked], distinct[picked])
-        full = np.flatnonzero(np.bincount(of_class[picked], minlength=len(sums)))
-        mixed = sums[full] ^ ((full.astype(np.uint64) + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15))
-        keys.append(mixed * np.uint64(0xD6E8FEB86659FD93))
-    return np.concatenate(keys).view(np.int64)
-
-
-def _links_with_least(keyed: DataFrame) -> DataFrame:
-    """(a, b): every ``first`` of a key with the least and the greatest of that key."""
-    ends = keyed.groupBy("key").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo <> hi")
-    other = F.explode(F.array("lo", "hi")).alias("b")
-    return keyed.join(ends, "key").select(F.col("first").alias("a"), other).where("a <> b").distinct()
-
-
-#: shingles are counted in this many classes; the counts only order shingles, so they cost time where they mislead
-LOADS = 2**16
-#: up to so many texts of a key are paired as rows, more are compared in blocks
-FEW = 32
-
-
-def rarest(distinct: np.ndarray, load: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a text's distinct shingles, rare ones first, that two similar texts cannot but share one of.
-
-    Similar texts have ``similarity`` of either's shingles in common. Whatever the order is, as long as it is the same
-    everywhere, they share one of the first ``n - similarity * n + 1``.
-    """
-    n = len(distinct)
-    count = n - int(np.ceil(similarity * n - 1e-9)) + 1
-    return distinct[np.lexsort((distinct, load[distinct % np.uint64(LOADS)]))[:count]]
-
-
-def _alike_across(sets: list[np.ndarray], comp: np.ndarray, part: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of similar sets, enough of them to join all components that similar sets of differing parts join.
-
-    With one part all sets are held against each other. Sets that already hang together are not compared.
-    """
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    order = np.argsort(size, kind="stable")
-    sets, size, part = [sets[k] for k in order], size[order], part[order]
-    label = np.unique(comp[order], return_inverse=True)[1]
-    shingles = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    start = np.concatenate([[0], size.cumsum()])
-    marked, found, one_part = np.zeros(len(shingles) + 1, np.int64), [], len(np.unique(part)) == 1
-    for k in range(len(sets)):
-        # longer sets follow, up to the length that can still be similar
-        end = int(np.searchsorted(size, size[k] / similarity + 1e-6, "right"))
-        others = np.arange(k + 1, end)
-        if not (label[others] != label[k]).any():
-            continue
-        marked[shingles[start[k] : start[k + 1]]] = 1
-        shared = np.add.reduceat(marked[shingles[start[k + 1] : start[end]]], start[k + 1 : end] - start[k + 1])
-        marked[shingles[start[k] : start[k + 1]]] = 0
-        alike = shared * (1 + similarity) >= similarity * (size[k] + size[others]) - 1e-9
-        for other in others[alike & (one_part | (part[others] != part[k]))]:
-            if label[other] != label[k]:
-                found.append((int(order[k]), int(order[other])))
-                label[label == label[other]] = label[k]
-    return found
-
-
-def similar_copies(
-    documents: DataFrame, shingle: int = 5, similarity: float = 0.8, reach: int = 3, samples: int = 8, block: int = 2048
-) -> DataFrame:
-    """(doc_id, component_id) of every document over links of texts whose shingle sets are similar enough (Jaccard).
-
-    Fingerprints of whole texts within a few bits only meet for texts that are nearly equal. So that texts at the given
-    similarity meet as well, samples of their shingles are compared for equality. Whichever way two texts meet, they
-    are linked only if their whole shingle sets are similar enough. Texts with equal shingle sets are collapsed first.
-
-    That joins large families in linear work, but a text only meets the least and the greatest of each sample. The
-    second round is whole: every two texts of different components that share one of their ``rarest`` shingles meet.
-    """
-
-    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in in_parts(frames):
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                hashes = shingle_hashes(text, shingle)
-                distinct = np.unique(hashes)
-                whole = int(distinct.sum(dtype=np.uint64) ^ np.uint64(len(distinct)))
-                rows.append((doc_id, majority(hashes), whole, sample_keys(distinct, samples)))
-            out = pd.DataFrame(rows, columns=["doc_id", "fp", "whole", "keys"])
-            for name in ("fp", "whole"):
-                out[name] = out[name].to_numpy(np.uint64).view(np.int64)
-            yield out
-
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in in_parts(frames):
-            found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["doc_id"].to_numpy(), "shingles": found})
-
-    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(LOADS, np.int64)
-        for frame in in_parts(frames):
-            for text in frame["text"]:
-                np.add.at(total, (np.unique(shingle_hashes(text, shingle)) % np.uint64(LOADS)).astype(np.int64), 1)
-        yield pd.DataFrame({"load": np.arange(LOADS), "uses": total})
-
-    def rare(load: np.ndarray):
-        def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in in_parts(frames):
-                found = [np.unique(shingle_hashes(t, shingle)) for t in frame["text"]]
-                firsts = [rarest(x, load, similarity).view(np.int64) for x in found]
-                yield pd.DataFrame({"first": frame["doc_id"].to_numpy(), "size": list(map(len, found)), "keys": firsts})
-
-        return keys
-
-    def across(unit: pd.DataFrame) -> pd.DataFrame:
-        found = _alike_across(list(unit["shingles"]), unit["comp"].to_numpy(), unit["part"].to_numpy(), similarity)
-        ids = unit["first"].to_numpy()
-        return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"], dtype="int64")
-
-    # common / (sizes - common) >= similarity, with what is common worked out once
-    alike = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")) - 1e-9
-
-    def shingled(asked: DataFrame) -> DataFrame:
-        """(id, shingles) of the texts whose ids are ``asked``."""
-        again = known.join(asked, F.col("doc_id") == F.col("asked"), "left_semi").mapInPandas(sets, "id long, shingles array<long>")
-        return materialize(again, "shingles")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # one row per text that met another; only these texts are shingled again
-        again = shingled(pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct())
-        both = pairs.join(again.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
-            again.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
-        )
-        return materialize(both.where(alike).select("a", "b"), "edges", lasting=True)
-
-    known = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    sketched = materialize(known.mapInPandas(sketch, "doc_id long, fp long, whole long, keys array<long>"), "sketches")
-    firsts = materialize(sketched.groupBy("whole").agg(F.min("doc_id").alias("first")), "firsts")
-    with temporary(documents.sparkSession):
-        distinct = sketched.join(firsts, (F.col("doc_id") == F.col("first")) & (sketched.whole == firsts.whole)).select("first", "fp", "keys")
-
-        by_sample = _links_with_least(distinct.select("first", F.explode("keys").alias("key")))
-        classes = materialize(distinct.groupBy("fp").agg(F.min("first").alias("leader")), "classes")
-        equal = distinct.join(classes, "fp").select(F.col("leader").alias("a"), F.col("first").alias("b"))
-        linked = links(classes.select("fp"), reach, block)
-        near = (
-            linked.join(classes.select(F.col("fp").alias("a"), F.col("leader").alias("one")), "a")
-            .join(classes.select(F.col("fp").alias("b"), F.col("leader").alias("two")), "b")
-            .select(F.col("one").alias("a"), F.col("two").alias("b"))
-        )
-        met = by_sample.union(equal).union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = materialize(met.where("a <> b").distinct(), "pairs")
-        edges = verified(pairs)
-
-    with temporary(documents.sparkSession):
-        comp = components(edges)
-        texts = known.join(firsts.select("first"), F.col("doc_id") == F.col("first"), "left_semi")
-        load = np.zeros(LOADS, np.int64)
-        for row in texts.mapInPandas(tally, "load int, uses long").groupBy("load").agg(F.sum("uses").alias("uses")).collect():
-            load[row.load] = row.uses
-        picked = texts.mapInPandas(rare(load), "first long, size int, keys array<long>")
-        placed = picked.join(comp, F.col("first") == F.col("node"), "left")
-        keyed = materialize(placed.select("first", "size", F.coalesce("comp", "first").alias("comp"), "keys"), "rare")
-        keyed = keyed.select("first", "size", "comp", F.explode("keys").alias("key"))
-        ends = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
-        # a table of its own, so that the join below can split a key that is everywhere
-        several = materialize(ends.where("lo <> hi").select("key", "members"), "several")
-        members = materialize(keyed.join(several, "key"), "members")
-        of_key = F.collect_list(F.struct("first", "size", "comp")).alias("x")
-        few = members.where(F.col("members") <= FEW).groupBy("key").agg(of_key).select("x", F.explode("x").alias("one"))
-        fits = lambda y: (
-            (y["first"] > F.col("one.first")) & (y["comp"] != F.col("one.comp"))
-            & (F.least(y["size"], F.col("one.size")) >= similarity * F.greatest(y["size"], F.col("one.size")) - 1e-6)
-        )
-        met = few.select(F.col("one.first").alias("a"), F.explode(F.filter("x", fits)).alias("other"))
-        more = verified(materialize(met.select("a", F.col("other.first").alias("b")).distinct(), "pairs"))
-
-        many = members.where(F.col("members") > FEW).withColumn("parts", F.ceil(F.col("members") / block).cast("int"))
-        many = many.withColumn("part", F.pmod(F.xxhash64("first"), "parts").cast("int"))
-        units = F.transform(
-            F.sequence(F.lit(0), F.col("parts") - 1),
-            lambda other: F.struct(F.least(F.col("part"), other).alias("i"), F.greatest(F.col("part"), other).alias("j")),
-        )
-        many = many.select("key", "first", "comp", "part", F.explode(units).alias("unit"))
-        whole = shingled(many.select(F.col("first").alias("asked")).distinct())
-        work = many.join(whole, F.col("first") == F.col("id")).select("key", "unit", "first", "comp", "part", "shingles")
-        crowded = materialize(work.groupBy("key", "unit").applyInPandas(across, "a long, b long"), "edges", lasting=True)
-
-    comp = components(edges.union(more).union(crowded))
-    named = firsts.join(comp, F.col("first") == F.col("node"), "left").select("whole", F.coalesce("comp", "first").alias("component_id"))
-    return sketched.join(named, "whole").select("doc_id", "component_id")
-
-
-def drop_near_copies(documents: DataFrame, **how) -> DataFrame:
-    """The documents, with all their columns, without those that are a near copy of one with a smaller ``doc_id``.
+def drop_near_copies(documents: DataFrame, shingle: int = 3, reach: int = 3) -> DataFrame:
+    """The documents, with all their columns, without those of a component that has a smaller ``doc_id``.
 
     Of several rows with the kept ``doc_id`` all stay, and so do rows without ``doc_id``.
     """
     with temporary(documents.sparkSession):
-        gone = similar_copies(documents, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+        gone = near_copies(documents, shingle, reach).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
         gone = materialize(gone.distinct(), "gone", lasting=True)
     return documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -2,18 +2,21 @@
 
 A text is cut into units: lines, or paragraphs (runs of lines between blank ones). A unit is normalised (lower case,
 white space to single blanks) and digested. Digests meet in one global grouping that keeps the least rank of each,
-with map-side combine; a rank is (``doc_id``, offset). Every unit that is not the earliest of its digest is removed; what
-remains keeps its spelling and order, and every cut is reported with offsets into the original text.
-
-A passage that was copied into the middle of a line is no unit of its own. So a unit's pieces are digested like units: a
-piece is one sentence, or as many sentences as it takes to reach ``piece_words`` words. Pieces of a copied passage fall
-into step after its first sentence, so all but its edges is found.
-
-Defined results: units of fewer than ``min_words`` words and pieces of fewer than ``piece_words`` are never removed, nor
-do they remove others. Where a unit goes, its pieces are not reported; a unit whose pieces all go, goes. NULL and empty
-texts have no units and stay as they are. Rows without ``doc_id`` have no rank: they stay whole and remove nothing. Rows
-that repeat a ``doc_id`` are one document as far as ranks go: equal units at equal offsets are the same occurrence, so
-none of them is removed because of the other; a differing text is cut by its own units. A text may end up empty.
+with map-side combine; a rank is (``doc_id``, offset). What is not the earliest of its digest is repeated; what remains
+keeps its spelling and order, and every cut is reported with offsets into the original text.
+
+A passage that was copied into the middle of a line is no unit of its own. So a unit's pieces are digested like units. A
+piece ends behind a word whose hash is the least among its ``REACH`` neighbours on either side, so inside a passage
+pieces end at the same words whatever stands around it, but for ``REACH`` words at its edges; they have about nine words.
+
+Repeated pieces are cut where they follow each other, over the ends of lines too, for ``min_words`` words or more. So a
+sentence or a line that many texts have by the way stays, and a passage that is a little longer goes.
+
+Defined results: NULL and empty texts have no units and stay as they are; blank units are never cut and end no row of
+pieces. Where a repeated unit goes, its pieces are not reported; a unit whose pieces all go, goes. Rows without
+``doc_id`` have no rank: they stay whole and remove nothing. Rows that repeat a ``doc_id`` are one document as far as ranks
+go: equal units at equal offsets are the same occurrence, so none of them is removed because of the other; a differing
+text is cut by its own units. A text may end up empty.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelf.llm.common import in_parts
+from shelf.llm.common import in_parts, per_worker
 from shelf.scratch import materialize
 
 SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[^\S\n]*\n)+")}
-#: a sentence, up to the end of a word with a full stop or the like in it, with the white space behind it
-SENTENCE = re.compile(r".*?(?:[.!?]\S*\s+|$)", re.DOTALL)
+WORD = re.compile(r"\S+\s*")
+#: neighbours on either side that a word's hash must undercut to end a piece
+REACH = 4
 
 SPAN = "struct<start:int,end:int,first_doc_id:bigint,first_start:int>"
 
@@ -46,42 +50,56 @@ def spans(text: str, unit: str) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-def pieces(text: str, start: int, end: int, piece_words: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, number of words) of the pieces of one unit; white space behind a piece belongs to it."""
-    begin, held = start, 0
-    for sentence in SENTENCE.finditer(text, start, end):
-        held += len(sentence[0].split())
-        if held >= piece_words or sentence.end() == end:
-            if sentence.end() > begin:
-                yield begin, sentence.end(), held
-            begin, held = sentence.end(), 0
+class WordHashes(dict):
+    """The first 32 bits of each word's MD5, kept for a bounded number of words."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = found = int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4], "big")
+        return found
 
-def digests(text: str | None, unit: str, min_words: int, piece_words: int) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, and the 128 bits of the digest) of the units and pieces that are long enough."""
+
+def pieces(text: str, start: int, end: int, hashes: WordHashes) -> list[tuple[int, int, int]]:
+    """(start, end, number of words) of the pieces of one unit; white space behind a piece belongs to it."""
+    begins = [m.start() for m in WORD.finditer(text, start, end)]
+    if not begins:
+        return []
+    h = list(map(hashes.__getitem__, text[start:end].lower().split()))
+    cuts = [0]
+    for k in range(REACH, len(h) - REACH):
+        x = h[k]
+        if h[k - 1] > x <= h[k + 1] and min(h[k - REACH : k]) > x <= min(h[k + 1 : k + REACH + 1]):
+            cuts.append(k + 1)
+    cuts.append(len(begins))
+    at = [start, *(begins[k] for k in cuts[1:-1]), end]
+    return [(a, b, y - x) for a, b, x, y in zip(at, at[1:], cuts, cuts[1:], strict=False)]
+
+
+def digests(text: str | None, unit: str, hashes: WordHashes) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, and the 128 bits of the digest) of the units and pieces that have a word."""
     text = text or ""
     for start, end in spans(text, unit):
-        found = {(a, b): piece_words for a, b, _ in pieces(text, start, end, piece_words)}
-        found[start, end] = min_words
-        for (a, b), least in found.items():
-            words = text[a:b].lower().split()
-            if len(words) >= least:
-                normal = " ".join(words).encode("utf-8", "replace")
+        found = dict.fromkeys([(start, end), *((a, b) for a, b, _ in pieces(text, start, end, hashes))])
+        for a, b in found:
+            normal = " ".join(text[a:b].lower().split()).encode("utf-8", "replace")
+            if normal:
                 yield a, b, *struct.unpack("<qq", hashlib.blake2b(normal, digest_size=16).digest())
 
 
-def repeated_units(documents: DataFrame, unit: str = "line", min_words: int = 5, piece_words: int = 8) -> DataFrame:
+def repeated_units(documents: DataFrame, unit: str = "line") -> DataFrame:
     """(doc_id, version, start, end, first_doc_id, first_start) of every unit and piece that repeats an earlier one.
 
     ``version`` is a hash of the text that the offsets count in.
     """
 
     def units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = per_worker(("word hashes",), WordHashes)
         for frame in in_parts(frames):
             found = [
                 (doc_id, version, *row)
                 for doc_id, version, text in zip(frame["doc_id"], frame["version"], frame["text"], strict=True)
-                for row in digests(text, unit, min_words, piece_words)
+                for row in digests(text, unit, hashes)
             ]
             yield pd.DataFrame(found, columns=["doc_id", "version", "start", "end", "high", "low"])
 
@@ -104,44 +122,54 @@ def repeated_units(documents: DataFrame, unit: str = "line", min_words: int = 5,
     )
 
 
-def cut(text: str, gone: set[tuple[int, int]], unit: str, piece_words: int) -> tuple[str, set[tuple[int, int]]]:
-    """The text without the spans ``gone``, and those of them that are not part of a larger one.
+def cut(text: str, gone: set[tuple[int, int]], unit: str, min_words: int, hashes: WordHashes) -> tuple[str, set[tuple[int, int]]]:
+    """The text without those of the repeated spans ``gone`` that go, and these spans.
 
     A kept unit follows the separator that was before it; white space at the end of a cut unit goes.
     """
+    units = [(u, pieces(text, *u, hashes)) for u in spans(text, unit)]
+    row, words, out = [], 0, set()
+    for u, held in [*units, (None, [(0, 0, 0)])]:
+        for a, b, n in held:
+            if u is not None and (u in gone or (a, b) in gone):
+                row.append((a, b))
+                words += n
+            else:
+                out.update(row if words >= min_words else ())
+                row, words = [], 0
     parts, before, cut_out = [], 0, set()
-    for start, end in spans(text, unit):
-        if (start, end) in gone and end > start:
-            cut_out.add((start, end))
+    for u, held in units:
+        start, end = u
+        left = [(a, b) for a, b, _ in held if (a, b) not in out]
+        if held and not left and u in gone:
+            cut_out.add(u)
         else:
-            held = [(a, b) for a, b, _ in pieces(text, start, end, piece_words)]
-            left = [x for x in held if x not in gone]
-            cut_out.update(x for x in held if x in gone)
-            if left or not held:
-                line = "".join(text[a:b] for a, b in left)
-                parts += [text[before:start]] * bool(parts) + [line if len(left) == len(held) else line.rstrip()]
+            cut_out.update((a, b) for a, b, _ in held if (a, b) in out)
+        if left or not held:
+            line = "".join(text[a:b] for a, b in left) if held else text[start:end]
+            parts += [text[before:start]] * bool(parts) + [line if len(left) == len(held) else line.rstrip()]
         before = end
     return "".join(parts), cut_out
 
 
-def remove_repeats(documents: DataFrame, unit: str = "line", min_words: int = 5, piece_words: int = 8) -> DataFrame:
+def remove_repeats(documents: DataFrame, unit: str = "line", min_words: int = 16) -> DataFrame:
     """The documents, with ``text`` cut and a column ``removed`` appended; other columns pass through.
 
     ``removed`` lists the spans that went, in order: (start, end, first_doc_id, first_start), offsets into the old text
     and where the earliest occurrence is. A column of the input that is called ``removed`` is replaced.
     """
     found = (
-        repeated_units(documents, unit, min_words, piece_words)
+        repeated_units(documents, unit)
         .groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
         .agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc_id", "first_start"))).alias("__found"))
     )
 
     @F.pandas_udf(f"text string, removed array<{SPAN}>")
     def rest(text: pd.Series, rows: pd.Series) -> pd.DataFrame:
-        texts, removed = [], []
+        texts, removed, hashes = [], [], per_worker(("word hashes",), WordHashes)
         for t, repeats in zip(text, rows, strict=True):
             spans_ = {(r["start"], r["end"]): r for r in ([] if repeats is None else repeats)}
-            kept, gone = cut(t, set(spans_), unit, piece_words) if spans_ and t is not None else (t, ())
+            kept, gone = cut(t, set(spans_), unit, min_words, hashes) if spans_ and t is not None else (t, ())
             texts.append(kept)
             removed.append([spans_[x] for x in sorted(gone)])
         return pd.DataFrame({"text": pd.Series(texts, dtype=object), "removed": pd.Series(removed, dtype=object)})

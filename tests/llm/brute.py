@@ -95,61 +95,64 @@ def fingerprint(text, shingle):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def shingles(text, n):
-    w = words(ascii_lower(text or ""))
-    return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
-
-
-def similar_groups(rows, n=5, similarity=0.8):
-    """doc_id to the least doc_id reachable over texts with similar shingle sets; rows are (doc_id, text)."""
-    sets = {i: shingles(t, n) for i, t in rows}
-    alike = lambda a, b: len(a & b) >= similarity * len(a | b) - 1e-9
-    return groups(sets, [(a, b) for a, b in combinations(sets, 2) if alike(sets[a], sets[b])])
-
-
-def sentence_pieces(line, least):
-    """A line in sentences, joined up to ``least`` words."""
-    parts, held = [], ""
-    for word in re.findall(r"\S+\s*|^\s+", line):
-        held += word
-        if re.search(r"[.!?]\S*\s+$", held) and len(held.split()) >= least:
-            parts.append(held)
-            held = ""
-    return parts + [held] * bool(held)
+def near_groups(rows, shingle=3, reach=3):
+    """doc_id to the least doc_id reachable over fingerprints that differ in few bits; rows are (doc_id, text)."""
+    prints = {i: fingerprint(t, shingle) for i, t in rows}
+    return groups(prints, [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= reach])
+
+
+def hashed_pieces(line, reach=4):
+    """(body, words) of a line's pieces: they end behind words whose MD5 begins lower than those of four neighbours on either side."""
+    bodies = re.findall(r"(?:^\s+)?\S+\s*", line)
+    h = [hashlib.md5(x.strip().lower().encode()).digest()[:4] for x in bodies]
+    out, held = [], []
+    for k, body in enumerate(bodies):
+        held.append(body)
+        inner = reach <= k < len(h) - reach
+        if k == len(h) - 1 or inner and all(h[k] < x for x in h[k - reach : k]) and all(h[k] <= x for x in h[k + 1 : k + reach + 1]):
+            out.append(("".join(held), len(held)))
+            held = []
+    return out
 
 
-def without_repeated_lines(rows, min_words=5, piece_words=8):
+def without_repeated_lines(rows, min_words=16):
     """(doc_id, text) rows to (text, spans that went) by doc_id."""
     key = lambda t: tuple(t.lower().split())
-    units = {}  # (doc_id, start, body): of lines and their pieces
+    units = {}  # doc_id: (start, line, (start, body, words) of its pieces)
     for doc_id, text in rows:
         at = 0
         for line in (text or "").split("\n"):
             parts, off = [], at
-            for body in sentence_pieces(line, piece_words):
-                parts.append((off, body))
+            for body, n in hashed_pieces(line):
+                parts.append((off, body, n))
                 off += len(body)
             units.setdefault(doc_id, []).append((at, line, parts))
             at += len(line) + 1
     first = {}
     for doc_id, lines in units.items():
         for at, line, parts in lines:
-            for start, body, least in [(at, line, min_words), *((s, b, piece_words) for s, b in parts)]:
-                if len(key(body)) >= least:
+            for start, body in [(at, line), *((s, b) for s, b, _ in parts)]:
+                if key(body):
                     first[key(body)] = min(first.get(key(body), (doc_id, start)), (doc_id, start))
     out = {}
     for doc_id, text in rows:
+        again = lambda start, body: bool(key(body)) and first[key(body)] != (doc_id, start)  # noqa: B023, E731
+        flags = [(s, n, again(at, line) or again(s, b)) for at, line, parts in units[doc_id] for s, b, n in parts]
+        goes, k = set(), 0
+        while k < len(flags):
+            end = k
+            while end < len(flags) and flags[end][2]:
+                end += 1
+            if sum(n for _, n, _ in flags[k:end]) >= min_words:
+                goes |= {s for s, _, _ in flags[k:end]}
+            k = max(end, k + 1)
         kept, gone = [], []
-
-        def repeats(start, body, least, doc_id=doc_id):
-            return len(key(body)) >= least and first[key(body)] != (doc_id, start)
-
-        for at, line, parts in units.get(doc_id, []):
-            if repeats(at, line, min_words):
+        for at, line, parts in units[doc_id]:
+            left = [b for s, b, _ in parts if s not in goes]
+            if parts and not left and again(at, line):
                 gone.append((at, at + len(line), *first[key(line)]))
-                continue
-            left = [b for s, b in parts if not repeats(s, b, piece_words)]
-            gone += [(s, s + len(b), *first[key(b)]) for s, b in parts if repeats(s, b, piece_words)]
+            else:
+                gone += [(s, s + len(b), *first[key(b)]) for s, b, _ in parts if s in goes]
             if left or not parts:
                 kept.append(line if len(left) == len(parts) else "".join(left).rstrip())
         out[doc_id] = (None if text is None else "\n".join(kept), gone)

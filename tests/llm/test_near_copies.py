@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import ascii_lower, clashing, fingerprint, frame, groups, odd_documents, prose, similar_groups, words
+from brute import ascii_lower, clashing, fingerprint, frame, groups, odd_documents, prose, words
 
 from shelf.llm import simhash
 
@@ -65,28 +65,6 @@ def test_pivot_distances_never_discard_a_link():
     assert np.abs(tables[0] - tables[1]).max() <= 2
 
 
-def test_similar_copies_find_every_link_at_the_threshold(spark, families):
-    docs = frame(spark, [(i, t, None, None, None) for i, t in families])
-    got = {r.doc_id: r.component_id for r in simhash.similar_copies(docs).collect()}
-    want = similar_groups(families)
-    assert len(set(want.values())) < len(families) - 40
-    assert got == want
-
-
-@pytest.mark.parametrize("block", [2048, 50])
-def test_similar_copies_meet_among_strangers_that_share_a_passage(spark, block):
-    rng, passage = random.Random(5), prose(1, 84).replace("\n", " ")
-    own = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
-    rows = [f"{passage} {own(k, 24)}" for k in range(300)]
-    rows += [f"{passage} {own(k, 14)} {own(1000 + k, 10)}" for k in range(150)]  # similar to the text of the same number only
-    rng.shuffle(rows)
-    rows = list(enumerate(rows))
-    want = similar_groups(rows)
-    assert len(set(want.values())) == 300
-    docs = frame(spark, [(i, t, None, None, None) for i, t in rows])
-    assert {r.doc_id: r.component_id for r in simhash.similar_copies(docs, block=block).collect()} == want
-
-
 def test_dropping_keeps_one_of_each_group_and_all_columns(spark, families):
     rows = odd_documents()
     docs = clashing(frame(spark, rows))

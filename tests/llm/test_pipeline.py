@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
-from brute import frame, mixed, odd_documents, similar_groups, without_repeated_lines, words
+from brute import frame, mixed, near_groups, odd_documents, without_repeated_lines, words
 
 from shelf.llm import quality_model
 from shelf.llm.queries import WEIGHTS
@@ -38,7 +38,7 @@ def test_whole_run_equals_brute_force(spark, sf_dir):
     forest = quality_model.train(source, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = forest.score(quality_model.document_statistics(pd.Series([r[1] for r in rows])))
     rows = [r for r, s in zip(rows, scores, strict=True) if s >= 0.3]
-    group = similar_groups([r[:2] for r in rows])
+    group = near_groups([r[:2] for r in rows])
     rows = [r for r in rows if group[r[0]] == r[0]]
     rows = kept_by_lines(rows)
     taken = kept_by_mix(rows)
