@@ -307,16 +307,14 @@ def oracle_sql() -> dict[str, str]:
         "vector_table": "SELECT vec_id AS id, 2 AS rows, len(embedding) AS dims FROM embeddings",
         "staging_job": f"""WITH {STAGED} SELECT id, title, publisher, CAST(published_date AS VARCHAR) AS published_date, list_price,
             processing_date FROM staged""",
-        "ingest_job": f"""WITH parted AS (SELECT * REPLACE (source || '-' || doc_id // 1000 AS source) FROM documents),
-            {VOLUMES.replace('FROM documents', 'FROM parted')},
-            placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM volumes),
-            raw AS (SELECT * FROM placed WHERE place <= 400 AND language = 'en' AND title <> '' AND length(text) > 100),
+        "ingest_job": f"""WITH {VOLUMES},
+            raw AS (SELECT * FROM volumes WHERE language = 'en' AND title <> '' AND length(text) > 100),
             {title_rule('raw', 'source', 'doc_id', 'title', '*')},
             {overlaps('kept', 'source', 'doc_id', 'text')}, {gone()},
             left_over AS (SELECT source, count(*) AS n FROM kept d
               WHERE NOT EXISTS (SELECT 1 FROM gone x WHERE x.g = d.source AND x.k = d.doc_id) GROUP BY 1),
             found AS (SELECT source, count(*) AS n FROM raw GROUP BY 1),
-            listed AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS o FROM (SELECT DISTINCT source FROM parted))
+            listed AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS o FROM (SELECT DISTINCT source FROM documents))
             SELECT CAST(o AS INTEGER) AS processing_order, l.source AS author_name, '2024-03-05 07:08:09' AS processed_date,
               CAST(coalesce(f.n, 0) AS INTEGER) AS raw_books_count, CAST(coalesce(k.n, 0) AS INTEGER) AS deduplicated_books_count,
               CAST(coalesce(k.n, 0) > 0 AS INTEGER) AS books_found, coalesce(k.n, 0) AS landed
@@ -345,6 +343,15 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL (SELECT 'newest', title, publication_year FROM books ORDER BY publication_year DESC NULLS LAST, title LIMIT 5)""",
         "differing_files": """SELECT doc_id AS id, lang, n_chars, NULL AS url FROM documents
             UNION ALL SELECT page_id, NULL, NULL, url FROM pages""",
+        "clashing_files": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::INT::VARCHAR WHEN 1 THEN (p_partkey * 1000000007)::BIGINT::VARCHAR
+              WHEN 2 THEN p_retailprice::DOUBLE::VARCHAR ELSE p_brand END AS label,
+              CASE p_partkey % 4 WHEN 1 THEN p_partkey WHEN 2 THEN p_retailprice ELSE p_size END::DOUBLE AS amount FROM part""",
+        "files_by_path": f"""WITH {EVENTS} SELECT date, 1::BIGINT AS files, count(*) AS rows, sum(user_id)::BIGINT AS users FROM events_by_day
+            WHERE date BETWEEN '2024-01-05' AND '2024-01-08' GROUP BY date
+            UNION ALL SELECT '2024-01-09', 1, 0, 0""",
+        "late_files_job": f"""WITH {STAGED} SELECT id, title, publisher, CAST(published_date AS VARCHAR) AS published_date, list_price,
+            processing_date FROM staged WHERE id::BIGINT % 10 <> 3 OR processing_date < '2024-01-15'""",
+        "staging_limit": f"WITH {STAGED} SELECT least(count(*), 150) AS rows FROM staged",
         "catalogue_report": f"""WITH docs AS (SELECT doc_id, source, text, {TITLE} AS title FROM documents
               WHERE lang = 'en' AND length(text) > 100),
             {title_rule('docs', 'source', 'doc_id', 'title', '*')}

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelf.operators.staging import stage_rows
+from shelf.scratch import materialize
 from shelf.sinks.writers import overwrite_partitions
-from shelf.sources.readers import staged
+from shelf.sources.readers import dated_files, raw_volumes, staged
 
 
 def high_water_mark(target: DataFrame) -> str | None:
@@ -48,3 +49,23 @@ def stage_dates(
         elif mark is not None:
             raw = raw.where(F.col("date") > mark if on_late == "drop" else F.col("date") >= mark)
     overwrite_partitions(stage_rows(raw, start_date, end_date, limit), target)
+
+
+def stage_unseen(spark: SparkSession, raw_path: str, target: str, manifest: str) -> list[str]:
+    """Stage the dates that have files the manifest does not know, however old they are; returns these dates.
+
+    ``manifest`` is a table of (path, modified, bytes, date), one row a staged file. The listing of the raw files less
+    the manifest says which partitions have something new; only those are read, and staged again in
+    full. The files are entered last, so a run that dies is done again, with the same result.
+    """
+    listed = dated_files(spark, raw_path).where(F.col("date").isNotNull())
+    known = staged(spark, manifest, listed.schema)
+    if known is not None:
+        listed = listed.join(known.select("path", "modified"), ["path", "modified"], "left_anti").select(*listed.columns)
+    unseen = materialize(listed, "unseen")
+    # a row a partition; as literals they prune the scan, whose files the driver lists anyway
+    dates = sorted(r[0] for r in unseen.select("date").distinct().collect())
+    if dates:
+        overwrite_partitions(stage_rows(raw_volumes(spark, raw_path).where(F.col("date").isin(dates))), target)
+        unseen.write.mode("append").parquet(manifest)
+    return dates

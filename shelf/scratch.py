@@ -44,10 +44,11 @@ def release(spark: SparkSession) -> None:
     for database in spark.catalog.listDatabases():
         if database.locationUri and folder in database.locationUri:
             spark.sql(f"DROP DATABASE {database.name} CASCADE")
-    _delete(spark, folder)
+    delete(spark, folder)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder and all in it."""
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
@@ -71,7 +72,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     finally:
         _open.remove(mine)
         for path in mine:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, lasting: bool = False) -> DataFrame:

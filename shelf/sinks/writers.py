@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from shelf.operators.ledger import upsert, with_defaults
 from shelf.schemas import LEDGER
+from shelf.scratch import delete, materialize
+
+LEDGER_BUCKETS = 16
 
 
 def land(df: DataFrame, path: str, at: datetime) -> None:
@@ -45,22 +48,49 @@ def overwrite_partitions(staged: DataFrame, path: str, by: str = "processing_dat
 
 
 def create_ledger(spark: SparkSession, table: str = "processed_authors") -> None:
+    """An empty ledger, partitioned by a hash of its key."""
     if not spark.catalog.tableExists(table):
-        spark.createDataFrame([], LEDGER).write.saveAsTable(table)
+        empty = spark.createDataFrame([], LEDGER).withColumn("bucket", F.lit(0))
+        empty.write.partitionBy("bucket").saveAsTable(table)
 
 
 def save_ledger(spark: SparkSession, changes: DataFrame, table: str = "processed_authors",
-                key: str = "processing_order") -> None:
-    """Merge rows into the ledger table.
+                key: str = "processing_order", buckets: int = LEDGER_BUCKETS) -> None:
+    """Merge rows into the ledger table, touching only the buckets that the changes fall into.
 
-    The merged rows go to a table of their own first and are then written over the old
-    ones, because a table cannot be overwritten while it is read.
+    A touched bucket's merged rows are written to a folder of their own, and then the bucket's
+    location is switched there, so a reader finds the old rows or the new ones, whenever a run dies. The other
+    buckets' files stay as they are. ``buckets`` must stay the same over a table's life.
     """
     create_ledger(spark, table)
-    staged = f"{table}_{uuid.uuid4().hex[:12]}"
-    upsert(spark.table(table), with_defaults(changes), key).write.saveAsTable(staged)
-    spark.table(staged).write.mode("overwrite").insertInto(table)
-    spark.sql(f"DROP TABLE {staged}")
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    changed = materialize(with_defaults(changes).select("*", bucket), "changes")
+    touched = sorted(r[0] for r in changed.select("bucket").distinct().collect())  # `buckets` at most
+    if not touched:
+        return
+    columns = LEDGER.fieldNames()
+    current = spark.table(table).where(F.col("bucket").isin(touched))
+    merged = upsert(current.select(*columns), changed.select(*columns), key)
+    version = f"{_location(spark, table)}.versions/{uuid.uuid4().hex}"
+    merged.select("*", bucket).repartition("bucket").write.partitionBy("bucket").parquet(version)
+    there = {r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}
+    left = [_location(spark, table, b) for b in touched if f"bucket={b}" in there]
+    fresh = [f"PARTITION (bucket={b}) LOCATION '{version}/bucket={b}'" for b in touched if f"bucket={b}" not in there]
+    if fresh:
+        spark.sql(f"ALTER TABLE {table} ADD {' '.join(fresh)}")
+    for b in touched:
+        if f"bucket={b}" in there:
+            spark.sql(f"ALTER TABLE {table} PARTITION (bucket={b}) SET LOCATION '{version}/bucket={b}'")
+    spark.catalog.refreshTable(table)
+    for folder in left:  # nothing points there any more
+        delete(spark, folder)
+
+
+def _location(spark: SparkSession, table: str, bucket: int | None = None) -> str:
+    """Where a table, or one of its buckets, lies."""
+    part = "" if bucket is None else f" PARTITION (bucket={bucket})"
+    rows = spark.sql(f"DESCRIBE EXTENDED {table}{part}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"]
 
 
 def write_vectors(vectors: DataFrame, table: str, mode: str = "append", key: str = "id") -> int:

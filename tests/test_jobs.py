@@ -5,11 +5,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from models import descriptions_left, titles_left
 from shelf.operators import ledger
+from shelf.operators.places import places
 from shelf.plans.ingest import ingest_batch
 from shelf.plans.search import build_vectors
-from shelf.plans.staging import high_water_mark, stage_dates
+from shelf.plans.staging import high_water_mark, stage_dates, stage_unseen
 from shelf.schemas import LEDGER, RAW, STAGING
 from shelf.scratch import materialize, temporary
 from shelf.sinks import writers
@@ -245,3 +247,88 @@ def test_temporary_tables_go_with_their_block(spark):
         assert there(outer) and there(handed_on) and handed_on.count() == 3
         files = [f.removeprefix("file://") for f in handed_on.inputFiles()]
     assert files and not any(map(os.path.exists, files))
+
+
+def test_late_files_of_old_dates_are_staged(spark, base):
+    path, target, manifest = f"{base}/raw", f"{base}/staged", f"{base}/manifest"
+    land(spark, path, volume("a"), volume("b", date="2024-01-02"), volume("c", date="2024-01-05"))
+    assert stage_unseen(spark, path, target, manifest) == ["2024-01-01", "2024-01-02", "2024-01-05"]
+    assert stage_unseen(spark, path, target, manifest) == []
+    before = set(spark.read.parquet(target).inputFiles())
+    land(spark, path, volume("late", hour="23"))
+    assert stage_unseen(spark, path, target, manifest) == ["2024-01-01"]
+    assert staged_ids(spark, target) == [("2024-01-01", "a"), ("2024-01-01", "late"), ("2024-01-02", "b"), ("2024-01-05", "c")]
+    touched = {f for f in before ^ set(spark.read.parquet(target).inputFiles())}
+    assert touched and all("processing_date=2024-01-01" in f for f in touched)
+    assert spark.read.parquet(manifest).count() == 4
+
+
+def test_a_merge_leaves_other_buckets_alone(spark, base):
+    table = "ledger_in_buckets"
+    row = lambda k, n: (k, f"author {n}", AT, n, None, None)
+    names = LEDGER.fieldNames()
+    writers.save_ledger(spark, spark.createDataFrame([row(k, k) for k in range(60)], LEDGER), table)
+    files = lambda: {r.f: r.bucket for r in spark.table(table).select(F.input_file_name().alias("f"), "bucket").distinct().collect()}
+    before = files()
+    writers.save_ledger(spark, spark.createDataFrame([row(7, 700), row(1000, 1)], LEDGER), table)
+    after = files()
+    stored = readers.ledger_table(spark, table)
+    assert stored.columns == names
+    got = {r.processing_order: (r.author_name, r.raw_books_count, r.deduplicated_books_count) for r in stored.collect()}
+    assert got == {k: (f"author {k}", k, 0) for k in range(60) if k != 7} | {7: ("author 700", 700, 0), 1000: ("author 1", 1, 0)}
+    changed = {r.bucket for r in spark.table(table).where("processing_order in (7, 1000)").select("bucket").collect()}
+    assert {f for f, b in before.items() if b not in changed} == {f for f, b in after.items() if b not in changed}
+    assert not {f for f, b in before.items() if b in changed} & set(after)
+    writers.save_ledger(spark, spark.createDataFrame([], LEDGER), table)
+    assert files() == after
+
+
+def test_a_merge_that_dies_leaves_the_old_rows(spark, base, monkeypatch):
+    table = "ledger_that_dies"
+    row = lambda k, n: (k, f"author {n}", AT, n, 0, 0)
+    writers.save_ledger(spark, spark.createDataFrame([row(k, k) for k in range(20)], LEDGER), table)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(writers, "_location", dies)
+    with pytest.raises(RuntimeError):
+        writers.save_ledger(spark, spark.createDataFrame([row(3, 300)], LEDGER), table)
+    assert {r.author_name for r in readers.ledger_table(spark, table).collect()} == {f"author {k}" for k in range(20)}
+
+
+def test_files_of_clashing_types(spark, tmp_path):
+    rows = {
+        "a": ("id int, v int, s struct<x:int>", [(1, 5, (1,))]),
+        "b": ("id long, v double, s struct<x:long,y:string>", [(2, 0.5, (2, "y"))]),
+        "c": ("id int, v string, l array<int>", [(3, "x", [1])]),
+        "d": ("id int, v int, l array<double>", [(4, None, [0.5])]),
+    }
+    for name, (schema, data) in rows.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    got = readers.many_files(spark, [f"{tmp_path}/{n}" for n in rows])
+    assert got.schema.simpleString() == "struct<id:bigint,v:string,s:struct<x:bigint,y:string>,l:array<double>>"
+    assert {tuple(r) for r in got.select("id", "v", "s.x", "s.y", F.to_json("l")).collect()} == {
+        (1, "5", 1, None, None), (2, "0.5", 2, "y", None), (3, "x", None, None, "[1.0]"), (4, None, None, None, "[0.5]")}
+
+
+def test_files_in_range_need_a_file(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/x/2024-02-03")
+    assert readers.files_in_range(spark, str(tmp_path), "2024-02-01", "2024-02-28").select("id", "file_date").count() == 3
+    with pytest.raises(ValueError):
+        readers.files_in_range(spark, str(tmp_path), "2025-02-01", "2025-02-28")
+
+
+def test_author_lists_are_numbered_without_python(spark, tmp_path):
+    for k, part in enumerate(("a", "b", "c")):
+        (tmp_path / f"{part}.txt").write_text("\n".join(f" {k}-{n} " for n in range(50)))
+    got = readers.author_list(spark, str(tmp_path))
+    assert [tuple(r) for r in got.orderBy("processing_order").collect()] == [(50 * k + n, f"{k}-{n}") for k in range(3) for n in range(50)]
+    assert "Python" not in plan_of(got, "simple")
+
+
+def test_places_in_a_group_that_holds_most_rows(spark):
+    rows = [("big", (k * 37) % 5003) for k in range(5000)] + [("small", 3), ("small", 1), (None, 9)]
+    got = places(spark.createDataFrame(rows, "g string, o long").repartition(9), "g", "o").collect()
+    want = {(g, o): k for name in ("big", "small", None) for k, (g, o) in enumerate(sorted(r for r in rows if r[0] == name))}
+    assert {(r.g, r.o): r.place for r in got} == want and len(got) == len(rows)

@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 from shelf.functions import text as text_fn
 from shelf.functions.values import publication_year, published_date
 from shelf.operators import books, descriptions, ledger, staging, stats, titles, vectors, volumes
+from shelf.operators.places import places
 from shelf.plans.dashboard import dashboard
 from shelf.plans.ingest import deduplicate_books, ingest_batch
 from shelf.plans.search import build_vectors, recommend, vectorize
-from shelf.plans.staging import stage_dates
+from shelf.plans.staging import stage_dates, stage_unseen
 from shelf.schemas import RAW, VOLUME
 from shelf.scratch import materialize, run_folder, spread
 from shelf.session import apply_settings
@@ -621,20 +622,9 @@ def staging_job(spark, sf_dir):
     return readable(staged.select("id", "title", "publisher", "published_date", "list_price", "processing_date"))
 
 
-# documents of one source and of so many neighbouring ids are one author's
-AUTHOR_IDS = 1000
-
-
-def by_author(docs: DataFrame) -> DataFrame:
-    """Documents whose source is an author of at most ``AUTHOR_IDS`` books."""
-    name = F.concat_ws("-", "source", (F.col("doc_id") / AUTHOR_IDS).cast("long"))
-    return docs.withColumn("source", name)
-
-
 def landed_pages(volumes_: DataFrame, path: str) -> None:
     """Each author's volumes as response files, forty items a page."""
-    place = F.row_number().over(Window.partitionBy("author").orderBy("ord")) - 1
-    numbered = volumes_.select("author", "ord", "id", "volumeInfo", "saleInfo", place.alias("place"))
+    numbered = places(volumes_.select("author", "ord", "id", "volumeInfo", "saleInfo"), "author", "ord")
     page = F.floor(F.col("place") / volumes.PAGE_SIZE).cast("int")
     item = F.struct("ord", F.struct("id", "volumeInfo", "saleInfo").alias("item"))
     pages = numbered.groupBy("author", page.alias("page")).agg(F.array_sort(F.collect_list(item)).alias("sorted"))
@@ -643,16 +633,17 @@ def landed_pages(volumes_: DataFrame, path: str) -> None:
 
 def ingest_job(spark, sf_dir):
     """Response files and an author list to landed books, their ids and the ledger, in two batches."""
-    docs = by_author(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     responses, listed, books, ids = (own_path(spark, n) for n in ("responses", "authors", "books", "ids"))
     landed_pages(volumes_of(docs), responses)
     names = docs.select("source").distinct()
     names.orderBy("source").write.text(listed)
     name = f"{own_database(spark, 'ledger')}.processed_authors"
     size = -(-names.count() // 2)
+    pages = 1 + readers.responses(spark, responses).agg(F.max("page")).first()[0]  # all of every author
     for _ in range(2):
         ingest_batch(spark, readers.author_list(spark, listed), readers.responses(spark, responses), books, ids,
-                     name, size, at=datetime(2024, 3, 5, 7, 8, 9))
+                     name, size, pages, at=datetime(2024, 3, 5, 7, 8, 9))
     landed = spark.read.parquet(books).where("date = '2024-03-05' and hour = 7").select("id", "volumeInfo.authors")
     counted = landed.join(spark.read.parquet(ids).select("id"), "id").groupBy(F.col("authors")[0].alias("author_name"))
     return (
@@ -710,6 +701,62 @@ def differing_files(spark, sf_dir):
     return readers.many_files(spark, [one, two]).select("id", "lang", "n_chars", "url")
 
 
+def clashing_files(spark, sf_dir):
+    """A column that files spell as a whole number, a longer one, a fraction and a text; and one that only widens."""
+    part = table(spark, sf_dir, "part")
+    spellings = {
+        "int": (F.col("p_size").cast("int"), F.col("p_size").cast("int")),
+        "long": (F.col("p_partkey") * 1_000_000_007, F.col("p_partkey")),
+        "double": (F.col("p_retailprice"), F.col("p_retailprice")),
+        "string": (F.col("p_brand"), F.col("p_size").cast("long")),
+    }
+    paths = []
+    for k, (label, amount) in enumerate(spellings.values()):
+        paths.append(own_path(spark, "spelled"))
+        rows = part.where(F.col("p_partkey") % 4 == k)
+        rows.select("p_partkey", label.alias("label"), amount.alias("amount")).write.parquet(paths[-1])
+    return readers.many_files(spark, paths)
+
+
+def files_by_path(spark, sf_dir):
+    """Files of five layouts found by the date in their paths: rows by date, in the range only."""
+    root, events = own_path(spark, "mixed"), _dated_events(table(spark, sf_dir, "events"))
+    layouts = {
+        "2024-01-05": "processing_date=2024-01-05", "2024-01-06": "archive/2024/2024-01-06/rows", "2024-01-07": "export-2024-01-07",
+        "2024-01-08": "2023-12-31/processing_date=2024-01-08", "2024-01-20": "processing_date=2024-01-20",
+    }
+    for date, place in layouts.items():
+        events.where(F.col("date") == date).drop("date").coalesce(1).write.parquet(f"{root}/{place}")
+    none = events.where("false").drop("date").coalesce(1)
+    none.write.parquet(f"{root}/processing_date=2024-01-09")  # a file without rows
+    none.write.parquet(f"{root}/undated")
+    files = readers.dated_files(spark, root).where(F.col("date").between("2024-01-05", "2024-01-19"))
+    files = files.groupBy("date").agg(F.count(F.lit(1)).alias("files"))
+    rows = readers.files_in_range(spark, root, "2024-01-05", "2024-01-19").groupBy("file_date")
+    rows = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("user_id").alias("users"))
+    return files.join(rows, F.col("date") == F.col("file_date"), "left").select(
+        "date", "files", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("users", F.lit(0)).alias("users"))
+
+
+def late_files_job(spark, sf_dir):
+    """Landed volumes staged by their files: most of them, then files that arrive late for dates long staged."""
+    landed, target, manifest = own_path(spark, "landed"), own_path(spark, "staged"), own_path(spark, "manifest")
+    raw = raw_docs(spark, sf_dir)
+    late = F.col("ord") % 10 == 3
+    land_raw(raw.where(~late), landed)
+    stage_unseen(spark, landed, target, manifest)
+    arrived = raw.where(late & (F.col("date") < "2024-01-15")).withColumn("hour", F.lit("23"))
+    arrived.select(*RAW.fieldNames()).write.partitionBy("date", "hour").mode("append").parquet(landed)
+    stage_unseen(spark, landed, target, manifest)
+    staged = readers.staged_files(spark, target, "2024-01-01", "2024-01-31")
+    return readable(staged.select("id", "title", "publisher", "published_date", "list_price", "processing_date"))
+
+
+def staging_limit(spark, sf_dir):
+    """How many rows a trial run with a limit stages."""
+    return staging.stage_rows(raw_docs(spark, sf_dir), limit=150).agg(F.count(F.lit(1)).alias("rows"))
+
+
 # -- flagship -----------------------------------------------------------------------------------------
 
 
@@ -737,6 +784,7 @@ QUERIES = [
     share_with_other, per_year, books_per_year, rating_histogram, newest_rows, highlight,
     knn_l2, knn_cosine, knn_dot, result_cards, embed_rows, search_texts, vector_rows, vector_table,
     staging_job, ingest_job, vector_job, recommend_job, dashboard_job, differing_files,
+    clashing_files, files_by_path, late_files_job, staging_limit,
     catalogue_report,
 ]
 
