@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from shelf.functions.encode import hashing_encoder, sentence_encoder
-from shelf.operators.vectors import CARD_COLUMNS, embed, nearest, result_cards, search
+from shelf.operators.vectors import CARD_COLUMNS, _packed, block_pairs, embed, nearest, pivots, result_cards, search
 from shelf.plans.search import recommend, vectorize
 from shelf.schemas import STAGING
 
@@ -32,15 +32,15 @@ def brute(rows, query, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
-@pytest.mark.parametrize("per_scan", [2048, 3])
-def test_nearest_equals_a_full_scan(spark, metric, per_scan):
+@pytest.mark.parametrize("sizes", [{}, {"block": 60, "query_block": 2}])
+def test_nearest_equals_a_full_scan(spark, metric, sizes):
     rnd = random.Random(9)
     rows = [(f"v{k:04}", [rnd.gauss(0, 1) for _ in range(8)]) for k in range(900)]
     rows += [(f"w{k:04}", rows[k][1]) for k in range(300)] + [("zero", [0.0] * 8), ("none", None)]
     asked = [(k, [float(x) for x in np.float32([rnd.gauss(0, 1) for _ in range(8)])]) for k in range(5)]
     asked.append((5, [float(x) for x in np.float32(rows[0][1])]))
     queries = spark.createDataFrame(asked, "qid int, vector array<double>")
-    found = nearest(vectors(spark, rows).repartition(5), queries, 5, metric, per_scan=per_scan).collect()
+    found = nearest(vectors(spark, rows).repartition(5), queries, 5, metric, **sizes).collect()
     for qid, q in asked:
         got = [(r.id, round(r.distance, 9)) for r in sorted(found, key=lambda r: r.rank) if r.qid == qid]
         assert got == brute(rows, q, 5, metric)
@@ -54,10 +54,44 @@ def test_ties_go_by_id_and_k_may_exceed_the_table(spark):
     assert nearest(vectors(spark, rows[:2]), q).count() == 2
 
 
-def test_no_vector_meets_a_query_in_a_join(spark):
-    q = spark.createDataFrame([(1, [0.3, 0.2, 0.1])], "qid int, vector array<float>")
-    text = plan_of(nearest(vectors(spark, [("a", [1.0, 0.0, 0.0])]), q))
-    assert "Join" not in text and "CartesianProduct" not in text and "WindowGroupLimit" in text
+def test_blocks_that_are_too_far_are_skipped(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((12, 6)) * 50
+    rows = [(f"v{k:05}", (centres[k % 12] + rng.standard_normal(6) * 0.1).tolist()) for k in range(3000)]
+    asked = [(k, [float(x) for x in np.float32(centres[k % 2])]) for k in range(40)]
+    named = vectors(spark, rows).select(F.col("id").alias("name"), F.col("vector").cast("array<double>").alias("vector"))
+    centres_ = pivots(named, 100)
+    there = _packed(named, "l2", 100, centres_)
+    questions = spark.createDataFrame(asked, "name int, vector array<double>")
+    for metric in ("l2", "dot"):
+        pairs = block_pairs(_packed(questions, metric, 20, centres_), there, 3, metric)
+        blocks = there.count()
+        assert 0 < pairs.select("block").distinct().count() < blocks / 2
+    for metric in ("l2", "cosine", "dot"):
+        found = nearest(vectors(spark, rows), questions.withColumnRenamed("name", "qid"), 3, metric, block=100, query_block=20).collect()
+        for qid, q in asked[:4]:
+            got = [(r.id, round(r.distance, 9)) for r in sorted(found, key=lambda r: r["rank"]) if r.qid == qid]
+            assert got == brute(rows, q, 3, metric)
+
+
+def test_blocks_are_bounded_and_queries_stay_out_of_the_driver(spark, monkeypatch):
+    rows = [("same", [1.0, 2.0])] * 500 + [(f"v{k}", [float(k), 1.0]) for k in range(300)]
+    named = vectors(spark, rows).select(F.col("id").alias("name"), F.col("vector").cast("array<double>").alias("vector"))
+    sizes = [r.n for r in _packed(named, "l2", 50, pivots(named, 50)).collect()]
+    assert sum(sizes) == 800 and max(sizes) <= 100
+
+    def refused(*_):
+        raise AssertionError("rows reached the driver")
+
+    for name in ("collect", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(named), name, refused)
+    fetched, real = [], type(named).toArrow
+    monkeypatch.setattr(type(named), "toArrow", lambda self: fetched.append(real(self)) or fetched[-1])
+    q = spark.createDataFrame([(1, [0.3, 0.2])], "qid int, vector array<float>")
+    out = nearest(vectors(spark, rows), q, 2)
+    monkeypatch.undo()
+    assert [t.num_rows for t in fetched] == [1] and [0.3, 0.2] not in fetched[0].column("vector").to_pylist()
+    assert "WindowGroupLimit" in plan_of(out) and out.count() == 2
 
 
 def test_encoder_is_pluggable_and_loaded_once_per_task(spark):
