@@ -68,56 +68,65 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def successors(documents: DataFrame) -> DataFrame:
-    """(doc_id, n, next_id): the next larger ``doc_id``, after the last the first; ``n`` is the shortest text's length.
+    """(doc_id, n, next_id, next_rank) of every ``doc_id``: the next larger one, after the last the first.
 
-    Ids are dealt out by ranges; only the first id of each range, one row a partition, meets in one place.
+    ``n`` is the longest text's length. Of several rows of an id one stands for it as another's next document: the shortest, of
+    equally long ones one picked by hash, named by its rank. Ids are dealt out by ranges; only the first id of each
+    range, one row a partition, meets in one place.
     """
-    ids = documents.groupBy("doc_id").agg(F.min(F.length("text")).alias("n"))
-    dealt = ids.repartitionByRange("doc_id").select("doc_id", "n", F.spark_partition_id().alias("part"))
+    ids = documents.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("rank").alias("rank"))
+    own = F.struct("doc_id", "rank")
+    dealt = ids.repartitionByRange("doc_id").select("doc_id", "n", "rank", F.spark_partition_id().alias("part"))
     dealt = materialize(dealt, "ranges")
-    heads = dealt.groupBy("part").agg(F.min("doc_id").alias("head"))
+    heads = dealt.groupBy("part").agg(F.min(own).alias("head"))
     by_part = Window.orderBy("part")
     first = F.first("head").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("part", F.coalesce(F.lead("head").over(by_part), first).alias("after"))
-    within = F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))
+    within = F.lead(own).over(Window.partitionBy("part").orderBy("doc_id"))
     chain = dealt.select("doc_id", "n", "part", within.alias("inside")).join(heads, "part")
-    return materialize(chain.select("doc_id", "n", F.coalesce("inside", "after").alias("next_id")), "chain")
+    after = F.coalesce("inside", "after")
+    return materialize(chain.select("doc_id", "n", after["doc_id"].alias("next_id"), after["rank"].alias("next_rank")), "chain")
 
 
 def edit_study(documents: DataFrame, k: int = 4, w: int = 6) -> DataFrame:
     """Fingerprints of every document and of its edited text, whose last quarter is the next document's beginning.
 
-    (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row a ``doc_id``. A
-    ``doc_id`` that repeats counts once, with its shortest text (the least of equally long ones). A missing ``doc_id``
-    comes before all others.
+    (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row a document. Rows
+    that share a ``doc_id`` have the same next document; where they are the next one themselves, the shortest stands for
+    them. A row without ``doc_id`` has no next document: its edited text ends early, and ``near_next`` is NULL.
     """
-    missing = F.lit(-(2**63))
-    known = documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), missing).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    chain = successors(known)
-    # one exchange of the texts by doc_id, with their picks, serves both sides below
-    each = known.select("doc_id", "text", F.length("text").alias("n"), picks(F.col("text"), k, w).alias("picked"))
-    earlier = F.lag("n").over(Window.partitionBy("doc_id").orderBy("n", "text"))
-    each = each.withColumn("earlier", earlier).where("earlier is null").drop("earlier")
-    following = each.join(
-        chain.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.col("n").alias("n_before")), "doc_id"
-    ).select("before", F.expr("substring(text, 1, n_before div 4)").alias("head"), hashes(F.col("picked")).alias("next_hashes"))
-    both = each.join(following, F.col("doc_id") == F.col("before"))
-    edited = both.select(
-        "doc_id", "n", "picked", "next_hashes", F.concat(F.expr("substring(text, 1, n - n div 4)"), F.col("head")).alias("edited")
-    )
+    text = F.coalesce("text", F.lit(""))
+    # of equal lengths by 31 bits of a hash
+    rank = F.shiftleft(F.length("text").cast("long"), 31).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1)))
+    known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    known = known.select("doc_id", "text", F.length("text").alias("n"), rank.alias("rank"))
+    named = known.where("doc_id is not null")
+    chain = successors(named.select("doc_id", "n", "rank"))
+    # the texts cross the network once, by doc_id and for both sides below; picks are made where they arrive
+    after = chain.select("next_id", "next_rank", F.col("doc_id").alias("before"), F.col("n").alias("longest"))
+    following = named.join(after, F.col("doc_id") == F.col("next_id")).where("rank = next_rank")
+    following = following.select("before", F.expr("substring(text, 1, longest div 4)").alias("head"), hashes(picks(F.col("text"), k, w)).alias("next_hashes"))
+    # rows that are equal, or of one rank, are one
+    following = following.groupBy("before").agg(F.min(F.struct("head", "next_hashes")).alias("f")).select("before", "f.*")
+    both = named.join(following, F.col("doc_id") == F.col("before")).select("doc_id", "n", "text", "head", "next_hashes")
+    alone = known.where("doc_id is null").select(
+        "doc_id", "n", "text", F.lit("").alias("head"), F.lit(None).cast("array<int>").alias("next_hashes"))
+    edited = both.union(alone).select(
+        "doc_id", "n", "text", "next_hashes",
+        F.concat(F.expr("substring(text, 1, n - n div 4)"), F.expr("substring(head, 1, n div 4)")).alias("edited"),
+    )
     judged = edited.select(
-        "doc_id", "n", "picked", "next_hashes", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array(picks(F.col("edited"), k, w)).alias("edited_picked"),
+        "doc_id", "n", "next_hashes", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.array(F.struct(picks(F.col("text"), k, w).alias("own"), picks(F.col("edited"), k, w).alias("edited"))).alias("p"),
     )
-    judged = judged.select("*", F.explode("edited_picked").alias("ep"))  # a generator: worked out once, used twice below
+    judged = judged.select("*", F.explode("p").alias("e"))  # a generator: worked out once, used several times below
+    own, other = F.col("e.own"), F.col("e.edited")
     return judged.select(
-        F.nullif("doc_id", missing).alias("doc_id"),
+        "doc_id",
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
-        written(F.col("picked")).alias("fingerprint"),
-        written(F.col("ep")).alias("edited_fingerprint"),
-        likeness(hashes(F.col("picked")), hashes(F.col("ep"))).alias("near_edited"),
-        likeness(hashes(F.col("picked")), F.col("next_hashes")).alias("near_next"),
+        written(own).alias("fingerprint"),
+        written(other).alias("edited_fingerprint"),
+        likeness(hashes(own), hashes(other)).alias("near_edited"),
+        F.when(F.col("next_hashes").isNotNull(), likeness(hashes(own), F.col("next_hashes"))).alias("near_next"),
     )

@@ -208,10 +208,38 @@ def test_edit_study(spark):
     assert "Python" not in plan_of(out) and "Arrow" not in plan_of(out)
 
 
+def likeness_of(one, other):
+    """Of two written fingerprints: hashes in both over hashes in either."""
+    a, b = ({p.split("@")[0].rjust(16, "0")[-8:] for p in x.split()} for x in (one, other))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_likeness_is_that_of_the_written_fingerprints(spark):
+    rows = [(k, prose(k // 2, 60 + k), None, None, None) for k in range(14)]
+    got = winnowing.edit_study(frame(spark, rows)).orderBy("doc_id").collect()
+    for r, after in zip(got, got[1:] + got[:1]):
+        assert r.near_edited == pytest.approx(likeness_of(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(likeness_of(r.fingerprint, after.fingerprint))
+    assert any(r.near_next > 0.5 for r in got)
+
+
 def test_edit_study_of_odd_rows(spark):
-    rows = odd_documents()
+    rows = odd_documents() + [(5, "a shorter text of this id", None, None, None), (4, prose(1, 130), None, None, None)]
     got = winnowing.edit_study(frame(spark, rows)).collect()
-    assert sorted(str(r.doc_id) for r in got) == sorted({str(r[0]) for r in rows})  # one row an id
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((r[0], len(r[1] or "")) for r in rows)  # a row a row
+    shortest = {}
+    for doc_id, text, *_ in rows:
+        if doc_id is not None:
+            shortest[doc_id] = min(shortest.get(doc_id, text or ""), text or "", key=len)
+    ids = sorted(shortest)
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        text = text or ""
+        after = shortest[ids[(ids.index(doc_id) + 1) % len(ids)]] if doc_id is not None else ""
+        q = len(text) // 4
+        want[doc_id, hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+    assert all((r.near_next is None) == (r.doc_id is None) for r in got)
     alone = winnowing.edit_study(frame(spark, rows[4:5])).collect()
     assert len(alone) == 1 and alone[0].near_next == 1.0
     assert winnowing.edit_study(frame(spark, [])).collect() == []
