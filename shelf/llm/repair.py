@@ -2,7 +2,7 @@
 
 Documents are dealt out by ranges of ``doc_id``; each task encodes its documents in order and cuts the stream of ids
 into shards of about a million. In a shard, frequent pairs of neighbouring symbols are replaced by new symbols again and
-again, until no pair is frequent enough. A round replaces many pairs at once: the most frequent first, as long as no
+again, until no pair is there 32 times. A round replaces many pairs at once: the most frequent first, as long as no
 symbol would be the left half of one pair and the right half of another, so that replacements cannot overlap. (A pair of
 equal symbols is taken from the left in every run.) Pairs may reach over the end of a document.
 
@@ -157,16 +157,20 @@ class Encoder:
         return ragged(self.flat, self.starts[at], sizes), np.diff(sizes.cumsum()[last], prepend=0)
 
 
-def _frequent_pairs(stream: np.ndarray, alphabet: int, least: int, room: int) -> list[tuple[int, int]]:
-    """Pairs to replace together in one round, the most frequent first."""
-    pairs, uses = np.unique(stream[:-1] * stream.dtype.type(alphabet) + stream[1:], return_counts=True)
-    often = np.flatnonzero(uses >= least)
-    often = often[np.argsort(-uses[often], kind="stable")]
+def _counted(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are there ``least`` times or more, ascending, and how often."""
+    pairs = np.sort(pairs)
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+    uses = np.diff(np.append(first, len(pairs)))
+    often = uses >= least
+    return pairs[first[often]].astype(np.uint64), uses[often]
+
+
+def _apart(pairs: np.ndarray, uses: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs to replace together in one round, the most frequent first: no symbol is in both halves, and none twice in one."""
+    order = np.argsort(-uses, kind="stable")
     left, right, chosen = set(), set(), []
-    for a, b in zip((pairs[often] // alphabet).tolist(), (pairs[often] % alphabet).tolist(), strict=True):
-        if len(chosen) >= room:
-            break
-        # one pair a left half, and no symbol in both halves
+    for a, b in zip((pairs[order] >> np.uint64(32)).tolist(), (pairs[order] & np.uint64(2**32 - 1)).tolist(), strict=True):
         if a not in left and a not in right and b not in left and (a != b or b not in right):
             chosen.append((a, b))
             left.add(a)
@@ -174,36 +178,56 @@ def _frequent_pairs(stream: np.ndarray, alphabet: int, least: int, room: int) ->
     return chosen
 
 
-def build_grammar(ids: np.ndarray, least: int = 32, rounds: int = 12, most_symbols: int = 65_536) -> dict[str, np.ndarray]:
-    """Terminals, rules, expansions and symbols of a stream of ids.
+def build_grammar(ids: np.ndarray, least: int = 32) -> dict[str, np.ndarray]:
+    """Terminals, rules, expansions and symbols of a stream of ids in which no pair is left ``least`` times.
 
-    A pair is frequent from ``least`` uses on, and is looked for in so many ``rounds``. ``most_symbols`` bounds terminals
-    and rules together (there may be more terminals), so that a symbol fits two bytes and a pair four.
+    All pairs are counted once. A round takes what it replaces off the counts and adds the pairs round the new symbols, which are the
+    only ones that can have become frequent.
     """
     terminals = np.flatnonzero(np.bincount(ids))
-    symbol = np.zeros(int(ids.max(initial=0)) + 1, np.uint32 if len(terminals) <= most_symbols <= 65_536 else np.uint64)
+    symbol = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     symbol[terminals] = np.arange(len(terminals))
     stream = symbol[ids]
+
+    def pairs_at(places: np.ndarray) -> np.ndarray:
+        return stream[places].astype(np.uint64) << np.uint64(32) | stream[places + 1]
+
+    if len(terminals) <= 65_536:  # half the bytes to sort
+        known, uses = _counted(stream[:-1] << np.uint32(16) | stream[1:], least)
+        known = (known >> np.uint64(16)) << np.uint64(32) | known & np.uint64(65_535)
+    else:
+        known, uses = _counted(pairs_at(np.arange(len(stream) - 1)), least)
     rules: list[tuple[int, int]] = []
-    for _ in range(rounds):
+    while len(known):
         alphabet = len(terminals) + len(rules)
-        chosen = _frequent_pairs(stream, alphabet, least, most_symbols - alphabet) if len(stream) > 1 else []
-        if not chosen:
-            break
-        pairs = np.array(chosen)
-        partner = np.full(alphabet, alphabet, stream.dtype)  # the alphabet's size: nobody's partner
-        partner[pairs[:, 0]] = pairs[:, 1]
-        name = np.zeros(alphabet, stream.dtype)
-        name[pairs[:, 0]] = alphabet + np.arange(len(pairs))
+        chosen = np.array(_apart(known, uses), np.uint32)
+        partner = np.full(alphabet, alphabet, np.uint32)  # the alphabet's size: nobody's partner
+        partner[chosen[:, 0]] = chosen[:, 1]
+        name = np.zeros(alphabet, np.uint32)
+        name[chosen[:, 0]] = alphabet + np.arange(len(chosen))
         hit = np.flatnonzero(partner[stream[:-1]] == stream[1:])
         # runs of one symbol overlap with themselves: every other place counts, from the run's first
         run = np.cumsum(np.diff(hit, prepend=-2) != 1)
         hit = hit[(hit - hit[np.searchsorted(run, run)]) % 2 == 0]
+        touched = np.zeros(len(stream) + 2, bool)  # places of pairs that go, one further on
+        touched[hit] = touched[hit + 1] = touched[hit + 2] = True
+        gone, times = np.unique(pairs_at(np.flatnonzero(touched[1 : len(stream)])), return_counts=True)
+        at = np.minimum(np.searchsorted(known, gone), len(known) - 1)
+        there = known[at] == gone
+        uses[at[there]] -= times[there]
         stream[hit] = name[stream[hit]]
         kept = np.ones(len(stream), bool)
         kept[hit + 1] = False
         stream = stream[kept]
-        rules += chosen
+        rules += map(tuple, chosen.tolist())
+        new = np.flatnonzero(stream >= alphabet)
+        near = np.zeros(len(stream) + 1, bool)
+        near[new] = near[new + 1] = True
+        fresh, fresh_uses = _counted(pairs_at(np.flatnonzero(near[1 : len(stream)])), least)
+        left = uses >= least
+        known, uses = np.concatenate([known[left], fresh]), np.concatenate([uses[left], fresh_uses])
+        order = np.argsort(known)
+        known, uses = known[order], uses[order]
     expansions = np.ones(len(terminals) + len(rules), np.int64)
     for r, (a, b) in enumerate(rules, len(terminals)):
         expansions[r] = expansions[a] + expansions[b]
