@@ -273,31 +273,65 @@ def every_split(name):
 
 
 def test_split_is_the_likeliest_of_all():
-    uses = {"cheap": 5, "pills": 3, "che": 4, "ap": 4, "a": 9, "p": 1, "ill": 2, "s": 2, "pill": 1}
-    splitter = url_filter.Splitter(uses)
-    for name in ("cheappills", "apills", "chepas", "zzcheap", "x"):
-        cost = lambda parts: sum(splitter.cost.get(p, splitter.strange if len(p) == 1 else math.inf) for p in parts)
-        best = min(every_split(name), key=cost)
-        want = []
-        for p in best:
-            token = p if p in uses else url_filter.UNKNOWN
-            if token != url_filter.UNKNOWN or want[-1:] != [token]:
-                want.append(token)
-        assert splitter.split(name) == want
-
-
-def test_bayes_blocks_by_company(spark):
-    good = [f"http://{w}.example.org/{k}" for k, w in enumerate(["news", "daily", "weather", "report"] * 15)]
-    bad = [f"http://cheappills{x}.example.org/{k}" for k, x in enumerate(["", "farm", "daily"] * 5)]
-    got = url_filter.judge(clashing(pages(spark, good + bad)).drop("host"), RULES).orderBy("page_id").collect()
-    assert [r.verdict for r in got] == ["allow"] * len(good) + ["block"] * len(bad)
-    assert got[len(good)].words.startswith("cheap pills")
+    uses = {"cheap": 5, "pills": 3, "che": 4, "ap": 4, "ill": 2, "pill": 1, "ps": 2}
+    total = 1000
+    cost = lambda p: math.log(total + 1) - math.log(uses[p]) if p in uses else math.log(total + 1) + len(p) * math.log(10)
+    for name in ("cheappills", "apills", "chepas", "zzcheap", "x", "fr", "html"):
+        got = url_filter.split(name, uses, total)
+        assert "".join(got) == name
+        assert sum(map(cost, got)) == pytest.approx(min(sum(map(cost, parts)) for parts in every_split(name)))
+    assert url_filter.split("cheappills", uses, total) == ["cheap", "pills"]
+    assert url_filter.split("fr", uses, total) == ["fr"] and url_filter.split("html", uses, total) == ["html"]
+
+
+def model_of_bayes(rows, rules, seeds):
+    """page_id to (verdict, words) by plain counting; rows are (page_id, host, path, rule action, html)."""
+    seen = Counter(w for *_, html in rows for w in re.findall("[a-z]{2,}", re.sub("<[^>]*>", " ", html or "").lower()))
+    total = sum(seen.values())
+    examples, tokens = [], {}
+    for page, host, path, action, html in rows:
+        parts = re.findall("[a-z]+|[0-9]+", f"{host} {path}".lower())
+        tokens[page] = [t for p in parts for t in (["<number>"] if p[0].isdigit() else url_filter.split(p, seen, total))]
+        text = re.sub("<[^>]*>", " ", html or "")
+        bad = bool(set(re.findall("[a-z]+", text.lower())) & seeds) or sum(c in "#*$%&|<>" for c in text) >= 0.02 * len(text)
+        if action or text:
+            examples.append((page, action == "block" if action else bad))
+    counts = {flag: Counter(t for page, bad in examples if bad == flag for t in tokens[page]) for flag in (True, False)}
+    size = len({t for ts in tokens.values() for t in ts})
+    n = Counter(bad for _, bad in examples)
+    lean = lambda t: (
+        math.log((counts[True][t] + 1) / (sum(counts[True].values()) + size)) - math.log((counts[False][t] + 1) / (sum(counts[False].values()) + size)))
+    out = {}
+    for page, _, _, action, _ in rows:
+        score = math.log((n[True] + 1) / (n[False] + 1)) + sum(map(lean, tokens[page]))
+        out[page] = (action or ("block" if score > 1e-9 else "allow"), " ".join(tokens[page]), round(score, 6))
+    return out
+
+
+def test_verdicts_equal_a_plain_model(spark):
+    rng = random.Random(3)
+    names = ["cheappills", "dailynews", "weather", "pillreport", "farm", "casinofarm", "x1y22"]
+    urls, htmls = [], []
+    for k in range(150):
+        a, b = rng.choice(names), rng.choice(names)
+        urls.append(f"http://{a}.{rng.choice(['example.com', 'host.net', 'host.org'])}/{rng.choice(['en', 'fr', 'de'])}/{b}{k % 7}")
+        junk = "pill" in a or rng.random() < 0.1
+        htmls.append(rng.choice(["<p>buy pills at the casino</p>", "<p>### $$$ farm %%</p>"]) if junk else "<p>daily news, a weather report of the farm</p>")
+    urls += [None, "no scheme", "http://", "http://cheappills.example.com/"]
+    htmls += [None, "<p>daily</p>", "", None]
+    frame_ = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, htmls))], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(frame_, RULES).collect()}
+    actions = {i: next((x for h, p, x in RULES if r.rule == h + p), None) for i, r in got.items()}
+    want = model_of_bayes([(i, r.host, r.path, actions[i], htmls[i]) for i, r in sorted(got.items())], RULES, url_filter.SEEDS)
+    assert {i: (r.verdict, r.words, round(r.score, 6)) for i, r in got.items()} == want
+    free = [r for r in got.values() if r.rule is None]
+    has_seed = lambda r: bool(set(r.words.split()) & url_filter.SEEDS)
+    assert any(r.verdict == "block" and not has_seed(r) for r in free) and any(r.verdict == "allow" and has_seed(r) for r in free)
 
 
 def test_odd_pages(spark):
-    rng = random.Random(1)
-    urls = [None, "http://" + "".join(rng.choices("abcdefgh", k=20_000)) + "/" + "x1" * 5000, "http://x/", "http://x/"]
-    docs = spark.createDataFrame([(None, u, None) for u in urls], "page_id long, url string, html string")
+    rows = [(1, "http://a.example.com/x", "<p>one</p>"), (1, "http://a.example.com/x", "<p>one</p>"), (None, None, None), (2, "http://" + "ab" * 400, ""), (3, "http://" + "abcdefgh" * 2500 + "/" + "x1" * 5000, "<p>" + "efghab" * 900 + "</p>")]
+    docs = clashing(spark.createDataFrame(rows, "page_id long, url string, html string")).drop("host").withColumn("bad", F.lit(1))
     got = url_filter.judge(docs, RULES).collect()
-    assert len(got) == 4 and all(r.verdict == "allow" for r in got)
-    assert url_filter.judge(docs.where("false"), RULES).collect() == []
+    assert sorted((str(r.page_id), r.host) for r in got) == sorted([("1", "a.example.com")] * 2 + [("None", ""), ("2", "ab" * 400), ("3", "abcdefgh" * 2500)])
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).collect() == []
