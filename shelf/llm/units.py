@@ -23,9 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,31 +61,54 @@ class WordHashes(dict):
         return found
 
 
-def pieces(text: str, start: int, end: int, hashes: WordHashes) -> list[tuple[int, int, int]]:
-    """(start, end, number of words) of the pieces of one unit; white space behind a piece belongs to it."""
-    begins = [m.start() for m in WORD.finditer(text, start, end)]
-    if not begins:
-        return []
-    h = list(map(hashes.__getitem__, text[start:end].lower().split()))
-    cuts = [0]
-    for k in range(REACH, len(h) - REACH):
-        x = h[k]
-        if h[k - 1] > x <= h[k + 1] and min(h[k - REACH : k]) > x <= min(h[k + 1 : k + REACH + 1]):
-            cuts.append(k + 1)
-    cuts.append(len(begins))
-    at = [start, *(begins[k] for k in cuts[1:-1]), end]
-    return [(a, b, y - x) for a, b, x, y in zip(at, at[1:], cuts, cuts[1:], strict=False)]
-
-
-def digests(text: str | None, unit: str, hashes: WordHashes) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, and the 128 bits of the digest) of the units and pieces that have a word."""
-    text = text or ""
-    for start, end in spans(text, unit):
-        found = dict.fromkeys([(start, end), *((a, b) for a, b, _ in pieces(text, start, end, hashes))])
-        for a, b in found:
-            normal = " ".join(text[a:b].lower().split()).encode("utf-8", "replace")
-            if normal:
-                yield a, b, *struct.unpack("<qq", hashlib.blake2b(normal, digest_size=16).digest())
+def word_starts(text: str, start: int, words: list[str]) -> list[int]:
+    """Where each of a unit's words begins in the text."""
+    first = text.find(words[0], start)
+    lengths = list(map(len, words))
+    ends = list(accumulate(lengths, lambda so_far, n: so_far + n + 1, initial=first))
+    if text.startswith(" ".join(words), first):  # one blank between words
+        return ends[:-1]
+    return [m.start() for m in islice(WORD.finditer(text, first), len(words))]
+
+
+def ends_of_pieces(sizes: list[int], words: list[str], hashes: WordHashes) -> np.ndarray:
+    """True for each of the words, those of all units one after the other, that ends a piece."""
+    h = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+    size = np.array(sizes)
+    starts = np.repeat(size.cumsum() - size, size)
+    place = np.arange(len(h)) - starts
+    ends = (place >= REACH) & (place < np.repeat(size, size) - REACH)
+    at = np.flatnonzero(ends)
+    for step in range(1, REACH + 1):
+        at = at[(h[at - step] > h[at]) & (h[at] <= h[at + step])]
+    ends[:] = False
+    ends[at] = True
+    ends[size.cumsum()[size > 0] - 1] = True
+    return ends
+
+
+def pieces(text: str, units: list[tuple[int, int]], hashes: WordHashes) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, lower-case words) of every unit that has words and of its pieces, each span once.
+
+    White space behind a piece belongs to it, and what stands before a unit's first word to its first piece.
+    """
+    own = [text[a:b].split() for a, b in units]
+    lower = [text[a:b].lower().split() for a, b in units]
+    flat = [w for words in lower for w in words]
+    if not flat:
+        return
+    ends, at = ends_of_pieces(list(map(len, lower)), flat, hashes), 0
+    for (start, end), words, small in zip(units, own, lower, strict=True):
+        if not words:
+            continue
+        yield start, end, small
+        cuts = (np.flatnonzero(ends[at : at + len(small)]) + 1).tolist()
+        at += len(small)
+        if len(cuts) > 1:
+            begins = word_starts(text, start, words)
+            edges = [start, *(begins[k] for k in cuts[:-1]), end]
+            for k, (a, b) in enumerate(zip([0, *cuts], cuts, strict=False)):
+                yield edges[k], edges[k + 1], small[a:b]
 
 
 def repeated_units(documents: DataFrame, unit: str = "line") -> DataFrame:
@@ -94,14 +118,24 @@ def repeated_units(documents: DataFrame, unit: str = "line") -> DataFrame:
     """
 
     def units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         hashes = per_worker(("word hashes",), WordHashes)
         for frame in in_parts(frames):
-            found = [
-                (doc_id, version, *row)
-                for doc_id, version, text in zip(frame["doc_id"], frame["version"], frame["text"], strict=True)
-                for row in digests(text, unit, hashes)
-            ]
-            yield pd.DataFrame(found, columns=["doc_id", "version", "start", "end", "high", "low"])
+            names, versions, starts, ends, digests = [], [], [], [], []
+            for doc_id, version, text in zip(frame["doc_id"], frame["version"], frame["text"], strict=True):
+                before = len(starts)
+                for a, b, words in pieces(text, list(spans(text, unit)), hashes):
+                    starts.append(a)
+                    ends.append(b)
+                    digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")))
+                names += [doc_id] * (len(starts) - before)
+                versions += [version] * (len(starts) - before)
+            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            yield pd.DataFrame({
+                "doc_id": np.array(names, np.int64), "version": np.array(versions, np.int64), "start": np.array(starts, np.int32),
+                "end": np.array(ends, np.int32), "high": both[:, 0], "low": both[:, 1],
+            })
 
     every = (
         documents.where("doc_id is not null and text is not null")
@@ -122,34 +156,39 @@ def repeated_units(documents: DataFrame, unit: str = "line") -> DataFrame:
     )
 
 
-def cut(text: str, gone: set[tuple[int, int]], unit: str, min_words: int, hashes: WordHashes) -> tuple[str, set[tuple[int, int]]]:
+def cut(text: str, gone: set[tuple[int, int]], unit: str, min_words: int) -> tuple[str, set[tuple[int, int]]]:
     """The text without those of the repeated spans ``gone`` that go, and these spans.
 
-    A kept unit follows the separator that was before it; white space at the end of a cut unit goes.
+    Spans follow each other if nothing but white space is between them. A kept unit follows the separator that was before
+    it; white space at the end of a cut unit goes.
     """
-    units = [(u, pieces(text, *u, hashes)) for u in spans(text, unit)]
-    row, words, out = [], 0, set()
-    for u, held in [*units, (None, [(0, 0, 0)])]:
-        for a, b, n in held:
-            if u is not None and (u in gone or (a, b) in gone):
-                row.append((a, b))
-                words += n
-            else:
-                out.update(row if words >= min_words else ())
-                row, words = [], 0
-    parts, before, cut_out = [], 0, set()
-    for u, held in units:
-        start, end = u
-        left = [(a, b) for a, b, _ in held if (a, b) not in out]
-        if held and not left and u in gone:
-            cut_out.add(u)
-        else:
-            cut_out.update((a, b) for a, b, _ in held if (a, b) in out)
-        if left or not held:
-            line = "".join(text[a:b] for a, b in left) if held else text[start:end]
-            parts += [text[before:start]] * bool(parts) + [line if len(left) == len(held) else line.rstrip()]
+    whole: list[tuple[int, int]] = []  # without the pieces of units that are there themselves
+    for a, b in sorted(gone, key=lambda x: (x[0], -x[1])):
+        if not whole or a >= whole[-1][1]:
+            whole.append((a, b))
+    out, row, words = set(), [], 0
+    for a, b in whole:
+        if row and text[row[-1][1] : a].strip():
+            out.update(row if words >= min_words else ())
+            row, words = [], 0
+        row.append((a, b))
+        words += len(text[a:b].split())
+    out.update(row if words >= min_words else ())
+    if not out:
+        return text, out
+    ordered, k = sorted(out), 0
+    parts, before = [], 0
+    for start, end in spans(text, unit):
+        left, at = [], start
+        touched = False
+        while k < len(ordered) and ordered[k][0] < max(end, start + 1) and ordered[k][0] >= start:
+            left.append(text[at : ordered[k][0]])
+            at, touched, k = ordered[k][1], True, k + 1
+        line = "".join([*left, text[at:end]])
+        if not touched or line.strip():
+            parts += [text[before:start]] * bool(parts) + [line.rstrip() if touched else line]
         before = end
-    return "".join(parts), cut_out
+    return "".join(parts), out
 
 
 def remove_repeats(documents: DataFrame, unit: str = "line", min_words: int = 16) -> DataFrame:
@@ -166,10 +205,10 @@ def remove_repeats(documents: DataFrame, unit: str = "line", min_words: int = 16
 
     @F.pandas_udf(f"text string, removed array<{SPAN}>")
     def rest(text: pd.Series, rows: pd.Series) -> pd.DataFrame:
-        texts, removed, hashes = [], [], per_worker(("word hashes",), WordHashes)
+        texts, removed = [], []
         for t, repeats in zip(text, rows, strict=True):
             spans_ = {(r["start"], r["end"]): r for r in ([] if repeats is None else repeats)}
-            kept, gone = cut(t, set(spans_), unit, min_words, hashes) if spans_ and t is not None else (t, ())
+            kept, gone = cut(t, set(spans_), unit, min_words) if spans_ and t is not None else (t, ())
             texts.append(kept)
             removed.append([spans_[x] for x in sorted(gone)])
         return pd.DataFrame({"text": pd.Series(texts, dtype=object), "removed": pd.Series(removed, dtype=object)})
