@@ -6,6 +6,7 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from shelf.llm.queries import WEIGHTS, domain, tokenizer_file
 from shelf.scratch import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: rows that go to a Python worker at a time; whole texts take much memory there
+BATCH_ROWS = 1000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +55,23 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage under a setting that keeps what a Python worker holds of its texts small."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_classifier", quality_classifier),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("source_mixing", source_mixing),
-    ("bpe_coding", bpe_coding),
+    ("quality_classifier", in_small_batches(quality_classifier)),
+    ("near_dedup", in_small_batches(near_dedup)),
+    ("substring_dedup", in_small_batches(substring_dedup)),
+    ("source_mixing", in_small_batches(source_mixing)),
+    ("bpe_coding", in_small_batches(bpe_coding)),
 ]
 
 #: classifier, fingerprints and byte pairs have no SQL; tests hold the stages against brute force
