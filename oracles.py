@@ -351,6 +351,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT '2024-01-09', 1, 0, 0""",
         "late_files_job": f"""WITH {STAGED} SELECT id, title, publisher, CAST(published_date AS VARCHAR) AS published_date, list_price,
             processing_date FROM staged WHERE id::BIGINT % 10 <> 3 OR processing_date < '2024-01-15'""",
+        "late_hours_by_stream": f"""WITH {STAGED} SELECT id, title, publisher, CAST(published_date AS VARCHAR) AS published_date, list_price,
+            processing_date FROM staged WHERE id::BIGINT % 10 <> 3 OR processing_date < '2024-01-15'""",
         "staging_limit": f"WITH {STAGED} SELECT least(count(*), 150) AS rows FROM staged",
         "catalogue_report": f"""WITH docs AS (SELECT doc_id, source, text, {TITLE} AS title FROM documents
               WHERE lang = 'en' AND length(text) > 100),

@@ -16,7 +16,8 @@ from shelf.schemas import LEDGER, RAW, STAGING
 from shelf.scratch import materialize, temporary
 from shelf.sinks import writers
 from shelf.sources import readers
-from shelf.streaming.stage import stage_stream
+from shelf.operators.staging import stage_rows
+from shelf.streaming.stage import LateRows, append_stream, stage_stream
 from test_catalogue import volume
 
 AT = datetime.datetime(2024, 3, 5, 7, 9)
@@ -332,3 +333,27 @@ def test_places_in_a_group_that_holds_most_rows(spark):
     got = places(spark.createDataFrame(rows, "g string, o long").repartition(9), "g", "o").collect()
     want = {(g, o): k for name in ("big", "small", None) for k, (g, o) in enumerate(sorted(r for r in rows if r[0] == name))}
     assert {(r.g, r.o): r.place for r in got} == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_stream_by_state_adds_late_hours_from_new_files_only(spark, base, files):
+    path, target, marks = f"{base}/raw", f"{base}/staged", f"{base}/marks"
+    run = lambda: append_stream(spark, path, target, marks, files_per_batch=files)
+    land(spark, path, volume("a"), volume("b", date="2024-01-02"), volume("c", date="2024-01-05"))
+    assert run() == 3 and run() == 0
+    before = set(spark.read.parquet(target).inputFiles())
+    land(spark, path, volume("late", hour="23"), volume("a", hour="23"), volume("b", date="2024-01-02", hour="22"))
+    assert run() == 3  # the rows of the new files
+    batch = stage_rows(readers.raw_volumes(spark, path))
+    got = spark.read.schema(STAGING).parquet(target)
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect())) and got.count() == 4
+    assert before <= set(spark.read.parquet(target).inputFiles())
+
+
+def test_rows_later_than_the_stream_remembers_are_reported(spark, base):
+    path, target, marks = f"{base}/raw", f"{base}/staged", f"{base}/marks"
+    land(spark, path, volume("a", date="2024-03-01"))
+    append_stream(spark, path, target, marks, delay="5 days")
+    land(spark, path, volume("b", date="2024-01-01"))
+    with pytest.raises(LateRows):
+        append_stream(spark, path, target, marks, delay="5 days")

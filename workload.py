@@ -25,13 +25,13 @@ from shelf.plans.dashboard import dashboard
 from shelf.plans.ingest import deduplicate_books, ingest_batch
 from shelf.plans.search import build_vectors, recommend, vectorize
 from shelf.plans.staging import stage_dates, stage_unseen
-from shelf.schemas import RAW, VOLUME
+from shelf.schemas import RAW, STAGING, VOLUME
 from shelf.scratch import materialize, run_folder, spread
 from shelf.session import apply_settings
 from shelf.sinks import writers
 from shelf.sinks.writers import overwrite_partitions
 from shelf.sources import readers
-from shelf.streaming.stage import stage_stream
+from shelf.streaming.stage import append_stream, stage_stream
 
 AS_OF_YEAR = 2010
 
@@ -752,6 +752,20 @@ def late_files_job(spark, sf_dir):
     return readable(staged.select("id", "title", "publisher", "published_date", "list_price", "processing_date"))
 
 
+def late_hours_by_stream(spark, sf_dir):
+    """The same two landings staged by a stream that remembers rows, in several micro-batches; some rows land twice."""
+    landed, target, marks = (own_path(spark, n) for n in ("landed", "streamed", "stream-marks"))
+    raw = raw_docs(spark, sf_dir)
+    late = F.col("ord") % 10 == 3
+    land_raw(raw.where(~late), landed)
+    append_stream(spark, landed, target, marks, files_per_batch=10)
+    again = raw.where((late | (F.col("ord") % 10 == 4)) & (F.col("date") < "2024-01-15")).withColumn("hour", F.lit("23"))
+    again.select(*RAW.fieldNames()).write.partitionBy("date", "hour").mode("append").parquet(landed)
+    append_stream(spark, landed, target, marks, files_per_batch=10)
+    staged = spark.read.schema(STAGING).parquet(target)
+    return readable(staged.select("id", "title", "publisher", "published_date", "list_price", "processing_date"))
+
+
 def staging_limit(spark, sf_dir):
     """How many rows a trial run with a limit stages."""
     return staging.stage_rows(raw_docs(spark, sf_dir), limit=150).agg(F.count(F.lit(1)).alias("rows"))
@@ -784,7 +798,7 @@ QUERIES = [
     share_with_other, per_year, books_per_year, rating_histogram, newest_rows, highlight,
     knn_l2, knn_cosine, knn_dot, result_cards, embed_rows, search_texts, vector_rows, vector_table,
     staging_job, ingest_job, vector_job, recommend_job, dashboard_job, differing_files,
-    clashing_files, files_by_path, late_files_job, staging_limit,
+    clashing_files, files_by_path, late_files_job, late_hours_by_stream, staging_limit,
     catalogue_report,
 ]
 
