@@ -758,10 +758,10 @@ def late_hours_by_stream(spark, sf_dir):
     raw = raw_docs(spark, sf_dir)
     late = F.col("ord") % 10 == 3
     land_raw(raw.where(~late), landed)
-    append_stream(spark, landed, target, marks, files_per_batch=10)
+    append_stream(spark, landed, target, marks, files_per_batch=20)
     again = raw.where((late | (F.col("ord") % 10 == 4)) & (F.col("date") < "2024-01-15")).withColumn("hour", F.lit("23"))
     again.select(*RAW.fieldNames()).write.partitionBy("date", "hour").mode("append").parquet(landed)
-    append_stream(spark, landed, target, marks, files_per_batch=10)
+    append_stream(spark, landed, target, marks, files_per_batch=20)
     staged = spark.read.schema(STAGING).parquet(target)
     return readable(staged.select("id", "title", "publisher", "published_date", "list_price", "processing_date"))
 
