@@ -41,6 +41,8 @@ from shelf.scratch import materialize
 NO_ID = -(2**63)
 #: ASCII punctuation: behind a letter or digit it begins a new word for the tokenizer; not >, which ends special tokens
 MARKS = b"!\"#$%&'()*+,-./:;<=?@[\\]^_`{|}~"
+#: rounds visit single places once frequent pairs are at fewer than one in so many places
+SPARSE = 12
 FORMAT = (
     "first_id long, shard int, n_tokens long, doc_ids binary, lengths binary, terminals binary, rules binary,"
     " expansions binary, symbols binary, width int"
@@ -53,6 +55,15 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def roomy(array: np.ndarray, needed: int) -> np.ndarray:
+    """The array, or a copy with twice as many places as are ``needed`` where it has too few."""
+    if needed <= len(array):
+        return array
+    grown = np.zeros(2 * needed, array.dtype)
+    grown[: len(array)] = array
+    return grown
+
+
 class _Places(dict):
     """Numbers pieces as they are met; ``met`` lists those that are new."""
 
@@ -88,14 +99,17 @@ class Encoder:
 
     def _forget(self) -> None:
         self.place = _Places()
-        # place 0 is the end of a document
-        self.flat, self.starts, self.sizes = np.array([self.end_id]), np.array([0]), np.array([1])
+        # place 0 is the end of a document; the arrays have room for more
+        self.flat, self.starts, self.sizes = np.array([self.end_id], np.int32), np.array([0]), np.array([1])
+        self.filled = 1
 
     def _enter(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         places = list(map(self.place.__getitem__, pieces))
-        self.starts[places] = len(self.flat) + sizes.cumsum() - sizes
+        self.starts[places] = self.filled + sizes.cumsum() - sizes
         self.sizes[places] = sizes
-        self.flat = np.concatenate([self.flat, ids])
+        self.flat = roomy(self.flat, self.filled + len(ids))
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -114,8 +128,7 @@ class Encoder:
         halves = [place[half] for half in halves]
         whole += place.met[known:]
         place.met = []
-        new = np.zeros(len(place) + 1 - len(self.sizes), np.int64)
-        self.starts, self.sizes = np.concatenate([self.starts, new]), np.concatenate([self.sizes, new])
+        self.starts, self.sizes = roomy(self.starts, len(place) + 1), roomy(self.sizes, len(place) + 1)
 
         texts = b" ".join(whole).decode().split(" ") if whole else []
         letters = list(map(str.isalpha, texts))
@@ -178,56 +191,126 @@ def _apart(pairs: np.ndarray, uses: np.ndarray) -> list[tuple[int, int]]:
     return chosen
 
 
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.uint64) << np.uint64(32) | right
+
+
+def _round(known: np.ndarray, uses: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a round; each left half's right half; each left half's new symbol."""
+    chosen = np.array(_apart(known, uses), np.uint32)
+    partner = np.full(alphabet, alphabet, np.uint32)  # the alphabet's size: nobody's partner
+    partner[chosen[:, 0]] = chosen[:, 1]
+    name = np.zeros(alphabet, np.uint32)
+    name[chosen[:, 0]] = alphabet + np.arange(len(chosen))
+    return chosen, partner, name
+
+
+def _every_other(hit: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Of places that overlap with the one before (``follows``), every other one from the first of their run."""
+    place = np.arange(len(hit))
+    return hit[(place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0]
+
+
+def _with_left(places: np.ndarray, left: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """The places and those to their ``left``, but none that is ``taken`` by the one before or lies before the stream."""
+    return np.concatenate([places, left[left != np.append(-1, taken[:-1])]])
+
+
+def _recounted(
+    known: np.ndarray, uses: np.ndarray, gone: np.ndarray, fresh: np.ndarray, fresh_uses: np.ndarray, least: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent pairs, ascending, and their uses, after ``gone`` (a pair as often as it went) and with ``fresh`` ones."""
+    gone = np.sort(gone)
+    uses = uses - (np.searchsorted(gone, known, "right") - np.searchsorted(gone, known, "left"))
+    left = uses >= least
+    known, uses = np.concatenate([known[left], fresh]), np.concatenate([uses[left], fresh_uses])
+    order = np.argsort(known)
+    return known[order], uses[order]
+
+
+def _among(pairs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which pairs are ``known`` (ascending)."""
+    if not len(known):
+        return np.zeros(len(pairs), bool)
+    return known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs
+
+
+def _dense_rounds(stream: np.ndarray, known: np.ndarray, uses: np.ndarray, least: int, alphabet: int, rules: list) -> tuple:
+    """Rounds that pass over the whole stream, as long as frequent pairs fill a good part of it."""
+    while len(known) and int(uses.sum()) * SPARSE > len(stream):
+        chosen, partner, name = _round(known, uses, alphabet)
+        hit = np.flatnonzero(partner[stream[:-1]] == stream[1:])
+        hit = _every_other(hit, np.diff(hit, prepend=-2) == 1)
+        at = np.concatenate([hit + 1, _with_left(hit, hit - 1, hit + 1)])
+        at = at[at < len(stream) - 1]
+        gone = _pairs(stream[at], stream[at + 1])
+        stream[hit] = name[stream[hit]]
+        kept = np.ones(len(stream), bool)
+        kept[hit + 1] = False
+        stream = stream[kept]
+        new = hit - np.arange(len(hit))  # each replacement before took a place
+        at = _with_left(new, new - 1, new)
+        at = at[at < len(stream) - 1]
+        known, uses = _recounted(known, uses, gone, *_counted(_pairs(stream[at], stream[at + 1]), least), least)
+        rules += map(tuple, chosen.tolist())
+        alphabet += len(chosen)
+    return stream, known, uses, alphabet
+
+
+def _sparse_rounds(stream: np.ndarray, known: np.ndarray, uses: np.ndarray, least: int, alphabet: int, rules: list) -> np.ndarray:
+    """The rounds that are left, over the places of frequent pairs alone; a linked list says who neighbours whom."""
+    n = len(stream)
+    after, before = np.arange(1, n + 1), np.arange(-1, n)
+    alive = np.ones(n, bool)
+    stream = np.append(stream, np.uint32(2**32 - 1))  # behind the last symbol; in no frequent pair
+    lefts, rights = np.zeros(alphabet, bool), np.zeros(alphabet, bool)
+    lefts[known >> np.uint64(32)] = True
+    rights[known & np.uint64(2**32 - 1)] = True
+    places = np.flatnonzero(lefts[stream[: n - 1]] & rights[stream[1:n]])
+    places = places[_among(_pairs(stream[places], stream[places + 1]), known)]
+    while len(known):
+        chosen, partner, name = _round(known, uses, alphabet)
+        hit = np.unique(places[partner[stream[places]] == stream[after[places]]])
+        hit = _every_other(hit, np.append(-1, after[hit[:-1]]) == hit)
+        second = after[hit]
+        at = np.concatenate([second, _with_left(hit, before[hit], second)])
+        gone = _pairs(stream[at], stream[after[at]])
+        stream[hit] = name[stream[hit]]
+        alive[second] = False
+        after[hit] = after[second]
+        before[after[hit]] = hit
+        at = _with_left(hit, before[hit], hit)
+        at = at[after[at] < n]
+        near = _pairs(stream[at], stream[after[at]])
+        fresh, fresh_uses = _counted(near, least)
+        known, uses = _recounted(known, uses, gone, fresh, fresh_uses, least)
+        places = np.concatenate([places[alive[places]], at[_among(near, fresh)]])  # some of pairs that are rare by now
+        if len(places) > 2 * uses.sum():
+            places = places[_among(_pairs(stream[places], stream[after[places]]), known)]
+        rules += map(tuple, chosen.tolist())
+        alphabet += len(chosen)
+    return stream[:n][alive]
+
+
 def build_grammar(ids: np.ndarray, least: int = 32) -> dict[str, np.ndarray]:
     """Terminals, rules, expansions and symbols of a stream of ids in which no pair is left ``least`` times.
 
     All pairs are counted once. A round takes what it replaces off the counts and adds the pairs round the new symbols, which are the
-    only ones that can have become frequent.
+    only ones that can have become frequent. Once frequent pairs are rare in the stream, rounds visit only their places.
     """
     terminals = np.flatnonzero(np.bincount(ids))
     symbol = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     symbol[terminals] = np.arange(len(terminals))
     stream = symbol[ids]
-
-    def pairs_at(places: np.ndarray) -> np.ndarray:
-        return stream[places].astype(np.uint64) << np.uint64(32) | stream[places + 1]
-
     if len(terminals) <= 65_536:  # half the bytes to sort
         known, uses = _counted(stream[:-1] << np.uint32(16) | stream[1:], least)
-        known = (known >> np.uint64(16)) << np.uint64(32) | known & np.uint64(65_535)
+        known = _pairs(known >> np.uint64(16), known & np.uint64(65_535))
     else:
-        known, uses = _counted(pairs_at(np.arange(len(stream) - 1)), least)
+        known, uses = _counted(_pairs(stream[:-1], stream[1:]), least)
     rules: list[tuple[int, int]] = []
-    while len(known):
-        alphabet = len(terminals) + len(rules)
-        chosen = np.array(_apart(known, uses), np.uint32)
-        partner = np.full(alphabet, alphabet, np.uint32)  # the alphabet's size: nobody's partner
-        partner[chosen[:, 0]] = chosen[:, 1]
-        name = np.zeros(alphabet, np.uint32)
-        name[chosen[:, 0]] = alphabet + np.arange(len(chosen))
-        hit = np.flatnonzero(partner[stream[:-1]] == stream[1:])
-        # runs of one symbol overlap with themselves: every other place counts, from the run's first
-        run = np.cumsum(np.diff(hit, prepend=-2) != 1)
-        hit = hit[(hit - hit[np.searchsorted(run, run)]) % 2 == 0]
-        touched = np.zeros(len(stream) + 2, bool)  # places of pairs that go, one further on
-        touched[hit] = touched[hit + 1] = touched[hit + 2] = True
-        gone, times = np.unique(pairs_at(np.flatnonzero(touched[1 : len(stream)])), return_counts=True)
-        at = np.minimum(np.searchsorted(known, gone), len(known) - 1)
-        there = known[at] == gone
-        uses[at[there]] -= times[there]
-        stream[hit] = name[stream[hit]]
-        kept = np.ones(len(stream), bool)
-        kept[hit + 1] = False
-        stream = stream[kept]
-        rules += map(tuple, chosen.tolist())
-        new = np.flatnonzero(stream >= alphabet)
-        near = np.zeros(len(stream) + 1, bool)
-        near[new] = near[new + 1] = True
-        fresh, fresh_uses = _counted(pairs_at(np.flatnonzero(near[1 : len(stream)])), least)
-        left = uses >= least
-        known, uses = np.concatenate([known[left], fresh]), np.concatenate([uses[left], fresh_uses])
-        order = np.argsort(known)
-        known, uses = known[order], uses[order]
+    stream, known, uses, alphabet = _dense_rounds(stream, known, uses, least, len(terminals), rules)
+    if len(known):
+        stream = _sparse_rounds(stream, known, uses, least, alphabet, rules)
     expansions = np.ones(len(terminals) + len(rules), np.int64)
     for r, (a, b) in enumerate(rules, len(terminals)):
         expansions[r] = expansions[a] + expansions[b]

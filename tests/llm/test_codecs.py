@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,6 +83,35 @@ def test_grammar_is_reversible_and_seekable(kind):
     assert packed["rules"].size == 0 or uses.sum() == len(packed["symbols"])
 
 
+@pytest.mark.parametrize("least", [2, 5, 32])
+def test_grammar_leaves_no_frequent_pair_however_its_rounds_find_their_places(least, monkeypatch):
+    rng = np.random.default_rng(least)
+    streams = [
+        np.zeros(0, np.int64),
+        np.array([3, 3]),
+        np.full(1000, 7),
+        np.tile([1, 2, 3], 500),
+        rng.integers(0, 3, 3000),
+        rng.integers(0, 30, 20_000),
+        np.repeat(rng.integers(0, 5, 800), rng.integers(1, 9, 800)),
+        np.concatenate([rng.integers(0, 70_000, 70_000), np.tile([9, 9, 8], 400)]),
+    ]
+    for ids in streams:
+        packed = {}
+        for sparse in (0, 4, 10**9):  # single places only, both, the whole stream only
+            monkeypatch.setattr(repair, "SPARSE", sparse)
+            packed[sparse] = repair.build_grammar(ids, least)
+        for name, values in packed[0].items():
+            assert np.array_equal(values, packed[4][name]) and np.array_equal(values, packed[10**9][name])
+        symbols = packed[0]["symbols"].tolist()
+        uses, free = Counter(), {}
+        for place, pair in enumerate(zip(symbols, symbols[1:])):
+            if free.get(pair, 0) <= place:  # a run of one symbol holds half as many pairs
+                uses[pair] += 1
+                free[pair] = place + 2
+        assert max(uses.values(), default=0) < least
+
+
 def test_files_hold_every_document_in_order(spark, word_library):
     rows = odd_documents()
     shards = repair.write_shards(clashing(frame(spark, rows)), WORDS, shard_tokens=500)
