@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from shelf.llm.common import let, words
 from shelf.scratch import materialize
@@ -98,19 +99,23 @@ def edit_study(documents: DataFrame, k: int = 4, w: int = 6) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     # of equal lengths by 31 bits of a hash
     rank = F.shiftleft(F.length("text").cast("long"), 31).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1)))
-    known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    known = known.select("doc_id", "text", F.length("text").alias("n"), rank.alias("rank"))
+    # a cast that changes nothing would leave a new name on one of the sides below, and they would no longer be the same
+    ids = F.col("doc_id") if documents.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("long").alias("doc_id")
+    known = documents.select(ids, text.alias("text"))
+    known = known.select("doc_id", "text", rank.alias("rank"))
+    length = F.shiftright("rank", 31).cast("int").alias("n")
     named = known.where("doc_id is not null")
-    chain = successors(named.select("doc_id", "n", "rank"))
-    # the texts cross the network once, by doc_id and for both sides below; picks are made where they arrive
+    chain = successors(named.select("doc_id", length, "rank"))
+    # the texts cross the network once, by doc_id and for both sides below; picks are made where they arrive. Both sides
+    # need the same columns for that, and ranks are held equal by two comparisons: as a key they would part the sides
     after = chain.select("next_id", "next_rank", F.col("doc_id").alias("before"), F.col("n").alias("longest"))
-    following = named.join(after, F.col("doc_id") == F.col("next_id")).where("rank = next_rank")
+    following = named.join(after, F.col("doc_id") == F.col("next_id")).where("rank >= next_rank and rank <= next_rank")
     following = following.select("before", F.expr("substring(text, 1, longest div 4)").alias("head"), hashes(picks(F.col("text"), k, w)).alias("next_hashes"))
     # rows that are equal, or of one rank, are one
     following = following.groupBy("before").agg(F.min(F.struct("head", "next_hashes")).alias("f")).select("before", "f.*")
-    both = named.join(following, F.col("doc_id") == F.col("before")).select("doc_id", "n", "text", "head", "next_hashes")
+    both = named.join(following, F.col("doc_id") == F.col("before")).select("doc_id", length, "text", "head", "next_hashes")
     alone = known.where("doc_id is null").select(
-        "doc_id", "n", "text", F.lit("").alias("head"), F.lit(None).cast("array<int>").alias("next_hashes"))
+        "doc_id", length, "text", F.lit("").alias("head"), F.lit(None).cast("array<int>").alias("next_hashes"))
     edited = both.union(alone).select(
         "doc_id", "n", "text", "next_hashes",
         F.concat(F.expr("substring(text, 1, n - n div 4)"), F.expr("substring(head, 1, n div 4)")).alias("edited"),
@@ -119,7 +124,7 @@ def edit_study(documents: DataFrame, k: int = 4, w: int = 6) -> DataFrame:
         "doc_id", "n", "next_hashes", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.array(F.struct(picks(F.col("text"), k, w).alias("own"), picks(F.col("edited"), k, w).alias("edited"))).alias("p"),
     )
-    judged = judged.select("*", F.explode("p").alias("e"))  # a generator: worked out once, used several times below
+    judged = judged.select("*", F.explode_outer("p").alias("e"))  # a generator: worked out once; outer, for else picks are made in a filter too
     own, other = F.col("e.own"), F.col("e.edited")
     return judged.select(
         "doc_id",
