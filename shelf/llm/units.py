@@ -142,6 +142,8 @@ def repeated_units(documents: DataFrame, unit: str = "line") -> DataFrame:
         .select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
         .mapInPandas(units, "doc_id long, version long, start int, end int, high long, low long")
     )
+    # written once: both the grouping and the join below read it, and cutting texts is what costs most
+    every = materialize(every, "units")
     rank = F.struct("doc_id", "start")
     first = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("uses"), F.min(rank).alias("first"))
     # a table of its own, so that the join below deals out both its sides and can split a digest that is everywhere

@@ -1,6 +1,7 @@
 import random
 
 from brute import clashing, frame, odd_documents, prose, without_repeated_lines
+from conftest import plan_of
 
 from shelf.llm import units
 
@@ -82,3 +83,9 @@ def test_paragraphs(spark):
 
 def test_empty_table(spark):
     assert units.remove_repeats(frame(spark, [])).collect() == []
+
+
+def test_texts_are_cut_into_units_once(spark):
+    docs = frame(spark, [(k, prose(k % 3, 60), None, None, None) for k in range(9)])
+    found = units.repeated_units(docs)
+    assert "MapInPandas" not in plan_of(found) and not found.isEmpty()
