@@ -1,9 +1,13 @@
 """Substring deduplication by hashing lines or paragraphs, and pieces of them.
 
 A text is cut into units: lines, or paragraphs (runs of lines between blank ones). A unit is normalised (lower case,
-white space to single blanks) and digested. Digests meet in one global grouping that keeps the least rank of each,
-with map-side combine; a rank is (``doc_id``, offset). What is not the earliest of its digest is repeated; what remains
-keeps its spelling and order, and every cut is reported with offsets into the original text.
+white space to single blanks) and digested. Digests meet in one global grouping that finds the least rank of each; a
+rank is (``doc_id``, offset). What is not the earliest of its digest is repeated; what remains keeps its spelling and
+order, and every cut is reported with offsets into the original text.
+
+Texts are cut a part (500 rows) at a time, and of a part only the head of a digest, its least rank there, goes to the
+grouping. So every unit is shuffled once at most, and a digest that is everywhere brings one row a part. What else a part
+has of the digest asks its head for the first rank, in a join by digest and head, whose groups are no larger than a part.
 
 A passage that was copied into the middle of a line is no unit of its own. So a unit's pieces are digested like units. A
 piece ends behind a word whose hash is the least among its ``REACH`` neighbours on either side, so inside a passage
@@ -28,11 +32,11 @@ from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelf.llm.common import in_parts, per_worker
-from shelf.scratch import materialize
+from shelf.scratch import materialize, temporary
 
 SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[^\S\n]*\n)+")}
 WORD = re.compile(r"\S+\s*")
@@ -111,6 +115,21 @@ def pieces(text: str, units: list[tuple[int, int]], hashes: WordHashes) -> Itera
                 yield edges[k], edges[k + 1], small[a:b]
 
 
+def heads_of(high: np.ndarray, low: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For every row of a part the place of the one row that has the least rank of its digest there."""
+    heads, order = np.arange(len(high)), np.argsort(high, kind="stable")
+    same = high[order][1:] == high[order][:-1]
+    shared = np.zeros(len(high), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    at = order[shared]
+    at = at[np.lexsort((starts[at], doc_ids[at], low[at], high[at]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (high[at][1:] != high[at][:-1]) | (low[at][1:] != low[at][:-1])
+    heads[at] = at[new][new.cumsum() - 1]
+    return heads
+
+
 def repeated_units(documents: DataFrame, unit: str = "line") -> DataFrame:
     """(doc_id, version, start, end, first_doc_id, first_start) of every unit and piece that repeats an earlier one.
 
@@ -131,31 +150,43 @@ def repeated_units(documents: DataFrame, unit: str = "line") -> DataFrame:
                     digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")))
                 names += [doc_id] * (len(starts) - before)
                 versions += [version] * (len(starts) - before)
-            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            high, low = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
+            ids, begins = np.array(names, np.int64), np.array(starts, np.int32)
+            heads = heads_of(high, low, ids, begins)
+            first = heads == np.arange(len(heads))
+            copied = np.zeros(len(heads), bool)
+            copied[heads[~first]] = True
             yield pd.DataFrame({
-                "doc_id": np.array(names, np.int64), "version": np.array(versions, np.int64), "start": np.array(starts, np.int32),
-                "end": np.array(ends, np.int32), "high": both[:, 0], "low": both[:, 1],
+                "doc_id": ids, "version": np.array(versions, np.int64), "start": begins, "end": np.array(ends, np.int32),
+                "high": high, "low": low, "head_doc_id": pd.arrays.IntegerArray(ids[heads], first),
+                "head_start": pd.arrays.IntegerArray(begins[heads], first), "copied": copied,
             })
 
     every = (
         documents.where("doc_id is not null and text is not null")
         .select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
-        .mapInPandas(units, "doc_id long, version long, start int, end int, high long, low long")
+        .mapInPandas(
+            units,
+            "doc_id long, version long, start int, end int, high long, low long, "
+            "head_doc_id long, head_start int, copied boolean",
+        )
     )
     # written once: both the grouping and the join below read it, and cutting texts is what costs most
     every = materialize(every, "units")
-    rank = F.struct("doc_id", "start")
-    first = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("uses"), F.min(rank).alias("first"))
-    # a table of its own, so that the join below deals out both its sides and can split a digest that is everywhere
-    repeated = materialize(first.where("uses > 1").select("high", "low", "first"), "repeated")
-    return (
-        every.join(repeated, ["high", "low"])
-        .where(rank != F.col("first"))
-        .select(
-            "doc_id", "version", "start", "end",
-            F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
-        )
+    span, first = ("doc_id", "version", "start", "end"), ("first_doc_id", "first_start")
+    # no structs here: Spark would put them into the exchange, beside the columns that they are made of
+    ranked = Window.partitionBy("high", "low").orderBy("doc_id", "start").rowsBetween(Window.unboundedPreceding, 0)
+    repeats = (F.col("doc_id") != F.col("first_doc_id")) | (F.col("start") != F.col("first_start"))
+    heads = every.where("head_doc_id is null").select(
+        *span, "high", "low", "copied",
+        F.first("doc_id").over(ranked).alias("first_doc_id"), F.first("start").over(ranked).alias("first_start"),
     )
+    heads = materialize(heads.where(repeats | F.col("copied")), "heads")
+    # rows that repeat a doc_id may be heads of the same rank in several parts
+    head = (F.col("doc_id").alias("head_doc_id"), F.col("start").alias("head_start"))
+    asked = heads.where("copied").select("high", "low", *head, *first).distinct()
+    others = every.where("head_doc_id is not null").join(asked, ["high", "low", "head_doc_id", "head_start"])
+    return heads.select(*span, *first).union(others.select(*span, *first)).where(repeats)
 
 
 def cut(text: str, gone: set[tuple[int, int]], unit: str, min_words: int) -> tuple[str, set[tuple[int, int]]]:
@@ -199,9 +230,10 @@ def remove_repeats(documents: DataFrame, unit: str = "line", min_words: int = 16
     ``removed`` lists the spans that went, in order: (start, end, first_doc_id, first_start), offsets into the old text
     and where the earliest occurrence is. A column of the input that is called ``removed`` is replaced.
     """
+    with temporary(documents.sparkSession):  # the units go before the texts are moved
+        repeats = materialize(repeated_units(documents, unit), "repeats", lasting=True)
     found = (
-        repeated_units(documents, unit)
-        .groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
+        repeats.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
         .agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc_id", "first_start"))).alias("__found"))
     )
 

@@ -1,9 +1,12 @@
+import os
 import random
 
+import numpy as np
 from brute import clashing, frame, odd_documents, prose, without_repeated_lines
 from conftest import plan_of
 
 from shelf.llm import units
+from shelf.scratch import run_folder
 
 
 def test_lines_equal_brute_force(spark):
@@ -89,3 +92,54 @@ def test_texts_are_cut_into_units_once(spark):
     docs = frame(spark, [(k, prose(k % 3, 60), None, None, None) for k in range(9)])
     found = units.repeated_units(docs)
     assert "MapInPandas" not in plan_of(found) and not found.isEmpty()
+
+
+def test_heads_are_the_least_ranks_of_a_part():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 200):
+        high, low, ids, starts = (rng.integers(0, m, n) for m in (9, 3, 20, 5))
+        heads = units.heads_of(high, low, ids, starts)
+        least = {}
+        for k in range(n):
+            rank, (best, at) = (ids[k], starts[k]), least.get((high[k], low[k]), ((99, 0), None))
+            least[high[k], low[k]] = min((rank, heads[k]), (best, at), key=lambda x: x[0])
+        for k in range(n):
+            rank, head = least[high[k], low[k]]
+            assert heads[k] == head and (ids[head], starts[head]) == rank
+
+
+def test_a_line_of_every_text_brings_one_row_a_part_to_the_grouping(spark, monkeypatch):
+    """Three parts of up to 500 rows, each with copies of its own, of other parts' and inside of texts."""
+    written, write = {}, units.materialize
+    monkeypatch.setattr(units, "materialize", lambda df, name, **kw: written.setdefault(name, write(df, name, **kw)))
+    line = prose(9_999, 20).replace("\n", " ")
+    rows = [(k, f"{prose(k % 900, 20, 30)}\n{line}" + f"\n{line}" * (k % 50 == 0)) for k in range(1200)]
+    random.Random(5).shuffle(rows)
+    docs = frame(spark, [(k, t, None, None, None) for k, t in rows]).coalesce(1)
+    found = units.repeated_units(docs)
+    sent = written["units"].where("head_doc_id is null").groupBy("high", "low").count()
+    assert sent.agg({"count": "max"}).first()[0] == 3
+    assert "IsNotNull(head_doc_id)" in plan_of(found)  # of the units, only what is no head is read again
+    want = without_repeated_lines(rows)
+    for r in units.remove_repeats(docs).collect():
+        assert (r.text, [tuple(x) for x in r.removed]) == want[r.doc_id]
+
+
+def test_rows_that_repeat_an_id_in_several_parts(spark):
+    line = prose(4, 20).replace("\n", " ")
+    rows = [(7, f"{line}\n{line}")] * 1100 + [(8, line), (7, prose(5, 25))]
+    docs = frame(spark, [(*r, None, None, None) for r in rows]).coalesce(1)
+    found = units.repeated_units(docs)
+    assert found.where("doc_id = 7 and start = 0").isEmpty()
+    whole = found.where(f"doc_id = 8 and start = 0 and end = {len(line)}")
+    assert whole.select("first_doc_id", "first_start").distinct().collect() == [(7, 0)]
+    got = {(r.doc_id, r.text) for r in units.remove_repeats(docs).collect()}
+    assert got == {(7, line), (8, ""), (7, prose(5, 25))}
+
+
+def test_units_are_dropped_before_the_texts_are_moved(spark):
+    folder = run_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    out = units.remove_repeats(frame(spark, [(k, prose(k % 3, 60), None, None, None) for k in range(9)]))
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"repeats"}
+    assert out.where("text = ''").count() == 6
